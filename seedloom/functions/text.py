@@ -177,12 +177,21 @@ def verified_ending(text: Column, question: Column, *, restate: bool = True) ->
 
 
 def json_or_raw(text: Column) -> Column:
-    """Struct of ``is_json``, ``value`` (VARIANT, NULL on bad JSON) and ``raw``."""
+    """Struct of ``is_json``, ``value`` (VARIANT, NULL on bad JSON) and ``raw``.
+
+    Spark's parser stops after the first value and ignores the rest, so the
+    text is valid if an array of it and its digest parses to just that. An
+    object that repeats a key counts as bad.
+    """
 
     def parts(t: Column) -> Column:
-        value = F.try_parse_json(t)
+        digest = F.md5(t)
+        framed = F.try_parse_json(F.concat(F.lit("["), t, F.lit(',"'), digest, F.lit('"]')))
+        whole = F.coalesce(F.try_variant_get(framed, "$[1]", "string") == digest, F.lit(False))
         return F.struct(
-            value.isNotNull().alias("is_json"), value.alias("value"), t.alias("raw")
+            whole.alias("is_json"),
+            F.when(whole, F.try_parse_json(t)).alias("value"),
+            t.alias("raw"),
         )
 
     return let(py_strip(text), parts)

@@ -103,10 +103,13 @@ def combine_texts(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     numbered = with_row_id(union, place, name="__id")
     # A file that ends in a newline ends in an empty line, which the line
     # reader does not return: there are as many bytes as lines plus newlines.
-    files = numbered.groupBy("text_no").agg(
+    files = numbered.groupBy("text_no", "__file").agg(
         F.max("__id").alias("__id"),
         (F.sum(F.octet_length("value") + 1) == F.max("__bytes")).alias("__ended"),
     )
+    files = files.groupBy("text_no").agg(
+        F.max("__id").alias("__id"), F.max_by("__ended", "__id").alias("__ended")
+    )
     texts = spark.createDataFrame([(i,) for i in range(len(paths))], "text_no bigint")
     files = texts.join(files, "text_no", "left")
     ended = F.coalesce("__ended", F.lit(True)).cast("int")  # an empty file is one empty line

@@ -133,7 +133,7 @@ def test_verified_ending(spark):
 
 
 def test_json_or_raw(spark):
-    texts = ['{"a": 1}', "[1, 2]", ' "x" ', "null", "{bad", "plain", "", "3.5"]
+    texts = ['{"a": 1}', "[1, 2]", ' "x" ', "null", "{bad", "plain", "", "3.5", '{"k": 8}}', "1, 2", "1] , [2", '{"a": [1]} x', "[]", "-", '"open']
     got = evaluate(spark, texts, X.json_or_raw(F.col("t")))
     for text, row in zip(texts, got):
         try:
