@@ -30,10 +30,8 @@ TRAILING_LABELS = [
 OPEN_MARK = '$("'
 CLOSE_MARK = '")'
 
-# (?U) makes \s follow Unicode; the four separators are added by hand.
-_SPACE = r"[\s\x1c-\x1f]"
-_LEADING = rf"(?iUd)^(?:{'|'.join(LEADING_LABELS)}){_SPACE}*"
-_TRAILING = rf"(?iUd){_SPACE}*(?:{'|'.join(TRAILING_LABELS)}).*$"
+_LEADING = rf"(?iu)^(?:{'|'.join(LEADING_LABELS)})"
+_TRAILING = rf"(?=[VvRrNn])(?iu:{'|'.join(TRAILING_LABELS)})"  # first letters fail fast
 _PLACEHOLDER = r"___[A-Za-z_]+___"
 
 
@@ -125,7 +123,9 @@ def is_question(text: Column, *, word_boundary: bool = False) -> Column:
     The words are plain prefixes ("island" counts) unless ``word_boundary``.
     """
     tail = r"\b" if word_boundary else ""
-    starts = text.rlike(rf"^(?i:{'|'.join(QUESTION_WORDS)}){tail}")
+    # No word and boundary reaches past these characters.
+    head = F.left(text, F.lit(max(map(len, QUESTION_WORDS)) + 1))
+    starts = head.rlike(rf"^(?i:{'|'.join(QUESTION_WORDS)}){tail}")
     return F.rtrim(text, F.lit(PYTHON_WHITESPACE)).endswith("?") | starts
 
 
@@ -133,13 +133,46 @@ def clean_generated(text: Column, question: Column) -> Column:
     """Remove model chatter and give the text a proper start and end.
 
     An answer of which nothing is left becomes NULL, unless it stands for a
-    question, where it becomes ``?``.
+    question, where it becomes ``?``. Most answers need no regular expression
+    over the whole text, so each step first looks at the part that decides.
     """
-    body = F.regexp_replace(text, _LEADING, "")
-    body = F.regexp_replace(body, _TRAILING, "")
-    body = F.regexp_replace(body, _PLACEHOLDER, "")
-    body = py_strip(F.btrim(body, F.lit("\"'")))
-    return let(body, lambda b: _with_ending(_with_capital(b), question))
+
+    def finish(t: Column) -> Column:
+        body = py_strip(F.btrim(_without_placeholders(t), F.lit("\"'")))
+        return let(body, lambda b: _with_ending(_with_capital(b), question))
+
+    return let(let(text, _without_leading_label), lambda t: let(_without_trailing_label(t), finish))
+
+
+def _without_leading_label(text: Column) -> Column:
+    head = F.left(text, F.lit(max(map(len, LEADING_LABELS))))
+    label = F.regexp_extract(head, _LEADING, 0)
+    rest = F.ltrim(F.substr(text, F.length(label) + 1), F.lit(PYTHON_WHITESPACE))
+    return F.when(head.rlike(_LEADING), rest).otherwise(text)
+
+
+def _without_trailing_label(text: Column) -> Column:
+    """Cut from the first label on the last line, keeping a final newline."""
+
+    def cut(body: Column) -> Column:
+        line = F.substring_index(body, "\n", -1)
+        start = F.when(line.contains(":"), F.regexp_instr(line, F.lit(_TRAILING))).otherwise(0)
+
+        def kept(at: Column) -> Column:
+            before = F.substr(body, F.lit(1), F.length(body) - F.length(line) + at - 1)
+            newline = F.when(text.endswith("\n"), "\n").otherwise("")
+            short = F.concat(F.rtrim(before, F.lit(PYTHON_WHITESPACE)), newline)
+            return F.when(at > 0, short).otherwise(text)
+
+        return let(start, kept)
+
+    body = F.when(text.endswith("\n"), F.substr(text, F.lit(1), F.length(text) - 1))
+    return let(body.otherwise(text), cut)
+
+
+def _without_placeholders(text: Column) -> Column:
+    removed = F.regexp_replace(text, _PLACEHOLDER, "")
+    return F.when(text.contains("___"), removed).otherwise(text)
 
 
 def _with_capital(text: Column) -> Column:
@@ -176,6 +209,9 @@ def verified_ending(text: Column, question: Column, *, restate: bool = True) ->
 # --- JSON and Python notation --------------------------------------------
 
 
+_JSON_START = r'^(?:[\[{"\-0-9]|true|false|null)'
+
+
 def json_or_raw(text: Column) -> Column:
     """Struct of ``is_json``, ``value`` (VARIANT, NULL on bad JSON) and ``raw``.
 
@@ -184,17 +220,15 @@ def json_or_raw(text: Column) -> Column:
     object that repeats a key counts as bad.
     """
 
-    def parts(t: Column) -> Column:
-        digest = F.md5(t)
-        framed = F.try_parse_json(F.concat(F.lit("["), t, F.lit(',"'), digest, F.lit('"]')))
-        whole = F.coalesce(F.try_variant_get(framed, "$[1]", "string") == digest, F.lit(False))
-        return F.struct(
-            whole.alias("is_json"),
-            F.when(whole, F.try_parse_json(t)).alias("value"),
-            t.alias("raw"),
-        )
-
-    return let(py_strip(text), parts)
+    t = py_strip(text)
+    digest = F.md5(t)
+    # A failed parse is slow, so plain words are told apart by their start.
+    likely = F.left(t, F.lit(5)).rlike(_JSON_START)
+    framed = F.when(likely, F.concat(F.lit("["), t, F.lit(',"'), digest, F.lit('"]')))
+    last = F.try_variant_get(F.try_parse_json(framed), "$[1]", "string")
+    whole = F.coalesce(last == digest, F.lit(False))
+    value = F.try_parse_json(F.when(whole, t))
+    return F.struct(whole.alias("is_json"), value.alias("value"), t.alias("raw"))
 
 
 _UNPRINTABLE = r"[\p{C}\p{Z}&&[^ ]]"

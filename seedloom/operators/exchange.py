@@ -43,12 +43,7 @@ _REQUEST = ["request_id", *KEYS, "column", "kind", "system", "user", "text"]
 def _request(
     column: str, kind: str, system: str, user: Column, text: Column, extra: list[Column]
 ) -> Column:
-    digest = F.md5(F.concat_ws("\n", F.lit(kind), F.lit(system), user))
-    request_id = F.concat_ws(
-        ":", F.col("row_id").cast("string"), F.col("sample_no").cast("string"), digest, F.lit(column)
-    )
     return F.struct(
-        request_id.alias("request_id"),
         F.lit(column).alias("column"),
         F.lit(kind).alias("kind"),
         F.lit(system).alias("system"),
@@ -58,6 +53,12 @@ def _request(
     )
 
 
+def _with_request_id(requests: DataFrame) -> DataFrame:
+    digest = F.md5(F.concat_ws("\n", "kind", "system", "user"))
+    keys = [F.col(k).cast("string") for k in KEYS]
+    return requests.withColumn("request_id", F.concat_ws(":", *keys, digest, "column"))
+
+
 def _cell_requests(
     samples: DataFrame,
     roles: Mapping[str, str],
@@ -89,7 +90,7 @@ def _cell_requests(
         requests.append(_request(column, kind, system, user, text, extra(j, column, text)))
     if not requests:
         raise ValueError("no column has the role 'dynamic'")
-    return samples.select(*KEYS, F.inline(F.array(*requests)))
+    return _with_request_id(samples.select(*KEYS, F.inline(F.array(*requests))))
 
 
 def build_requests(
@@ -119,7 +120,7 @@ def tag_requests(
     user = fill_prompt(prompts.user_prompt(kind), values)
     found = documents.withColumn("sample_no", F.lit(1))
     request = _request(content, kind, prompts.system_prompt(kind), user, text, [])
-    return found.select(*KEYS, F.inline(F.array(request))).select(*_REQUEST)
+    return _with_request_id(found.select(*KEYS, F.inline(F.array(request)))).select(*_REQUEST)
 
 
 def data_point_requests(
@@ -133,7 +134,7 @@ def data_point_requests(
         user = fill_prompt(prompts.user_prompt(kind), values)
         requests.append(_request(name, kind, system, user, F.lit(prompt), []))
     found = rows.select("row_id", F.lit(1).alias("sample_no"))
-    return found.select(*KEYS, F.inline(F.array(*requests))).select(*_REQUEST)
+    return _with_request_id(found.select(*KEYS, F.inline(F.array(*requests)))).select(*_REQUEST)
 
 
 # --- responses -------------------------------------------------------------
@@ -158,9 +159,10 @@ def judge_responses(
 ) -> DataFrame:
     """Every expected cell with its response, cleaned, and a status.
 
-    The status is ``ok``, ``missing``, ``error`` or ``empty``. The first cell
-    of a sample carries its copied columns, so no second pass over the samples
-    is needed to put the rows together.
+    The status is ``ok``, ``missing``, ``error`` or ``empty``; the response as
+    it came is kept only where it is not ok. The first cell of a sample carries
+    its copied columns, so no second pass over the samples is needed to put
+    the rows together.
     """
     copied = [F.col(c) for c in columns_with(roles, STATIC, REFERENCE)]
     carried = F.struct(F.lit(1).alias("__one"), *copied)
@@ -187,33 +189,43 @@ def judge_responses(
         .when(F.coalesce(F.col("cell"), F.lit("")) == "", "empty")
         .otherwise("ok")
     )
-    return judged.withColumn("status", status)
+    judged = judged.withColumn("status", status)
+    bad = F.col("status") != "ok"
+    return judged.withColumn("content", F.when(bad, F.col("content")))
 
 
-def assemble_rows(judged: DataFrame, roles: Mapping[str, str]) -> DataFrame:
-    """Rows of the samples whose every generated cell is ok."""
+def assemble_samples(judged: DataFrame, roles: Mapping[str, str]) -> DataFrame:
+    """One row per sample: its columns, and in ``failed`` the cells not ok."""
     dynamic = columns_with(roles, DYNAMIC)
     cells = [F.max(F.when(F.col("column") == c, F.col("cell"))).alias(c) for c in dynamic]
+    failed = F.when(F.col("status") != "ok", F.struct("request_id", "column", "status", "content"))
     wide = judged.groupBy(*KEYS).agg(
-        F.count_if(F.col("status") != "ok").alias("__bad"),
+        F.collect_list(failed).alias("failed"),  # at most one per dynamic column
         F.first("copied", ignorenulls=True).alias("__copied"),
         *cells,
     )
     columns = [F.col(c) if c in dynamic else F.col(f"__copied.`{c}`").alias(c) for c in roles]
-    return wide.filter("__bad = 0").select(*KEYS, *columns)
+    return wide.select(*KEYS, *columns, "failed")
+
 
+class Exchange(NamedTuple):
+    rows: DataFrame
+    rejects: DataFrame
 
-def rejected_cells(judged: DataFrame) -> DataFrame:
-    """Cells to ask for again, with the reason."""
-    bad = judged.filter(F.col("status") != "ok")
-    return bad.select("request_id", *KEYS, "column", "status", "content")
+
+def split_samples(samples: DataFrame) -> Exchange:
+    """Whole samples as rows, and the cells of the others to ask for again."""
+    whole = F.size("failed") == 0
+    rejects = samples.filter(~whole).select(*KEYS, F.inline("failed"))
+    return Exchange(samples.filter(whole).drop("failed"), rejects)
 
 
 def parsed_data_points(requests: DataFrame, responses: DataFrame) -> DataFrame:
     """Responses to data point requests: parsed JSON, or raw text if it is none."""
     joined = requests.join(best_responses(responses), "request_id")
     failed = F.col("content").startswith(ERROR_PREFIX)
-    return joined.filter(~failed).select(*KEYS, "column", F.inline(F.array(json_or_raw(F.col("content")))))
+    parsed = joined.filter(~failed).withColumn("json", json_or_raw(F.col("content")))
+    return parsed.select(*KEYS, "column", "json.*")
 
 
 def fill_to_size(
@@ -254,13 +266,16 @@ def generate(
     """Responses from a function over batches of requests.
 
     ``generator`` gets a pandas batch of requests and returns their contents.
+    Requests are spread evenly first: a call costs time that their bytes,
+    which AQE goes by, do not show.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             yield pd.DataFrame({"request_id": batch["request_id"], "content": generator(batch)})
 
-    spread = requests.repartition(tasks) if tasks else requests
+    tasks = tasks or int(requests.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = requests.repartition(tasks, "request_id")
     return spread.mapInPandas(run, "request_id string, content string")
 
 
@@ -281,11 +296,6 @@ def generate_to(
     return spark.read.parquet(path)
 
 
-class Exchange(NamedTuple):
-    rows: DataFrame
-    rejects: DataFrame
-
-
 def apply_responses(
     samples: DataFrame,
     responses: DataFrame,
@@ -297,7 +307,7 @@ def apply_responses(
 ) -> Exchange:
     """Put responses into the dynamic cells; failed cells become rejects."""
     judged = judge_responses(samples, responses, roles, prompts, kind=kind, generated=generated)
-    return Exchange(assemble_rows(judged, roles), rejected_cells(judged))
+    return split_samples(assemble_samples(judged, roles))
 
 
 # --- named uses --------------------------------------------------------------

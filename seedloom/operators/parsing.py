@@ -78,8 +78,7 @@ def parse_tagged_files(
     )
     located = stage(located.withColumn("__seq", F.monotonically_increasing_id()), "pieces")
     # What precedes the first opening mark of a file is no cell.
-    place = F.struct("__block", "__seq")
-    preambles = located.groupBy("file").agg(F.min_by("__seq", place).alias("__seq"))
+    preambles = located.filter("__block = 0").groupBy("file").agg(F.min("__seq").alias("__seq"))
     cells = located.filter(F.col("cell").isNotNull()).join(
         preambles.select("__seq"), "__seq", "left_anti"
     )

@@ -15,20 +15,17 @@ def sample_size(total: int, rate: float) -> int:
     return int(total * (rate / 100))
 
 
-def _nth_key(keys: DataFrame, n: int) -> tuple[str, object]:
-    """The n-th smallest (digest, id), by narrowing a digest prefix.
+def _next_digits(keys: DataFrame, prefix: str) -> list[tuple[str, int]]:
+    """Rows per next four hex digits of the digest: at most 65,536 counts."""
+    digits = F.substring("digest", len(prefix) + 1, _DIGITS).alias("digits")
+    counts = keys.groupBy(digits).agg(F.count(F.lit(1)).alias("rows"))
+    return [tuple(r) for r in counts.orderBy("digits").collect()]
 
-    Each step counts rows per next four hex digits, at most 65,536 counts,
-    and keeps the one prefix that holds the n-th key.
-    """
+
+def _nth_key(keys: DataFrame, n: int, counts: list[tuple[str, int]]) -> tuple[str, object]:
+    """The n-th smallest (digest, id), by narrowing a digest prefix."""
     prefix = ""
-    while len(prefix) < 32:
-        counts = (
-            keys.groupBy(F.substring("digest", len(prefix) + 1, _DIGITS).alias("digits"))
-            .agg(F.count(F.lit(1)).alias("rows"))
-            .orderBy("digits")
-            .collect()
-        )
+    while True:
         for digits, rows in counts:
             if n <= rows:
                 break
@@ -38,7 +35,9 @@ def _nth_key(keys: DataFrame, n: int) -> tuple[str, object]:
         if rows <= _FEW:
             last = keys.orderBy("digest", "id").limit(n).collect()[-1]
             return last["digest"], last["id"]
-    raise ValueError("the id column repeats a value too often to sample by it")
+        if len(prefix) == 32:
+            raise ValueError("the id column repeats a value too often to sample by it")
+        counts = _next_digits(keys, prefix)
 
 
 def sample_rows(
@@ -59,13 +58,14 @@ def sample_rows(
     if use_all:
         return df
     digest = F.md5(F.concat(F.lit(f"{seed}|"), F.col(row_id).cast("string")))
-    if size is None:
-        size = sample_size(df.count(), rate)
+    keys = df.select(digest.alias("digest"), F.col(row_id).alias("id"))
+    counts = _next_digits(keys, "")
+    total = sum(rows for _, rows in counts)
+    size = sample_size(total, rate) if size is None else size
     if size <= 0:
         return df.limit(0)
-    keys = df.select(digest.alias("digest"), F.col(row_id).alias("id"))
-    if size >= keys.count():
+    if size >= total:
         return df
-    last_digest, last_id = _nth_key(keys, size)
-    tie = (digest == last_digest) & (F.col(row_id) <= F.lit(last_id))
-    return df.filter((digest < last_digest) | tie)
+    last_digest, last_id = _nth_key(keys, size, counts)
+    limit = F.struct(F.lit(last_digest), F.lit(last_id).cast(df.schema[row_id].dataType))
+    return df.filter(F.struct(digest, F.col(row_id)) <= limit)

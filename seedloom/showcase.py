@@ -331,7 +331,7 @@ def verified_ending(spark, folder):
 def json_or_raw(spark, folder):
     forms = F.array("props", F.concat(F.lit(" "), "props", F.lit("} ")), "event_type")
     events = table(spark, folder, "events").select("event_id", "event_type", F.explode(forms).alias("p"))
-    parsed = events.select("event_id", "event_type", F.inline(F.array(X.json_or_raw(F.col("p")))))
+    parsed = events.withColumn("json", X.json_or_raw(F.col("p"))).select("event_id", "event_type", "json.*")
     k = F.try_variant_get("value", "$.k", "bigint").alias("k")
     return parsed.select("event_id", "event_type", "raw", "is_json", k)
 

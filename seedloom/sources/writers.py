@@ -23,8 +23,17 @@ def write_parquet(
 
 
 def write_csv(df: DataFrame, path: str, *, mode: str = "error") -> None:
-    """CSV with a header; quotes inside values are doubled."""
-    df.write.mode(mode).csv(path, header=True, quote='"', escape='"', emptyValue="", nullValue="")
+    """CSV with a header; quotes inside values are doubled, blanks are kept."""
+    df.write.mode(mode).csv(
+        path,
+        header=True,
+        quote='"',
+        escape='"',
+        emptyValue="",
+        nullValue="",
+        ignoreLeadingWhiteSpace=False,
+        ignoreTrailingWhiteSpace=False,
+    )
 
 
 def write_json_lines(df: DataFrame, path: str, *, mode: str = "error") -> None:
