@@ -17,3 +17,7 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """
     return F.transform(F.array(value), body)[0]
 
+
+def whole_div(value: Column, by: int) -> Column:
+    """Integer division that stays exact for any 64-bit value."""
+    return F.call_function("div", value, F.lit(by))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from seedloom.functions.expr import let
+from seedloom.functions.expr import let, whole_div
 
 # What Python's str.strip() removes.
 PYTHON_WHITESPACE = (
@@ -106,7 +106,7 @@ def cell_rows(
 
     def rows(cs: Column) -> Column:
         spare = width - 1 if ragged == "pad" else 0
-        count = F.floor((F.size(cs) + spare) / width)
+        count = whole_div(F.size(cs) + spare, width)
         numbers = F.when(count > 0, F.sequence(F.lit(0).cast("long"), count - 1))
         numbers = F.coalesce(numbers, F.array().cast("array<bigint>"))
         return F.transform(numbers, lambda r: row(cs, r))
@@ -122,7 +122,7 @@ def is_question(text: Column, *, word_boundary: bool = False) -> Column:
 
     The words are plain prefixes ("island" counts) unless ``word_boundary``.
     """
-    tail = r"\b" if word_boundary else ""
+    tail = r"(?![\p{L}\p{N}_])" if word_boundary else ""
     # No word and boundary reaches past these characters.
     head = F.left(text, F.lit(max(map(len, QUESTION_WORDS)) + 1))
     starts = head.rlike(rf"^(?i:{'|'.join(QUESTION_WORDS)}){tail}")

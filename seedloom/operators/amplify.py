@@ -5,20 +5,23 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from seedloom.functions.expr import whole_div
 from seedloom.operators.numbering import with_row_id
 
-# Samples one task makes from one seed row before they are spread out.
-BLOCK = 4096
+# Samples made from one copy of a seed row; larger quotas are spread first.
+BLOCK = 64
 
 
 def _copies(df: DataFrame, quota: Column, largest: int, row_id: str, sample_no: str) -> DataFrame:
     if largest <= BLOCK:
         return df.withColumn(sample_no, F.explode(F.sequence(F.lit(1), quota)))
     # A few seeds times a huge quota would come from a few tasks, so the
-    # blocks of each seed are shuffled before they are expanded.
-    last = F.floor((quota - 1) / BLOCK).cast("int")
+    # blocks of each seed are shuffled before they are expanded. The number of
+    # partitions is fixed: AQE would merge them by their size before expansion.
+    last = whole_div(quota - 1, BLOCK).cast("int")
     blocks = df.withColumn("__block", F.explode(F.sequence(F.lit(0), last)))
-    spread = blocks.repartition(row_id, "__block")
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = blocks.repartition(tasks, row_id, "__block")
     first = F.col("__block") * BLOCK + 1
     stop = F.least(first + BLOCK - 1, quota)
     return spread.withColumn(sample_no, F.explode(F.sequence(first, stop))).drop("__block")
@@ -40,13 +43,16 @@ def amplify_total(
 
     No seeds give no samples.
     """
-    count = seeds.count()
+    count, low, high = seeds.agg(F.count(F.lit(1)), F.min(row_id), F.max(row_id)).first()
     if count == 0 or total <= 0:
         return amplify(seeds, 0, row_id=row_id, sample_no=sample_no)
     each, rest = divmod(total, count)
     if rest == 0:
         return amplify(seeds, each, row_id=row_id, sample_no=sample_no)
-    ranked = with_row_id(seeds, [row_id], name="__rank")
+    if high - low + 1 == count:  # ids without gaps are ranks already
+        ranked = seeds.withColumn("__rank", F.col(row_id) - low)
+    else:
+        ranked = with_row_id(seeds, [row_id], name="__rank")
     quota = F.when(F.col("__rank") < rest, each + 1).otherwise(each)
     ranked = ranked.withColumn("__quota", quota).filter("__quota > 0")
     return _copies(ranked, F.col("__quota"), each + 1, row_id, sample_no).drop("__rank", "__quota")

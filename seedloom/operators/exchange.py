@@ -199,8 +199,9 @@ def assemble_samples(judged: DataFrame, roles: Mapping[str, str]) -> DataFrame:
     dynamic = columns_with(roles, DYNAMIC)
     cells = [F.max(F.when(F.col("column") == c, F.col("cell"))).alias(c) for c in dynamic]
     failed = F.when(F.col("status") != "ok", F.struct("request_id", "column", "status", "content"))
+    bad = [F.max(F.when(F.col("column") == c, failed)) for c in dynamic]
     wide = judged.groupBy(*KEYS).agg(
-        F.collect_list(failed).alias("failed"),  # at most one per dynamic column
+        F.array_compact(F.array(*bad)).alias("failed"),
         F.first("copied", ignorenulls=True).alias("__copied"),
         *cells,
     )

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seedloom.functions.expr import let
+from seedloom.functions.expr import let, whole_div
 from seedloom.functions.text import (
     CLOSE_MARK,
     OPEN_MARK,
@@ -89,7 +89,7 @@ def parse_tagged_files(
         F.coalesce(F.max(F.when(at == j, value)), F.lit("")).alias(f)
         for j, f in enumerate(fields)
     ]
-    grouped = numbered.groupBy("file", F.floor(F.col("__i") / width).alias("row_no"))
+    grouped = numbered.groupBy("file", whole_div(F.col("__i"), width).alias("row_no"))
     rows = grouped.agg(F.count(F.lit(1)).alias("__cells"), *columns)
     if ragged == "drop":
         rows = rows.filter(F.col("__cells") == width)
@@ -153,7 +153,7 @@ def pair_agents(
         )
 
     def pairs(rs: Column) -> Column:
-        count = F.floor(F.size(rs) / 2).cast("int")
+        count = whole_div(F.size(rs), 2).cast("int")
         numbers = F.when(count > 0, F.sequence(F.lit(0), count - 1))
         numbers = F.coalesce(numbers, F.array().cast("array<int>"))
         return F.transform(numbers, lambda p: pair(rs, p))
@@ -184,6 +184,6 @@ def pair_turns(
         for s, word in ((0, "one"), (1, "two"))
         for c in columns
     ]
-    pairs = numbered.groupBy(conversation, F.floor(F.col("__i") / 2).alias("pair_no"))
+    pairs = numbered.groupBy(conversation, whole_div(F.col("__i"), 2).alias("pair_no"))
     whole = pairs.agg(F.count(F.lit(1)).alias("__turns"), *halves)
     return whole.filter("__turns = 2").drop("__turns")

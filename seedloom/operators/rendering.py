@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from seedloom.functions.expr import whole_div
 from seedloom.operators.numbering import number_within
 
 PART_TURNS = 1024
@@ -60,10 +61,10 @@ def render_conversations(
     last = F.col("__i") == F.col("__n") - 1
     piece = style.turn(F.col(role), F.col(text), last)
     pieces = numbered.select(
-        conversation, F.floor(F.col("__i") / part_turns).alias("part_no"), "__i", piece.alias("piece")
+        conversation, whole_div(F.col("__i"), part_turns).alias("part_no"), "__i", piece.alias("piece")
     )
     parts = pieces.groupBy(conversation, "part_no").agg(
-        F.array_sort(F.collect_list(F.struct("__i", "piece"))).alias("pieces")
+        F.sort_array(F.collect_list(F.struct("__i", "piece"))).alias("pieces")
     )
     joined = F.array_join(F.transform("pieces", lambda p: p["piece"]), "")
     return parts.select(conversation, "part_no", joined.alias("rendered"))

@@ -8,6 +8,8 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from seedloom.sources.staging import stage
+
 PAGE_ROWS = 10
 PREVIEW_ROWS = 100
 
@@ -78,13 +80,13 @@ def apply_edits(
     """Set cells, add rows for new ids and columns for new names.
 
     ``columns`` names the edited columns; left out, the distinct names are
-    read from the edits. The table is joined on the left side only, so few
-    edits are broadcast and the table is not shuffled.
+    read from the edits. The edits are staged, so Spark knows their size: few
+    of them are broadcast, and then the table is not shuffled.
     """
     if columns is None:
         columns = sorted(r[0] for r in edits.select("column").distinct().collect())
     columns = [c for c in columns if c != row_id]
-    wide = edits_table(edits, columns, row_id=row_id)
+    wide = stage(edits_table(edits, columns, row_id=row_id), "edits")
     types = dict(df.dtypes)
     names = df.columns + [c for c in columns if c not in types]
 

@@ -254,7 +254,7 @@ def automatic_parse(spark, folder):
     f"""
     SELECT doc_id, {sql_question('text')} AS question,
            ends_with(rtrim(text, {q(X.PYTHON_WHITESPACE)}), '?')
-           OR regexp_matches(text, '^(?i:{'|'.join(X.QUESTION_WORDS)})\\b') AS strict_question
+           OR regexp_matches(text, '^(?i:{'|'.join(X.QUESTION_WORDS)})(?:[^\\pL\\pN_]|$)') AS strict_question
     FROM documents
     """
 )

@@ -26,8 +26,10 @@ def test_row_ids_are_dense_and_ordered(spark):
     assert got == [(i, *key) for i, key in enumerate(sorted(keys))]
 
 
-def test_number_within_a_hot_group(spark, monkeypatch):
+@pytest.mark.parametrize("few", [0, 100])
+def test_number_within_a_hot_group(spark, monkeypatch, few):
     monkeypatch.setattr(numbering, "_SPAN", 64)
+    monkeypatch.setattr(numbering, "_FEW_GROUPS", few)
     rng = random.Random(2)
     keys = [("hot" if rng.random() < 0.4 else f"g{rng.randint(0, 40)}", i) for i in range(3000)]
     keys += [(None, 3000 + i) for i in range(20)]
@@ -211,17 +213,18 @@ def test_combine_texts_and_lines(spark, tmp_path):
 # --- amplify -----------------------------------------------------------------
 
 
-def test_amplify_quotas(spark, monkeypatch):
+@pytest.mark.parametrize("step", [10, 1])
+def test_amplify_quotas(spark, monkeypatch, step):
     monkeypatch.setattr(A, "BLOCK", 4)
-    seeds = spark.createDataFrame([(10 * i, f"s{i}") for i in range(7)], "row_id bigint, s string")
+    seeds = spark.createDataFrame([(step * i, f"s{i}") for i in range(7)], "row_id bigint, s string")
     for total in (0, 3, 7, 17, 70, 71):
         got = A.amplify_total(seeds, total)
         counts = {r["row_id"]: r["count"] for r in got.groupBy("row_id").count().collect()}
         each, rest = divmod(total, 7)
-        expected = {10 * i: each + (i < rest) for i in range(7)}
+        expected = {step * i: each + (i < rest) for i in range(7)}
         assert counts == {k: v for k, v in expected.items() if v}
         assert got.select("row_id", "sample_no").distinct().count() == total
-    assert by(A.amplify(seeds, 2), "row_id", "sample_no")[:3] == [(0, "s0", 1), (0, "s0", 2), (10, "s1", 1)]
+    assert by(A.amplify(seeds, 2), "row_id", "sample_no")[:3] == [(0, "s0", 1), (0, "s0", 2), (step, "s1", 1)]
     assert A.amplify_total(seeds.limit(0), 5).count() == 0
 
 

@@ -86,7 +86,7 @@ def test_is_question(spark):
     texts = random_texts(CHATTER, 3000, 5) + ["island life", " what", "DOcument", "ok? "]
     assert evaluate(spark, texts, X.is_question(F.col("t"))) == [spec_question(t) for t in texts]
     strict = X.is_question(F.col("t"), word_boundary=True)
-    assert evaluate(spark, ["island", "is it", "How"], strict) == [False, True, True]
+    assert evaluate(spark, ["island", "is it", "How", "isé", "do_x", "Can."], strict) == [False, True, True, False, False, True]
 
 
 def spec_clean(text, question):
