@@ -37,6 +37,8 @@ def compare_with_seeds(
     Cells are compared by grouping equal ones, not by a join: the many samples
     of one seed shrink to few rows before the shuffle. NULL equals NULL.
     """
+    if not columns:
+        raise ValueError("there are no columns to compare")
     both = _cell_prints(seeds, columns, row_id, "seed").unionByName(
         _cell_prints(result, columns, row_id, "result")
     )

@@ -76,6 +76,11 @@ class TemplateRegistry:
             return cls()
         return cls(json.loads(text))
 
+    def save(self, spark: SparkSession, path: str) -> None:
+        """Write the templates so that ``load`` finds them."""
+        row = spark.createDataFrame([(self.to_json(),)], "value string")
+        row.coalesce(1).write.mode("overwrite").text(path)
+
     def names(self) -> list[str]:
         return list(self._templates)
 

@@ -67,7 +67,7 @@ def test_documents_have_plain_newlines(spark, tmp_path):
 def test_zones(spark, tmp_path):
     z = zones.Zones(str(tmp_path))
     with pytest.raises(ValueError):
-        z.path("kitchen")
+        z.path("elsewhere")
     spark.range(2).write.parquet(z.path("ingredients", "old.parquet"))
     time.sleep(1.1)
     spark.range(3).write.parquet(z.path("dishes", "new.parquet"))

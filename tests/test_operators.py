@@ -293,7 +293,7 @@ def test_templates(spark, tmp_path):
     assert reg.get("nope") is None
     with pytest.raises(ValueError):
         reg.fields("nope")
-    (tmp_path / "t.json").write_text(reg.to_json())
+    reg.save(spark, str(tmp_path / "t.json"))
     again = TemplateRegistry.load(spark, str(tmp_path / "t.json"))
     assert again.names() == reg.names() and again.schema("mine").names == ["a", "b"]
     assert TemplateRegistry.load(spark, str(tmp_path / "none.json")).names()[0] == "chat"
