@@ -21,7 +21,7 @@ from seedloom.functions.text import (
     py_strip,
     verified_ending,
 )
-from seedloom.operators.amplify import missing_rows
+from seedloom.operators.amplify import amplify, missing_rows
 from seedloom.operators.roles import (
     DYNAMIC,
     REFERENCE,
@@ -53,10 +53,19 @@ def _request(
     )
 
 
-def _with_request_id(requests: DataFrame) -> DataFrame:
+def _identified(requests: DataFrame, copies: int | None = None) -> DataFrame:
+    """Add the request id; with ``copies``, first number that many samples.
+
+    The prompts of a cell do not depend on the sample, so they are filled and
+    digested once per seed row and only then multiplied.
+    """
     digest = F.md5(F.concat_ws("\n", "kind", "system", "user"))
+    requests = requests.withColumn("__digest", digest)
+    if copies is not None:
+        requests = amplify(requests, copies)
     keys = [F.col(k).cast("string") for k in KEYS]
-    return requests.withColumn("request_id", F.concat_ws(":", *keys, digest, "column"))
+    request_id = F.concat_ws(":", *keys, "__digest", "column")
+    return requests.withColumn("request_id", request_id).drop("__digest")
 
 
 def _cell_requests(
@@ -65,6 +74,7 @@ def _cell_requests(
     prompts: PromptSet,
     kind: str,
     generated: Mapping[str, str],
+    copies: int | None,
     extra: Callable[[int, str, Column], list[Column]] = lambda j, c, text: [],
 ) -> DataFrame:
     check_roles(samples, roles)
@@ -90,7 +100,8 @@ def _cell_requests(
         requests.append(_request(column, kind, system, user, text, extra(j, column, text)))
     if not requests:
         raise ValueError("no column has the role 'dynamic'")
-    return _with_request_id(samples.select(*KEYS, F.inline(F.array(*requests))))
+    keys = KEYS if copies is None else ["row_id"]
+    return _identified(samples.select(*keys, F.inline(F.array(*requests))), copies)
 
 
 def build_requests(
@@ -100,13 +111,16 @@ def build_requests(
     *,
     kind: str = "generate",
     generated: Mapping[str, str] | None = None,
+    copies: int | None = None,
 ) -> DataFrame:
     """One request per sample and dynamic column.
 
-    ``samples`` has ``row_id``, ``sample_no`` and the columns with roles. For
-    kind ``verify``, ``generated`` maps a column to the one with its new text.
+    ``samples`` has ``row_id``, ``sample_no`` and the columns with roles; with
+    ``copies`` it is the seed table, without ``sample_no``, and each row stands
+    for that many samples. For kind ``verify``, ``generated`` maps a column to
+    the one with its new text.
     """
-    found = _cell_requests(samples, roles, prompts or PromptSet(), kind, generated or {})
+    found = _cell_requests(samples, roles, prompts or PromptSet(), kind, generated or {}, copies)
     return found.select(*_REQUEST)
 
 
@@ -120,7 +134,7 @@ def tag_requests(
     user = fill_prompt(prompts.user_prompt(kind), values)
     found = documents.withColumn("sample_no", F.lit(1))
     request = _request(content, kind, prompts.system_prompt(kind), user, text, [])
-    return _with_request_id(found.select(*KEYS, F.inline(F.array(request)))).select(*_REQUEST)
+    return _identified(found.select(*KEYS, F.inline(F.array(request)))).select(*_REQUEST)
 
 
 def data_point_requests(
@@ -134,7 +148,7 @@ def data_point_requests(
         user = fill_prompt(prompts.user_prompt(kind), values)
         requests.append(_request(name, kind, system, user, F.lit(prompt), []))
     found = rows.select("row_id", F.lit(1).alias("sample_no"))
-    return _with_request_id(found.select(*KEYS, F.inline(F.array(*requests)))).select(*_REQUEST)
+    return _identified(found.select(*KEYS, F.inline(F.array(*requests)))).select(*_REQUEST)
 
 
 # --- responses -------------------------------------------------------------
@@ -156,6 +170,7 @@ def judge_responses(
     *,
     kind: str = "generate",
     generated: Mapping[str, str] | None = None,
+    copies: int | None = None,
 ) -> DataFrame:
     """Every expected cell with its response, cleaned, and a status.
 
@@ -171,7 +186,8 @@ def judge_responses(
         mine = carried if j == 0 else F.when(F.lit(False), carried)
         return [is_question(text).alias("question"), mine.alias("copied")]
 
-    expected = _cell_requests(samples, roles, prompts or PromptSet(), kind, generated or {}, extra)
+    prompts, generated = prompts or PromptSet(), generated or {}
+    expected = _cell_requests(samples, roles, prompts, kind, generated, copies, extra)
     expected = expected.select("request_id", *KEYS, "column", "question", "copied")
     joined = expected.join(best_responses(responses), "request_id", "left")
     question = F.coalesce(F.col("question"), F.lit(False))
@@ -305,9 +321,12 @@ def apply_responses(
     *,
     kind: str = "generate",
     generated: Mapping[str, str] | None = None,
+    copies: int | None = None,
 ) -> Exchange:
     """Put responses into the dynamic cells; failed cells become rejects."""
-    judged = judge_responses(samples, responses, roles, prompts, kind=kind, generated=generated)
+    judged = judge_responses(
+        samples, responses, roles, prompts, kind=kind, generated=generated, copies=copies
+    )
     return split_samples(assemble_samples(judged, roles))
 
 

@@ -74,6 +74,8 @@ def test_requests(spark, seeds):
     one = requests.filter("row_id = 1 and sample_no = 2 and column = 'input'").first()
     assert "Text: what is 1\n" in one["user"] and "Question: True" in one["user"]
     assert "Reference values: {'command': \"/c'1\"}" in one["user"]
+    direct = exchange.build_requests(seeds, ROLES, copies=3)
+    assert sorted(map(tuple, direct.collect())) == sorted(map(tuple, requests.collect()))
     other = exchange.build_requests(samples, ROLES, PromptSet(columns={"output": {"user": "new"}}))
     same = requests.join(other, "request_id").groupBy(requests["column"]).count().collect()
     assert [tuple(r) for r in same] == [("input", 15)]
