@@ -1061,3 +1061,18 @@ def tagged_files(spark, folder):
     turns = table(spark, folder, "conversations").withColumn("id", F.col("conv_id"))
     writers.write_tagged(turns, target, order_by=["id", "turn"], columns=["conv_id", "role", "text"])
     return parsing.parse_tagged_files(spark, target, ["conv_id", "role", "text"]).drop("file", "row_no")
+
+
+@query("SELECT item_id, replace(text, chr(13), '') || chr(10) AS content FROM benchmark")
+def text_documents(spark, folder):
+    target = new_staging_path(spark, "documents")
+    items = table(spark, folder, "benchmark").select("item_id", "text")
+    items.write.partitionBy("item_id").text(target)
+    found = readers.read_documents(spark, f"{target}/item_id=*")
+    item_id = F.regexp_extract("path", r"item_id=(\d+)", 1).cast("long")
+    return found.select(item_id.alias("item_id"), "content")
+
+
+@query(None)
+def list_datasets(spark, folder):
+    return readers.list_seeds(spark, folder).select("dataset", "files", "bytes")
