@@ -117,8 +117,8 @@ def build_requests(
 
     ``samples`` has ``row_id``, ``sample_no`` and the columns with roles; with
     ``copies`` it is the seed table, without ``sample_no``, and each row stands
-    for that many samples. For kind ``verify``, ``generated`` maps a column to
-    the one with its new text.
+    for that many samples. For the kinds ``verify`` and ``verify_paraphrase``,
+    ``generated`` maps a column to the one with its new text.
     """
     found = _cell_requests(samples, roles, prompts or PromptSet(), kind, generated or {}, copies)
     return found.select(*_REQUEST)
@@ -162,6 +162,17 @@ def best_responses(responses: DataFrame) -> DataFrame:
     return ranked.select("request_id", F.col("__r.content").alias("content"))
 
 
+def _finished(content: Column, question: Column, kind: str) -> Column:
+    """What a stripped response of a kind becomes as a cell."""
+    if kind in ("paraphrase", "similar", "tag_cells"):
+        return content
+    if kind == "verify":
+        return verified_ending(content, question)
+    if kind == "verify_paraphrase":
+        return verified_ending(content, question, restate=False)
+    return clean_generated(content, question)
+
+
 def judge_responses(
     samples: DataFrame,
     responses: DataFrame,
@@ -191,14 +202,7 @@ def judge_responses(
     expected = expected.select("request_id", *KEYS, "column", "question", "copied")
     joined = expected.join(best_responses(responses), "request_id", "left")
     question = F.coalesce(F.col("question"), F.lit(False))
-    content = py_strip(F.col("content"))
-    if kind == "verify":
-        ended = verified_ending(content, question)
-    elif kind == "paraphrase":
-        ended = verified_ending(content, question, restate=False)
-    else:
-        ended = clean_generated(content, question)
-    judged = joined.withColumn("cell", ended)
+    judged = joined.withColumn("cell", _finished(py_strip(F.col("content")), question, kind))
     status = (
         F.when(F.col("content").isNull(), "missing")
         .when(F.col("content").startswith(ERROR_PREFIX), "error")

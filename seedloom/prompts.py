@@ -45,6 +45,12 @@ DEFAULT_PROMPTS: dict[str, tuple[str, str]] = {
         "Question: {is_question}\n\nIf meaning, form and reference values are right, "
         "repeat the reworded text, else correct it. Answer with the text only.",
     ),
+    "verify_paraphrase": (
+        "You check a paraphrase against its source and correct it where it differs.",
+        "Source: {original}\nParaphrase: {generated}\nReference values: {reference}\n"
+        "Question: {is_question}\n\nIf meaning, form and reference values are right, "
+        "repeat the paraphrase, else correct it. Answer with the text only.",
+    ),
     "plain_paraphrase": (
         "You reword text with a different structure and the same meaning.",
         "Reword this text:\n{text}\nAnswer with the new text only.",

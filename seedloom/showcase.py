@@ -692,7 +692,7 @@ def generated_dataset(spark, folder):
 @query(
     f"""
     WITH numbered AS (SELECT row_number() OVER (ORDER BY conv_id, turn) - 1 AS row_id, text FROM conversations)
-    SELECT k::BIGINT AS copy_no, row_id, '$("' || {sql_strip("'Variant ' || k || ': ' || text")} || '")' AS "value"
+    SELECT k::BIGINT AS copy_no, row_id, '$("' || {sql_strip("'Variant ' || k || ': ' || text")} || '")' AS "value", false AS failed
     FROM numbered, range(1, 4) AS copies(k)
     """
 )

@@ -122,6 +122,12 @@ def test_paraphrase_then_verify(spark, seeds):
     done = exchange.apply_responses(both, answers, ROLES, kind="verify", generated=names).rows
     got = {(r["input"], r["output"]) for r in done.collect()}
     assert got == {("yes?", "yes.")}
+    asked = exchange.build_requests(both, ROLES, kind="verify_paraphrase", generated=names)
+    answers = asked.select("request_id", F.lit("  yes? ").alias("content"))
+    kept = exchange.apply_responses(both, answers, ROLES, kind="verify_paraphrase", generated=names).rows
+    assert {(r["input"], r["output"]) for r in kept.collect()} == {("yes?", "yes?")}
+    loose = exchange.apply_responses(samples, exchange.generate(exchange.build_requests(samples, ROLES, kind="similar")), ROLES, kind="similar").rows
+    assert loose.filter("row_id = 1 and sample_no = 1").first()["input"] == "Variant 1: what is 1"
 
 
 def test_run_and_checks(spark, seeds):
@@ -178,6 +184,10 @@ def test_one_sample_and_copies(spark, tmp_path):
     cells = spark.createDataFrame([(0, "a"), (1, "b")], "row_id bigint, text string")
     asked = generation.paraphrase_requests(cells, "text", 2)
     copies = generation.paraphrased_copies(exchange.generate(asked), asked)
+    late = copies.select("failed").distinct().collect()
+    assert [r[0] for r in late] == [False]
+    none = generation.paraphrased_copies(exchange.generate(asked).limit(0), asked)
+    assert {(r["value"], r["failed"]) for r in none.collect()} == {('$("")', True)}
     generation.write_copies(copies, str(tmp_path / "c"))
     texts = ["".join(p.read_text() for p in sorted((tmp_path / "c" / f"copy_no={i}").glob("part*"))) for i in (1, 2)]
     assert texts == [f'$("Variant {i}: a")\n\n$("Variant {i}: b")\n\n' for i in (1, 2)]
