@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from seedloom.llm import simhash
+from seedloom.llm import quality, simhash
 from seedloom.llm.common import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,7 +16,12 @@ def op9_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.components_of(read_table(spark, folder, "documents"))
 
 
+def op7_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.quality_report(read_table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Query] = {
+    "op7_quality_rules": op7_quality_rules,
     "op9_simhash": op9_simhash,
 }
 
