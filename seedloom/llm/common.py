@@ -24,7 +24,8 @@ def fresh(df: DataFrame, stem: str) -> str:
 
 def ascii_lower(text: Column) -> Column:
     """A-Z to lower case, all other characters as they are."""
-    return F.when(text.rlike("[A-Z]"), F.translate(text, _UPPER, _UPPER.lower())).otherwise(text)
+    ascii_only = F.octet_length(text) == F.char_length(text)
+    return F.when(ascii_only, F.lower(text)).otherwise(F.translate(text, _UPPER, _UPPER.lower()))
 
 
 def few_rows(df: DataFrame, most: int) -> bool:

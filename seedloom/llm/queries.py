@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from seedloom.llm import quality, simhash
+from seedloom.llm import contamination, quality, simhash
 from seedloom.llm.common import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,11 +16,17 @@ def op9_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.components_of(read_table(spark, folder, "documents"))
 
 
+def op6_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    documents, benchmark = (read_table(spark, folder, t) for t in ("documents", "benchmark"))
+    return contamination.contamination(documents, benchmark).drop("text_hash")
+
+
 def op7_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality.quality_report(read_table(spark, folder, "documents"))
 
 
 QUERIES: dict[str, Query] = {
+    "op6_decontamination": op6_decontamination,
     "op7_quality_rules": op7_quality_rules,
     "op9_simhash": op9_simhash,
 }
