@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from seedloom.llm import contamination, quality, simhash
+from seedloom.llm import contamination, pii, quality, simhash
 from seedloom.llm.common import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,6 +16,10 @@ def op9_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.components_of(read_table(spark, folder, "documents"))
 
 
+def op3_pii(spark: SparkSession, folder: str) -> DataFrame:
+    return pii.pii_report(read_table(spark, folder, "documents"))
+
+
 def op6_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     documents, benchmark = (read_table(spark, folder, t) for t in ("documents", "benchmark"))
     return contamination.contamination(documents, benchmark).drop("text_hash")
@@ -26,6 +30,7 @@ def op7_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op3_pii": op3_pii,
     "op6_decontamination": op6_decontamination,
     "op7_quality_rules": op7_quality_rules,
     "op9_simhash": op9_simhash,
