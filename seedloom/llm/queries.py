@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from seedloom.llm import contamination, pii, quality, simhash
+from seedloom.llm import contamination, mixing, pii, quality, simhash
 from seedloom.llm.common import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,6 +16,11 @@ def op9_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.components_of(read_table(spark, folder, "documents"))
 
 
+def op2_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    documents = read_table(spark, folder, "documents")
+    return mixing.mix(documents.select("doc_id", "source"), order_key=("doc_id",))
+
+
 def op3_pii(spark: SparkSession, folder: str) -> DataFrame:
     return pii.pii_report(read_table(spark, folder, "documents"))
 
@@ -30,6 +35,7 @@ def op7_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op2_mixing": op2_mixing,
     "op3_pii": op3_pii,
     "op6_decontamination": op6_decontamination,
     "op7_quality_rules": op7_quality_rules,
