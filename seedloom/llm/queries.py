@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from seedloom.llm import contamination, mixing, pii, quality, simhash
+from seedloom.llm import contamination, mixing, pii, quality, simhash, toxicity
 from seedloom.llm.common import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -34,12 +34,17 @@ def op7_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality.quality_report(read_table(spark, folder, "documents"))
 
 
+def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.score(*[read_table(spark, folder, t) for t in ("documents", "labels")])
+
+
 QUERIES: dict[str, Query] = {
     "op2_mixing": op2_mixing,
     "op3_pii": op3_pii,
     "op6_decontamination": op6_decontamination,
     "op7_quality_rules": op7_quality_rules,
     "op9_simhash": op9_simhash,
+    "op10_toxicity": op10_toxicity,
 }
 
 ORACLES: dict[str, str] = {}
