@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from seedloom.llm import contamination, mixing, pii, quality, simhash, toxicity
+from seedloom.llm import chat, contamination, mixing, pii, quality, simhash, toxicity
 from seedloom.llm.common import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,6 +16,11 @@ def op9_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.components_of(read_table(spark, folder, "documents"))
 
 
+def op1_chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
+    turns = chat.with_hostile(read_table(spark, folder, "conversations"))
+    return chat.read_back(chat.format_turns(turns))
+
+
 def op2_mixing(spark: SparkSession, folder: str) -> DataFrame:
     documents = read_table(spark, folder, "documents")
     return mixing.mix(documents.select("doc_id", "source"), order_key=("doc_id",))
@@ -39,6 +44,7 @@ def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_chat_formatting": op1_chat_formatting,
     "op2_mixing": op2_mixing,
     "op3_pii": op3_pii,
     "op6_decontamination": op6_decontamination,
@@ -47,4 +53,23 @@ QUERIES: dict[str, Query] = {
     "op10_toxicity": op10_toxicity,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op1_chat_formatting": r"""
+        WITH turns AS (
+            SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+            UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
+            UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'
+        ), rendered AS (
+            SELECT *, '### ' || upper(role[1]) || role[2:] || ': '
+                || regexp_replace(text, '(### [A-Za-z0-9%=._~-]+: |</turn>)', '\\\1', 'g')
+                || chr(10) || '</turn>' || chr(10) AS piece
+            FROM turns
+        )
+        SELECT conv_id, count(*) AS n_turns,
+            sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+            CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+            sha256(coalesce(string_agg(text, '' ORDER BY turn, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+            CAST(sum(length(piece)) AS BIGINT) AS formatted_chars
+        FROM rendered GROUP BY conv_id
+    """,
+}
