@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from seedloom.llm import chat, contamination, mixing, pii, quality, simhash, toxicity
+from seedloom.llm import chat, contamination, mixing, pii, quality, repeats, simhash, toxicity
 from seedloom.llm.common import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -30,6 +30,10 @@ def op3_pii(spark: SparkSession, folder: str) -> DataFrame:
     return pii.pii_report(read_table(spark, folder, "documents"))
 
 
+def op4_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return repeats.remove_repeats(read_table(spark, folder, "documents"))
+
+
 def op6_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     documents, benchmark = (read_table(spark, folder, t) for t in ("documents", "benchmark"))
     return contamination.contamination(documents, benchmark).drop("text_hash")
@@ -47,6 +51,7 @@ QUERIES: dict[str, Query] = {
     "op1_chat_formatting": op1_chat_formatting,
     "op2_mixing": op2_mixing,
     "op3_pii": op3_pii,
+    "op4_suffix_dedup": op4_suffix_dedup,
     "op6_decontamination": op6_decontamination,
     "op7_quality_rules": op7_quality_rules,
     "op9_simhash": op9_simhash,
