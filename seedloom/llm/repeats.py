@@ -30,9 +30,9 @@ LENGTH = 400
 # bytes each; windows of more are counted as rows.
 TOGETHER = 20_000
 
-_RUN = "id long, salt int, low int, high int, gram long, hull long"
-_PIECE = "gram long, single boolean, id long, salt int, low int, bytes binary"
-_SPAN = "id long, salt int, low int, high int"
+_RUN = "id long, salt long, low int, high int, gram long, hull long"
+_PIECE = "gram long, single boolean, id long, salt long, low int, bytes binary"
+_SPAN = "id long, salt long, low int, high int"
 _DONE = "n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
 
 
@@ -141,7 +141,7 @@ def _counted(pieces: DataFrame, length: int) -> DataFrame:
             frame = piece[["gram", "single", "id", "salt"]].reset_index(drop=True)
             yield frame.assign(name=names.view(np.int64), low=at)[["gram", "name", "single", "id", "salt", "low"]]
 
-    rows = pieces.mapInPandas(run, "gram long, name long, single boolean, id long, salt int, low int")
+    rows = pieces.mapInPandas(run, "gram long, name long, single boolean, id long, salt long, low int")
     rows = stage(rows, "windows")
     twice = rows.groupBy("gram", "name").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
     found = rows.filter("single").join(twice, ["gram", "name"], "left_semi")
@@ -179,9 +179,14 @@ def _apply(joined: DataFrame, carry: list[str], length: int, texts: bool) -> Dat
 
 
 def _keyed(documents: DataFrame) -> DataFrame:
-    # Never null, so that the text's shuffle is one and the same in both joins.
-    key: list[Column] = [F.coalesce("doc_id", F.lit(-1)).cast("long").alias("id"), F.hash("text").alias("salt")]
-    return documents.select("doc_id", *key, F.coalesce("text", F.lit("")).alias("text"))
+    """``id, salt, text``, never null; an odd salt stands for a null id.
+
+    Both joins take these three columns, so the text's shuffle is one and the same.
+    """
+    salt = F.hash("text").cast("long") * 2 + F.col("doc_id").isNull().cast("int")
+    return documents.select(
+        F.coalesce("doc_id", F.lit(-1)).cast("long").alias("id"), salt.alias("salt"), F.coalesce("text", F.lit("")).alias("text")
+    )
 
 
 def remove_repeats(documents: DataFrame, length: int = LENGTH, *, texts: bool = False, together: int = TOGETHER) -> DataFrame:
@@ -220,4 +225,6 @@ def remove_repeats(documents: DataFrame, length: int = LENGTH, *, texts: bool =
     if not found.filter(~few).isEmpty():
         spans = spans.unionByName(_counted(pieces(~few), length))
     merged = spans.groupBy("id", "salt").agg(F.collect_list(F.struct("low", "high")).alias("spans"))
-    return _apply(docs.join(merged, ["id", "salt"], "left"), ["doc_id"], length, texts)
+    done = _apply(docs.join(merged, ["id", "salt"], "left"), ["id", "salt"], length, texts)
+    doc_id = F.when(F.col("salt") % 2 == 0, F.col("id")).cast(dict(documents.dtypes)["doc_id"])
+    return done.select(doc_id.alias("doc_id"), *[c for c in done.columns if c not in ("id", "salt")])
