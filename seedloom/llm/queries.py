@@ -5,13 +5,19 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from seedloom.llm import chat, contamination, mixing, pii, quality, repeats, simhash, toxicity
+from seedloom.llm import chat, contamination, licenses, mixing, pii, quality, repeats, simhash, toxicity, urls
 from seedloom.llm.common import read_table
+from seedloom.llm.oracles import ORACLES as ORACLES
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op8_license_scans(spark: SparkSession, folder: str) -> DataFrame:
+    return licenses.scan(licenses.with_paths(read_table(spark, folder, "documents")))
+
+
 def op9_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.components_of(read_table(spark, folder, "documents"))
 
@@ -34,6 +40,13 @@ def op4_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return repeats.remove_repeats(read_table(spark, folder, "documents"))
 
 
+def op5_url_filters(spark: SparkSession, folder: str) -> DataFrame:
+    pages = read_table(spark, folder, "pages")
+    found = urls.filter_captures(urls.dated(pages), urls.derived_events(pages))
+    days = [F.col(c).cast("string").alias(c) for c in ("fetched", "since")]
+    return found.select("page_id", "url", "host", "n_active", "entry", "blocked", *days)
+
+
 def op6_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     documents, benchmark = (read_table(spark, folder, t) for t in ("documents", "benchmark"))
     return contamination.contamination(documents, benchmark).drop("text_hash")
@@ -52,29 +65,10 @@ QUERIES: dict[str, Query] = {
     "op2_mixing": op2_mixing,
     "op3_pii": op3_pii,
     "op4_suffix_dedup": op4_suffix_dedup,
+    "op5_url_filters": op5_url_filters,
     "op6_decontamination": op6_decontamination,
     "op7_quality_rules": op7_quality_rules,
+    "op8_license_scans": op8_license_scans,
     "op9_simhash": op9_simhash,
     "op10_toxicity": op10_toxicity,
 }
-
-ORACLES: dict[str, str] = {
-    "op1_chat_formatting": r"""
-        WITH turns AS (
-            SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
-            UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
-            UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'
-        ), rendered AS (
-            SELECT *, '### ' || upper(role[1]) || role[2:] || ': '
-                || regexp_replace(text, '(### [A-Za-z0-9%=._~-]+: |</turn>)', '\\\1', 'g')
-                || chr(10) || '</turn>' || chr(10) AS piece
-            FROM turns
-        )
-        SELECT conv_id, count(*) AS n_turns,
-            sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
-            CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
-            sha256(coalesce(string_agg(text, '' ORDER BY turn, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
-            CAST(sum(length(piece)) AS BIGINT) AS formatted_chars
-        FROM rendered GROUP BY conv_id
-    """,
-}
