@@ -36,13 +36,23 @@ _SPAN = "id long, salt long, low int, high int"
 _DONE = "n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
 
 
+# Rows of a batch that a task works on at once, so that its arrays stay small.
+_ROWS = 1000
+
+
+def _slices(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        for at in range(0, len(batch), _ROWS):
+            yield batch[at : at + _ROWS]
+
+
 def _encoded(text: str | None) -> bytes:
     return (text or "").encode("utf-8", "surrogatepass")
 
 
 def _runs(documents: DataFrame, length: int) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in _slices(batches):
             ids, salts = batch["id"].to_numpy(), batch["salt"].to_numpy()
             texts = [_encoded(t) for t in batch["text"]]
             for row, low, high, _, gram, hull in anchor_runs(texts, length):
@@ -57,7 +67,7 @@ def _cut(joined: DataFrame, length: int) -> DataFrame:
     """The bytes under each asked run of a document."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in _slices(batches):
             rows = []
             for i, salt, text, asked in batch.itertuples(index=False, name=None):
                 data = _encoded(text)
@@ -113,9 +123,7 @@ def _refined(pieces: DataFrame, length: int) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[pd.DataFrame] = []
-        for batch in batches:
-            if not len(batch):
-                continue
+        for batch in _slices(batches):
             last = batch["gram"].iloc[-1]
             done = batch["gram"] != last
             if done.any():
@@ -132,9 +140,7 @@ def _counted(pieces: DataFrame, length: int) -> DataFrame:
     """The same for grams with too many contents for one task: a row per window."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            if not len(batch):
-                continue
+        for batch in _slices(batches):
             row, offset, names = _windows(batch, length)
             piece = batch.iloc[row]
             at = piece["low"].to_numpy() + offset
