@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seedloom.functions.expr import let
-from seedloom.llm.common import ascii_lower, few_rows
+from seedloom.llm.common import ascii_lower, few_rows, fresh
 
 WINDOW = 13
 # Up to so many different windows (about 100 bytes each) the set is broadcast.
@@ -118,6 +118,7 @@ def contamination(documents: DataFrame, benchmark: DataFrame, window: int = WIND
 def remove_contaminated(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """The documents that are not contaminated, as they came."""
     bad = contamination(documents, benchmark, window).filter("contaminated")
-    bad = bad.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hh")).distinct()
-    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__hh"))
+    i, h = fresh(documents, "__id"), fresh(documents, "__hash")
+    bad = bad.select(F.col("doc_id").alias(i), F.col("text_hash").alias(h)).distinct()
+    same = F.col("doc_id").eqNullSafe(F.col(i)) & (F.xxhash64("text") == F.col(h))
     return documents.join(bad, same, "left_anti")

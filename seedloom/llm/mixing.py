@@ -18,7 +18,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from seedloom.llm.common import few_rows, fresh
+from seedloom.llm.common import few_rows
 
 
 class Settings(NamedTuple):
@@ -134,7 +134,6 @@ def mix(
     spark = documents.sparkSession
     added = ["block", "release", "deadline", "slot", "place"]
     kept = [c for c in documents.columns if c.lower() not in added]
-    src, bucket, digest = (fresh(documents, n) for n in ("__source", "__bucket", "__digest"))
     counted = documents.groupBy(_source("source").alias("s")).count().limit(settings.most_sources + 1).collect()
     if len(counted) > settings.most_sources:
         raise ValueError(f"more than {settings.most_sources} sources; group them first")
@@ -153,35 +152,37 @@ def mix(
     table = F.broadcast(
         spark.createDataFrame(
             [(s, buckets[s], [tuple(x) for x in plan[s]]) for s in counts],
-            f"__s string, __buckets bigint, __plan {stretch}",
+            f"of string, buckets bigint, plan {stretch}",
         )
     )
 
-    hashed = documents.select(*kept, _source("source").alias(src), F.xxhash64(F.lit(settings.seed), *order_key).alias(digest))
-    placed = hashed.join(table.drop("__plan"), F.col(src) == F.col("__s"))
-    placed = placed.withColumn(bucket, F.pmod(F.col(digest), F.col("__buckets"))).drop("__s", "__buckets")
-    sizes = placed.groupBy(src, bucket).agg(F.count(F.lit(1)).alias("__n"))
+    # The document travels as one column, so its names clash with none of these.
+    first = F.xxhash64(F.lit(settings.seed), *order_key).alias("digest")
+    hashed = documents.select(F.struct(*kept).alias("row"), _source("source").alias("s"), first, F.col(order_key[0]).alias("k0"))
+    placed = hashed.join(table.drop("plan"), F.col("s") == F.col("of"))
+    placed = placed.withColumn("bucket", F.pmod("digest", "buckets")).drop("of", "buckets")
+    sizes = placed.groupBy("s", "bucket").agg(F.count(F.lit(1)).alias("n"))
     # One row per piece of a source.
-    earlier = Window.partitionBy(src).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select(
-        F.col(src).alias("__s"), F.col(bucket).alias("__b"), F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__from")
-    )
+    earlier = Window.partitionBy("s").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before")
+    offsets = sizes.select(F.col("s").alias("os"), F.col("bucket").alias("ob"), before)
     if few_rows(sizes, settings.few_offsets):
         offsets = F.broadcast(offsets)
-    in_piece = F.row_number().over(Window.partitionBy(src, bucket).orderBy(digest, *order_key[:1]))
-    numbered = placed.withColumn("__at", in_piece - 1)
-    numbered = numbered.join(offsets, (F.col(src) == F.col("__s")) & (F.col(bucket) == F.col("__b"))).drop("__s", "__b")
-    at = F.col("__from") + F.col("__at")
-    numbered = numbered.withColumn("block", F.call_function("div", at, F.lit(settings.block)))
-    numbered = numbered.withColumn("place", (at % settings.block).cast("int"))
-    found = numbered.join(table.drop("__buckets"), F.col(src) == F.col("__s"))
-    mine = F.filter("__plan", lambda p: (p["first"] <= F.col("block")) & (F.col("block") < p["last"]))
-    k = F.col("block") - F.col("__p.first")
-    share, period, base = (F.col(f"__p.{c}") for c in ("share", "period", "base"))
+    in_piece = F.row_number().over(Window.partitionBy("s", "bucket").orderBy("digest", "k0"))
+    numbered = placed.withColumn("at", in_piece - 1)
+    numbered = numbered.join(offsets, (F.col("s") == F.col("os")) & (F.col("bucket") == F.col("ob")))
+    at = F.col("before") + F.col("at")
+    block, place = F.call_function("div", at, F.lit(settings.block)), (at % settings.block).cast("int")
+    numbered = numbered.select("row", "s", block.alias("block"), place.alias("place"))
+    found = numbered.join(table.drop("buckets"), F.col("s") == F.col("of"))
+    mine = F.filter("plan", lambda p: (p["first"] <= F.col("block")) & (F.col("block") < p["last"]))
+    found = found.withColumn("p", mine[0])
+    k = F.col("block") - F.col("p.first")
+    share, period, base = (F.col(f"p.{c}") for c in ("share", "period", "base"))
     release = base + F.call_function("div", k * period, share)
     deadline = base + F.call_function("div", (k + 1) * period + share - 1, share)
-    slot = base + F.call_function("div", k, share) * period + F.get(F.col("__p.slots"), (k % share).cast("int"))
-    found = found.withColumn("__p", mine[0])
+    slot = base + F.call_function("div", k, share) * period + F.get(F.col("p.slots"), (k % share).cast("int"))
+    document = [F.col("row").getField(c).alias(c) for c in kept]
     return found.select(
-        *kept, "block", release.alias("release"), deadline.alias("deadline"), slot.alias("slot"), "place"
+        *document, "block", release.alias("release"), deadline.alias("deadline"), slot.alias("slot"), "place"
     )

@@ -187,14 +187,16 @@ def judged(documents: DataFrame, carry: list[str], rules: Rules = RULES) -> tupl
     name, verdict = fresh(documents, "__quality"), fresh(documents, "__kept")
     rows = stage(measured(documents, name).select(*carry, name), "quality")
     fences = limits(sketches(rows, name, rules), rules)
-    fences = stage(fences.select(F.struct("lang", "source").alias("__g"), F.struct(*[m for m, _ in rules.spread]).alias("__f")), "fences")
+    g, f = fresh(documents, "__g"), fresh(documents, "__f")
+    fences = fences.select(F.struct("lang", "source").alias(g), F.struct(*[m for m, _ in rules.spread]).alias(f))
+    fences = stage(fences, "fences")
     if few_rows(fences, rules.few_groups):
         fences = F.broadcast(fences)
     group = F.struct(_group("lang").alias("lang"), _group("source").alias("source"))
-    joined = rows.alias("d").join(fences, group == F.col("__g"), "left")
+    joined = rows.alias("d").join(fences, group == F.col(g), "left")
     inside = F.lit(True)
     for m, _ in rules.spread:
-        value, fence = F.col(f"d.{name}")[m], F.col("__f")[m]
+        value, fence = F.col(f"d.{name}")[m], F.col(f)[m]
         inside = inside & (value <= fence["high"])
         if m == "word_length":
             inside = inside & (value >= fence["low"])
