@@ -175,7 +175,7 @@ def _features(text: Column, kind: str, span: Column) -> Column:
         before.rlike("[A-Za-z]$"),
         before.rlike(r"[+(=\"'/#-]\s?$"),
         after.rlike("[A-Za-z]"),
-        after.rlike("[.,;:!? ]"),
+        (after == "") | after.rlike(r"[.,;:!?\s]"),
         *[before.rlike(p) for p in _CONTEXT],
     ]
     return F.array(*[x.cast("double") for x in numbers], *[_flag(x) for x in flags])
