@@ -209,26 +209,33 @@ def verified_ending(text: Column, question: Column, *, restate: bool = True) ->
 # --- JSON and Python notation --------------------------------------------
 
 
-_JSON_START = r'^(?:[\[{"\-0-9]|true|false|null)'
+# What a JSON value, or one of the words that Python's parser takes besides,
+# starts and ends with. Any other text is none, and a failed parse is slow.
+_JSON_LIKE = r"""(?s)^(?:\[.*\]|\{.*\}|".*"|-?[0-9](?:.*[0-9])?|true|false|null)$"""
 
 
 def json_or_raw(text: Column) -> Column:
     """Struct of ``is_json``, ``value`` (VARIANT, NULL on bad JSON) and ``raw``.
 
     Spark's parser stops after the first value and ignores the rest, so the
-    text is valid if an array of it and its digest parses to just that. An
-    object that repeats a key counts as bad.
+    text is parsed once, inside an array with its digest: it is valid if that
+    has just two entries. Of repeated keys the last counts, given the session
+    settings of this package. ``NaN`` and the infinities are JSON to Python's
+    parser; they become the text of that name.
     """
 
     t = py_strip(text)
     digest = F.md5(t)
-    # A failed parse is slow, so plain words are told apart by their start.
-    likely = F.left(t, F.lit(5)).rlike(_JSON_START)
-    framed = F.when(likely, F.concat(F.lit("["), t, F.lit(',"'), digest, F.lit('"]')))
-    last = F.try_variant_get(F.try_parse_json(framed), "$[1]", "string")
-    whole = F.coalesce(last == digest, F.lit(False))
-    value = F.try_parse_json(F.when(whole, t))
-    return F.struct(whole.alias("is_json"), value.alias("value"), t.alias("raw"))
+    constant = t.isin("NaN", "Infinity", "-Infinity")
+    shown = F.when(constant, F.concat(F.lit('"'), t, F.lit('"'))).when(t.rlike(_JSON_LIKE), t)
+    framed = F.concat(F.lit("["), shown, F.lit(',"'), digest, F.lit('"]'))
+
+    def of(parsed: Column) -> Column:
+        whole = F.coalesce(F.try_variant_get(parsed, "$[1]", "string") == digest, F.lit(False))
+        value = F.when(whole, F.try_variant_get(parsed, "$[0]", "variant"))
+        return F.struct(whole.alias("is_json"), value.alias("value"), t.alias("raw"))
+
+    return let(F.try_parse_json(framed), of)
 
 
 _UNPRINTABLE = r"[\p{C}\p{Z}&&[^ ]]"

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 from typing import NamedTuple
 
@@ -12,13 +14,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seedloom.operators.numbering import with_row_id
-from seedloom.sources.readers import dataset_files
+from seedloom.sources.readers import dataset_files, unreadable
+
+
+_WHOLE = ["tinyint", "smallint", "int", "bigint"]
+_NUMERIC = [*_WHOLE, "float", "double"]
+
+
+def _common(kinds: set[str]) -> str:
+    """The type that values of several types share."""
+    if kinds <= set(_WHOLE):
+        return max(kinds, key=_WHOLE.index)
+    return "double" if kinds <= set(_NUMERIC) else "string"
 
 
 def combine(frames: Sequence[DataFrame]) -> DataFrame:
     """Concatenate by column name; missing cells are NULL, duplicates stay.
 
-    A column whose type differs between inputs becomes text in all of them.
+    Columns of different numeric types take the wider one; a column that is a
+    number here and something else there becomes text in all of them.
     """
     if len(frames) < 2:
         raise ValueError("at least two datasets are needed")
@@ -26,11 +40,11 @@ def combine(frames: Sequence[DataFrame]) -> DataFrame:
     for frame in frames:
         for name, kind in frame.dtypes:
             types.setdefault(name, set()).add(kind)
-    clashing = {name for name, kinds in types.items() if len(kinds) > 1}
+    wider = {name: _common(kinds) for name, kinds in types.items() if len(kinds) > 1}
 
     def aligned(frame: DataFrame) -> DataFrame:
         return frame.select(
-            *[F.col(c).cast("string").alias(c) if c in clashing else F.col(c) for c in frame.columns]
+            *[F.col(c).cast(wider[c]).alias(c) if c in wider else F.col(c) for c in frame.columns]
         )
 
     union = lambda a, b: a.unionByName(b, allowMissingColumns=True)
@@ -39,20 +53,36 @@ def combine(frames: Sequence[DataFrame]) -> DataFrame:
 
 class Combined(NamedTuple):
     rows: DataFrame
-    skipped: list[str]
+    skipped: list[tuple[str, str]]
 
 
 def combine_directory(spark: SparkSession, folder: str) -> Combined:
     """Concatenate all Parquet datasets of a folder, skipping unreadable ones.
 
-    With nothing readable the result is an empty frame.
+    Footers are read a few at a time, and datasets of one schema are one scan,
+    so the plan has a branch per schema. What is skipped comes with the reason;
+    an error that is not about the form of a dataset is raised. With nothing
+    readable the result is an empty frame.
     """
-    frames, skipped = [], []
-    for path in dataset_files(spark, folder, [".parquet"]):
+    paths = dataset_files(spark, folder, [".parquet"])
+
+    def opened(path: str) -> DataFrame | str:
         try:
-            frames.append(spark.read.parquet(path))
-        except (PySparkException, Py4JJavaError):
-            skipped.append(path)
+            return spark.read.parquet(path)
+        except (PySparkException, Py4JJavaError) as error:
+            if not unreadable(error):
+                raise
+            reason = re.search(r"\[[A-Z_.]+\][^\n]*", str(error))
+            return reason[0] if reason else str(error).splitlines()[0]
+
+    with ThreadPoolExecutor(max_workers=16) as pool:
+        found = dict(zip(paths, pool.map(opened, paths), strict=True))
+    skipped = [(path, frame) for path, frame in found.items() if isinstance(frame, str)]
+    schemas: dict[str, list[str]] = {}
+    for path, frame in found.items():
+        if not isinstance(frame, str):
+            schemas.setdefault(frame.schema.json(), []).append(path)
+    frames = [spark.read.schema(found[p[0]].schema).parquet(*p) for p in schemas.values()]
     if not frames:
         return Combined(spark.createDataFrame([], "struct<>"), skipped)
     return Combined(frames[0] if len(frames) == 1 else combine(frames), skipped)
@@ -76,11 +106,17 @@ def joined_lines(
     return found.select("text_no", F.col("at").cast("long").alias("line_no"), line)
 
 
+_PACKED = (".gz", ".bz2", ".xz", ".zst", ".lz4", ".snappy", ".deflate")
+
+
 def combine_texts(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     """Concatenate text files in the given order, one blank line between.
 
-    Each file is read line by line, by many tasks when it is large.
+    Each file is read line by line, by many tasks when it is large. Compressed
+    files are refused: their size tells nothing about their last line.
     """
+    if packed := [p for p in paths if _extension(p) in _PACKED]:
+        raise ValueError(f"{packed[0]} is compressed; unpack it first")
     if len(paths) < 2:
         raise ValueError("at least two files are needed")
     if len({_extension(p) for p in paths}) > 1:

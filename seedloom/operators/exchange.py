@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from seedloom.functions.expr import let
 from seedloom.functions.text import (
     clean_generated,
     is_question,
@@ -21,11 +22,9 @@ from seedloom.functions.text import (
     py_strip,
     verified_ending,
 )
-from seedloom.operators.amplify import amplify, missing_rows
+from seedloom.operators.amplify import amplify, missing_rows, task_count
 from seedloom.operators.roles import (
     DYNAMIC,
-    REFERENCE,
-    STATIC,
     check_roles,
     columns_with,
     reference_text,
@@ -37,50 +36,64 @@ from seedloom.sources.staging import new_staging_path
 ERROR_PREFIX = "Error: "
 
 KEYS = ["row_id", "sample_no"]
+
+
+def failed(content: Column) -> Column:
+    """Whether a response is no content: missing, or an error however it is padded."""
+    return F.coalesce(py_strip(content).startswith(ERROR_PREFIX), F.lit(True))
+
+
 _REQUEST = ["request_id", *KEYS, "column", "kind", "system", "user", "text"]
 
 
-def _request(
-    column: str, kind: str, system: str, user: Column, text: Column, extra: list[Column]
-) -> Column:
+def _request(column: str, kind: str, system: str, user: Column, text: Column) -> Column:
     return F.struct(
         F.lit(column).alias("column"),
         F.lit(kind).alias("kind"),
         F.lit(system).alias("system"),
         user.alias("user"),
         text.alias("text"),
-        *extra,
     )
 
 
-def _identified(requests: DataFrame, copies: int | None = None) -> DataFrame:
+def _digest(kind: Column, system: Column, user: Column) -> Column:
+    return F.md5(F.concat_ws("\n", kind, system, user))
+
+
+def _sample_key() -> Column:
+    return F.concat_ws(":", *[F.col(k).cast("string") for k in KEYS])
+
+
+# What stands before the digest and the column in a request id.
+_KEY_OF_ID = r"^(.*:-?\d+):[0-9a-f]{32}:"
+
+
+def _identified(requests: DataFrame, copies: int | None = None, tasks: int | None = None) -> DataFrame:
     """Add the request id; with ``copies``, first number that many samples.
 
     The prompts of a cell do not depend on the sample, so they are filled and
-    digested once per seed row and only then multiplied.
+    digested once per seed row and only then multiplied. With ``tasks``, rows
+    are spread over so many before they are multiplied.
     """
-    digest = F.md5(F.concat_ws("\n", "kind", "system", "user"))
-    requests = requests.withColumn("__digest", digest)
+    requests = requests.withColumn("__digest", _digest(F.col("kind"), F.col("system"), F.col("user")))
     if copies is not None:
-        requests = amplify(requests, copies)
-    keys = [F.col(k).cast("string") for k in KEYS]
-    request_id = F.concat_ws(":", *keys, "__digest", "column")
+        requests = amplify(requests, copies, tasks=tasks)
+    request_id = F.concat_ws(":", _sample_key(), "__digest", "column")
     return requests.withColumn("request_id", request_id).drop("__digest")
 
 
-def _cell_requests(
+def _cells(
     samples: DataFrame,
     roles: Mapping[str, str],
     prompts: PromptSet,
     kind: str,
     generated: Mapping[str, str],
-    copies: int | None,
-    extra: Callable[[int, str, Column], list[Column]] = lambda j, c, text: [],
-) -> DataFrame:
+) -> dict[str, tuple[str, Column, Column]]:
+    """System prompt, user prompt and text of every dynamic column."""
     check_roles(samples, roles)
     references = reference_text(samples, roles)
-    requests = []
-    for j, column in enumerate(columns_with(roles, DYNAMIC)):
+    cells = {}
+    for column in columns_with(roles, DYNAMIC):
         text = F.col(column).cast("string")
         asked = F.when(is_question(text), "True").otherwise("False")
         values = {
@@ -96,12 +109,10 @@ def _cell_requests(
         if "command" in samples.columns:
             values["command"] = F.col("command")
         user = fill_prompt(prompts.user_prompt(kind, column), values)
-        system = prompts.system_prompt(kind, column)
-        requests.append(_request(column, kind, system, user, text, extra(j, column, text)))
-    if not requests:
+        cells[column] = (prompts.system_prompt(kind, column), user, text)
+    if not cells:
         raise ValueError("no column has the role 'dynamic'")
-    keys = KEYS if copies is None else ["row_id"]
-    return _identified(samples.select(*keys, F.inline(F.array(*requests))), copies)
+    return cells
 
 
 def build_requests(
@@ -112,16 +123,21 @@ def build_requests(
     kind: str = "generate",
     generated: Mapping[str, str] | None = None,
     copies: int | None = None,
+    tasks: int | None = None,
 ) -> DataFrame:
     """One request per sample and dynamic column.
 
     ``samples`` has ``row_id``, ``sample_no`` and the columns with roles; with
     ``copies`` it is the seed table, without ``sample_no``, and each row stands
     for that many samples. For the kinds ``verify`` and ``verify_paraphrase``,
-    ``generated`` maps a column to the one with its new text.
+    ``generated`` maps a column to the one with its new text. With ``tasks``
+    the seeds are spread over so many before they are multiplied.
     """
-    found = _cell_requests(samples, roles, prompts or PromptSet(), kind, generated or {}, copies)
-    return found.select(*_REQUEST)
+    cells = _cells(samples, roles, prompts or PromptSet(), kind, generated or {})
+    requests = [_request(c, kind, system, user, text) for c, (system, user, text) in cells.items()]
+    keys = KEYS if copies is None else ["row_id"]
+    found = samples.select(*keys, F.inline(F.array(*requests)))
+    return _identified(found, copies, tasks).select(*_REQUEST)
 
 
 def tag_requests(
@@ -133,7 +149,7 @@ def tag_requests(
     values = {"text": text, "columns": F.lit(", ".join(fields))}
     user = fill_prompt(prompts.user_prompt(kind), values)
     found = documents.withColumn("sample_no", F.lit(1))
-    request = _request(content, kind, prompts.system_prompt(kind), user, text, [])
+    request = _request(content, kind, prompts.system_prompt(kind), user, text)
     return _identified(found.select(*KEYS, F.inline(F.array(request)))).select(*_REQUEST)
 
 
@@ -146,7 +162,7 @@ def data_point_requests(
     for name, prompt in fields.items():
         values = {"column": F.lit(name), "prompt": F.lit(prompt)}
         user = fill_prompt(prompts.user_prompt(kind), values)
-        requests.append(_request(name, kind, system, user, F.lit(prompt), []))
+        requests.append(_request(name, kind, system, user, F.lit(prompt)))
     found = rows.select("row_id", F.lit(1).alias("sample_no"))
     return _identified(found.select(*KEYS, F.inline(F.array(*requests)))).select(*_REQUEST)
 
@@ -157,11 +173,17 @@ def data_point_requests(
 def best_responses(responses: DataFrame) -> DataFrame:
     """One response per request id: a good one before an error."""
     content = F.col("content")
-    good = content.isNotNull() & ~content.startswith(ERROR_PREFIX)
-    ranked = responses.groupBy("request_id").agg(F.max(F.struct(good.alias("good"), content)).alias("__r"))
+    ranked = responses.groupBy("request_id").agg(
+        F.max(F.struct((~failed(content)).alias("good"), content)).alias("__r")
+    )
     return ranked.select("request_id", F.col("__r.content").alias("content"))
 
 
+def response_status(content: Column) -> Column:
+    """``missing``, ``error`` or ``ok``."""
+    return F.when(content.isNull(), "missing").when(failed(content), "error").otherwise("ok")
+
+
 def _finished(content: Column, question: Column, kind: str) -> Column:
     """What a stripped response of a kind becomes as a cell."""
     if kind in ("paraphrase", "similar", "tag_cells"):
@@ -183,50 +205,75 @@ def judge_responses(
     generated: Mapping[str, str] | None = None,
     copies: int | None = None,
 ) -> DataFrame:
-    """Every expected cell with its response, cleaned, and a status.
+    """One row per sample: its columns, ``failed`` and ``changed``.
 
-    The status is ``ok``, ``missing``, ``error`` or ``empty``; the response as
-    it came is kept only where it is not ok. The first cell of a sample carries
-    its copied columns, so no second pass over the samples is needed to put
-    the rows together.
-    """
-    copied = [F.col(c) for c in columns_with(roles, STATIC, REFERENCE)]
-    carried = F.struct(F.lit(1).alias("__one"), *copied)
-
-    def extra(j: int, column: str, text: Column) -> list[Column]:
-        mine = carried if j == 0 else F.when(F.lit(False), carried)
-        return [is_question(text).alias("question"), mine.alias("copied")]
+    ``failed`` lists the cells that are not ok, with status ``missing``,
+    ``error`` or ``empty`` and the response as it came; ``changed`` tells per
+    dynamic column whether the cell differs from the one it was asked for.
 
+    Responses are grouped by the sample their id names and joined once with
+    the samples, which compute the ids they expect: two shuffles, and neither
+    samples nor cells are taken apart. Outdated and repeated responses of a
+    sample are weighed in its row, so they have to fit into one.
+    """
     prompts, generated = prompts or PromptSet(), generated or {}
-    expected = _cell_requests(samples, roles, prompts, kind, generated, copies, extra)
-    expected = expected.select("request_id", *KEYS, "column", "question", "copied")
-    joined = expected.join(best_responses(responses), "request_id", "left")
-    question = F.coalesce(F.col("question"), F.lit(False))
-    judged = joined.withColumn("cell", _finished(py_strip(F.col("content")), question, kind))
-    status = (
-        F.when(F.col("content").isNull(), "missing")
-        .when(F.col("content").startswith(ERROR_PREFIX), "error")
-        .when(F.coalesce(F.col("cell"), F.lit("")) == "", "empty")
-        .otherwise("ok")
-    )
-    judged = judged.withColumn("status", status)
-    bad = F.col("status") != "ok"
-    return judged.withColumn("content", F.when(bad, F.col("content")))
-
-
-def assemble_samples(judged: DataFrame, roles: Mapping[str, str]) -> DataFrame:
-    """One row per sample: its columns, and in ``failed`` the cells not ok."""
-    dynamic = columns_with(roles, DYNAMIC)
-    cells = [F.max(F.when(F.col("column") == c, F.col("cell"))).alias(c) for c in dynamic]
-    failed = F.when(F.col("status") != "ok", F.struct("request_id", "column", "status", "content"))
-    bad = [F.max(F.when(F.col("column") == c, failed)) for c in dynamic]
-    wide = judged.groupBy(*KEYS).agg(
-        F.array_compact(F.array(*bad)).alias("failed"),
-        F.first("copied", ignorenulls=True).alias("__copied"),
-        *cells,
+    cells = _cells(samples, roles, prompts, kind, generated)
+    expected = [
+        F.struct(_digest(F.lit(kind), F.lit(system), user).alias("digest"), is_question(text).alias("question"))
+        for system, user, text in cells.values()
+    ]
+    keys = KEYS if copies is None else ["row_id"]
+    asked = samples.select(*keys, *roles, F.array(*expected).alias("__cells"))
+    if copies is not None:
+        asked = amplify(asked, copies)
+    asked = asked.withColumn("__key", _sample_key())
+    content = F.col("content")
+    answer = F.struct("request_id", (~failed(content)).alias("good"), content.alias("content"))
+    key = F.regexp_extract("request_id", _KEY_OF_ID, 1).alias("__key")
+    answers = responses.groupBy(key).agg(F.collect_list(answer).alias("__answers"))
+    joined = asked.join(answers, "__key", "left")
+
+    def judged(n: int, column: str) -> Column:
+        cell = F.col("__cells")[n]
+        request_id = F.concat_ws(":", "__key", cell["digest"], F.lit(column))
+        question = F.coalesce(cell["question"], F.lit(False))
+
+        def mine(request_id: Column) -> Column:
+            own = F.filter("__answers", lambda a: a["request_id"] == request_id)
+            best = F.array_max(F.transform(own, lambda a: F.struct(a["good"], a["content"])))["content"]
+
+            def judge(content: Column) -> Column:
+                def state(done: Column) -> Column:
+                    status = response_status(content)
+                    status = F.when((status == "ok") & (F.coalesce(done, F.lit("")) == ""), "empty").otherwise(status)
+                    return F.struct(
+                        request_id.alias("request_id"), status.alias("status"), content.alias("content"), done.alias("cell")
+                    )
+
+                return let(_finished(py_strip(content), question, kind), state)
+
+            return let(best, judge)
+
+        return let(request_id, mine).alias(f"__{n}")
+
+    found = joined.select(*KEYS, *roles, *[judged(n, c) for n, c in enumerate(cells)])
+    names = list(cells)
+
+    def bad(n: int) -> Column:
+        j = F.col(f"__{n}")
+        shown = F.struct(j["request_id"].alias("request_id"), F.lit(names[n]).alias("column"), j["status"].alias("status"), j["content"].alias("content"))
+        return F.when(j["status"] != "ok", shown)
+
+    def value(column: str) -> Column:
+        return F.col(f"__{names.index(column)}")["cell"].alias(column) if column in cells else F.col(column)
+
+    changed = [(~F.col(c).cast("string").eqNullSafe(F.col(f"__{n}")["cell"])).alias(c) for n, c in enumerate(names)]
+    return found.select(
+        *KEYS,
+        *[value(c) for c in roles],
+        F.array_compact(F.array(*[bad(n) for n in range(len(names))])).alias("failed"),
+        F.struct(*changed).alias("changed"),
     )
-    columns = [F.col(c) if c in dynamic else F.col(f"__copied.`{c}`").alias(c) for c in roles]
-    return wide.select(*KEYS, *columns, "failed")
 
 
 class Exchange(NamedTuple):
@@ -238,15 +285,16 @@ def split_samples(samples: DataFrame) -> Exchange:
     """Whole samples as rows, and the cells of the others to ask for again."""
     whole = F.size("failed") == 0
     rejects = samples.filter(~whole).select(*KEYS, F.inline("failed"))
-    return Exchange(samples.filter(whole).drop("failed"), rejects)
+    return Exchange(samples.filter(whole).drop("failed", "changed"), rejects)
 
 
 def parsed_data_points(requests: DataFrame, responses: DataFrame) -> DataFrame:
-    """Responses to data point requests: parsed JSON, or raw text if it is none."""
-    joined = requests.join(best_responses(responses), "request_id")
-    failed = F.col("content").startswith(ERROR_PREFIX)
-    parsed = joined.filter(~failed).withColumn("json", json_or_raw(F.col("content")))
-    return parsed.select(*KEYS, "column", "json.*")
+    """Every request with its status and its response: parsed JSON, or raw text if it is none."""
+    joined = requests.join(best_responses(responses), "request_id", "left")
+    judged = joined.withColumn("status", response_status(F.col("content")))
+    usable = F.when(F.col("status") == "ok", F.col("content"))
+    parsed = judged.withColumn("json", json_or_raw(usable))
+    return parsed.select("request_id", *KEYS, "column", "status", "content", "json.*")
 
 
 def fill_to_size(
@@ -260,14 +308,19 @@ def fill_to_size(
     return data_point_requests(missing_rows(spark, seeds.count(), size), fields, prompts)
 
 
-def filled_rows(seeds: DataFrame, points: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """The seed rows and, below them, one row per complete set of data points."""
+def filled_rows(seeds: DataFrame, points: DataFrame, columns: Sequence[str]) -> Exchange:
+    """The seed rows and, below them, one row per complete set of data points.
+
+    The points that keep a row from being complete are the rejects.
+    """
     text = F.coalesce(F.variant_get("value", "$", "string"), F.col("raw"))
     values = [F.max(F.when(F.col("column") == c, text)).alias(c) for c in columns]
-    made = points.groupBy("row_id").agg(F.count(F.lit(1)).alias("__n"), *values)
+    ok = F.count_if(F.col("status") == "ok").alias("__n")
+    made = points.groupBy("row_id").agg(ok, *values)
     made = made.filter(F.col("__n") == len(columns)).drop("__n", "row_id")
     kept = seeds.select(*[F.col(c).cast("string").alias(c) for c in columns])
-    return kept.unionByName(made)
+    rejects = points.filter("status <> 'ok'").select(*KEYS, "request_id", "column", "status", "content")
+    return Exchange(kept.unionByName(made), rejects)
 
 
 # --- generating inside the job --------------------------------------------
@@ -282,22 +335,33 @@ def restate(requests: pd.DataFrame) -> pd.Series:
 
 
 def generate(
-    requests: DataFrame, generator: Generator = restate, *, tasks: int | None = None
+    requests: DataFrame, generator: Generator = restate, *, tasks: int | None = None, spread: bool = True
 ) -> DataFrame:
     """Responses from a function over batches of requests.
 
-    ``generator`` gets a pandas batch of requests and returns their contents.
-    Requests are spread evenly first: a call costs time that their bytes,
-    which AQE goes by, do not show.
+    ``generator`` gets a pandas batch of requests and returns their contents;
+    if it fails, or returns another number of them, each request of the batch
+    gets an error as its content. Requests are spread evenly first: a call
+    costs time that their bytes, which AQE goes by, do not show. Without
+    ``spread`` they are taken as they lie, as after ``build_requests(tasks=...)``.
     """
 
+    def contents(batch: pd.DataFrame) -> list:
+        try:
+            made = list(generator(batch))
+        except Exception as error:  # whatever a model call may raise
+            return [f"{ERROR_PREFIX}{error}"] * len(batch)
+        if len(made) != len(batch):
+            return [f"{ERROR_PREFIX}{len(made)} contents for {len(batch)} requests"] * len(batch)
+        return made
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame({"request_id": batch["request_id"], "content": generator(batch)})
+            yield pd.DataFrame({"request_id": batch["request_id"], "content": contents(batch)})
 
-    tasks = tasks or int(requests.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    spread = requests.repartition(tasks, "request_id")
-    return spread.mapInPandas(run, "request_id string, content string")
+    if spread:
+        requests = requests.repartition(tasks or task_count(requests.sparkSession), "request_id")
+    return requests.mapInPandas(run, "request_id string, content string")
 
 
 def generate_to(
@@ -306,6 +370,7 @@ def generate_to(
     generator: Generator = restate,
     *,
     tasks: int | None = None,
+    spread: bool = True,
 ) -> DataFrame:
     """Generate once, keep the responses in a table and return them read back.
 
@@ -313,7 +378,7 @@ def generate_to(
     """
     spark = requests.sparkSession
     path = path or new_staging_path(spark, "responses")
-    generate(requests, generator, tasks=tasks).write.parquet(path)
+    generate(requests, generator, tasks=tasks, spread=spread).write.parquet(path)
     return spark.read.parquet(path)
 
 
@@ -331,7 +396,7 @@ def apply_responses(
     judged = judge_responses(
         samples, responses, roles, prompts, kind=kind, generated=generated, copies=copies
     )
-    return split_samples(assemble_samples(judged, roles))
+    return split_samples(judged)
 
 
 # --- named uses --------------------------------------------------------------

@@ -11,10 +11,7 @@ from seedloom.functions.expr import whole_div
 from seedloom.sources.staging import stage
 
 _OFFSET_BITS = 33  # monotonically_increasing_id keeps the row number in the low bits
-_SPAN = 1 << 18  # row ids per join key when a group's first id is looked up
-# Group intervals are broadcast up to this many groups and bytes of group values.
-_FEW_GROUPS = 100_000
-_FEW_BYTES = 32 << 20
+BLOCK = 1 << 18  # row ids per join key when a group's first id is looked up
 
 
 def _columns(names: Sequence[str | Column]) -> list[Column]:
@@ -59,12 +56,6 @@ def with_row_id(
     return numbered.select(*df.columns, (F.col("__start") + F.col("__at")).alias(name))
 
 
-def _is_small(spans: DataFrame, groups: Sequence[str]) -> bool:
-    size = sum((F.coalesce(F.octet_length(F.col(g).cast("string")), F.lit(0)) for g in groups), F.lit(0))
-    count, total = spans.agg(F.count(F.lit(1)), F.sum(size)).first()
-    return count <= _FEW_GROUPS and (total or 0) <= _FEW_BYTES
-
-
 def number_within(
     df: DataFrame,
     groups: Sequence[str],
@@ -72,28 +63,25 @@ def number_within(
     *,
     name: str = "position",
     size_name: str | None = None,
+    block: int = BLOCK,
 ) -> DataFrame:
     """Number the rows 0.. within each group, without a task per group.
 
     Rows get dense ids in (group, order), so each group is one interval of
-    ids. The intervals are counted: few are broadcast, and the rows are not
-    shuffled again. Many are joined by (group, block of ids), which cuts a
-    group of any size into join keys of at most 262,144 rows.
+    ids. The intervals are staged and joined by (group, block of ids), which
+    cuts a group of any size into join keys of at most ``block`` rows. Spark
+    knows the size of the staged intervals and broadcasts few of them itself.
     """
     ids = with_row_id(df, [*groups, *order_by], name="__id")
     spans = ids.groupBy(*groups).agg(
         F.min("__id").alias("__first"), F.max("__id").alias("__last")
     )
     spans = stage(spans, "spans")
-    left, right, same = ids.alias("l"), spans.alias("r"), F.lit(True)
-    if _is_small(spans, groups):
-        right = F.broadcast(right)
-    else:
-        block = whole_div(F.col("__id"), _SPAN)
-        blocks = F.sequence(whole_div(F.col("__first"), _SPAN), whole_div(F.col("__last"), _SPAN))
-        left = ids.withColumn("__block", block).alias("l")
-        right = spans.withColumn("__block", F.explode(blocks)).alias("r")
-        same = F.col("l.__block") == F.col("r.__block")
+    at = whole_div(F.col("__id"), block)
+    blocks = F.sequence(whole_div(F.col("__first"), block), whole_div(F.col("__last"), block))
+    left = ids.withColumn("__block", at).alias("l")
+    right = spans.withColumn("__block", F.explode(blocks)).alias("r")
+    same = F.col("l.__block") == F.col("r.__block")
     for g in groups:
         same = same & F.col(f"l.{g}").eqNullSafe(F.col(f"r.{g}"))
     matched = left.join(right, same)

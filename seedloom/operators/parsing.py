@@ -168,13 +168,15 @@ def pair_agents(
 
 
 def pair_turns(
-    df: DataFrame, conversation: str, turn: str, columns: Sequence[str]
+    df: DataFrame, conversation: str, turn: str, columns: Sequence[str], *, skip: Column | None = None
 ) -> DataFrame:
     """Pair the turns of each conversation two at a time, in order.
 
     Column ``c`` of a pair's turns becomes ``c_one`` and ``c_two``; an odd last
-    turn is dropped.
+    turn is dropped. Turns for which ``skip`` is true belong to no pair.
     """
+    if skip is not None:
+        df = df.filter(~F.coalesce(skip, F.lit(False)))
     numbered = number_within(
         df.select(conversation, turn, *columns), [conversation], [turn], name="__i"
     )

@@ -9,16 +9,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from seedloom.functions.expr import whole_div
 from seedloom.operators.numbering import number_within
 
-PART_TURNS = 1024
-
 
 @dataclass(frozen=True)
 class ChatStyle:
     """How a turn becomes text; ``{role}`` stands for its role."""
 
+    # The marks that models expect around a turn.
     header: str = "<|start_header_id|>{role}<|end_header_id|>\n\n"
     end: str = "<|eot_id|>"
     role_names: Mapping[str, str] = field(default_factory=lambda: {"tool": "ipython"})
@@ -39,35 +37,34 @@ class ChatStyle:
         return F.concat(head, F.coalesce(text, F.lit("")), tail, cued)
 
 
-def render_conversations(
-    df: DataFrame,
-    conversation: str,
-    turn: str,
-    role: str,
-    text: str,
-    style: ChatStyle = ChatStyle(),
-    *,
-    part_turns: int = PART_TURNS,
+def render_turns(
+    df: DataFrame, conversation: str, turn: str, role: str, text: str, style: ChatStyle = ChatStyle()
 ) -> DataFrame:
-    """Training text per conversation: (conversation, part_no, rendered).
+    """Training text of every turn: (conversation, turn_no, piece).
 
-    A conversation of up to ``part_turns`` turns is one row. A longer one
-    gets several parts to be read one after the other, so that no task has to
-    hold more turns than that.
+    A conversation is its pieces in order, joined by nothing. No task holds a
+    conversation, so it may have any length; ``write_rendered`` puts the
+    pieces into files.
     """
     numbered = number_within(
-        df.select(conversation, turn, role, text), [conversation], [turn], name="__i", size_name="__n"
+        df.select(conversation, turn, role, text), [conversation], [turn], name="turn_no", size_name="__n"
     )
-    last = F.col("__i") == F.col("__n") - 1
+    last = F.col("turn_no") == F.col("__n") - 1
     piece = style.turn(F.col(role), F.col(text), last)
-    pieces = numbered.select(
-        conversation, whole_div(F.col("__i"), part_turns).alias("part_no"), "__i", piece.alias("piece")
-    )
-    parts = pieces.groupBy(conversation, "part_no").agg(
-        F.sort_array(F.collect_list(F.struct("__i", "piece"))).alias("pieces")
-    )
-    joined = F.array_join(F.transform("pieces", lambda p: p["piece"]), "")
-    return parts.select(conversation, "part_no", joined.alias("rendered"))
+    return numbered.select(conversation, "turn_no", piece.alias("piece"))
+
+
+def render_array(turns: Column, style: ChatStyle = ChatStyle()) -> Column:
+    """Training text of a conversation held as an array of (role, text). Narrow."""
+    count = F.size(turns)
+    pieces = F.transform(turns, lambda t, i: style.turn(t["role"], t["text"], i == count - 1))
+    return F.array_join(pieces, "")
+
+
+def write_rendered(pieces: DataFrame, path: str, conversation: str, *, mode: str = "error") -> None:
+    """Ordered text parts of rendered turns, conversation after conversation."""
+    ranged = pieces.repartitionByRange(conversation, "turn_no").sortWithinPartitions(conversation, "turn_no")
+    ranged.select(F.col("piece").alias("value")).write.mode(mode).text(path, lineSep="\n")
 
 
 def _json_value(value: Column, kind: T.DataType, depth: int) -> Column:

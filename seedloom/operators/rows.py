@@ -8,6 +8,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from seedloom.operators.numbering import with_row_id
 from seedloom.sources.staging import stage
 
 PAGE_ROWS = 10
@@ -51,6 +52,19 @@ def read_page(
     return Page(page_rows(df, page, rows_per_page, row_id=row_id), df.count(), columns)
 
 
+def page_by_key(df: DataFrame, key: str, page: int = 0, rows_per_page: int = PAGE_ROWS, *, name: str = "row_id") -> Page:
+    """One page of a table without row ids, in the order of a unique key.
+
+    Only the keys are numbered; the page's own are then looked up, so the rest
+    of the table is never sorted or copied.
+    """
+    keys = with_row_id(df.select(key), [key], name=name)
+    wanted = page_rows(keys, page, rows_per_page, row_id=name)
+    # As many rows as a page has.
+    rows = df.join(F.broadcast(wanted), key).select(name, *df.columns)
+    return Page(rows, keys.count(), df.columns)
+
+
 def preview(df: DataFrame, *, row_id: str = "row_id", rows: int = PREVIEW_ROWS) -> DataFrame:
     """The first rows by id; a top-k per task, not a full sort."""
     return df.orderBy(row_id).limit(rows)
@@ -79,25 +93,36 @@ def apply_edits(
 ) -> DataFrame:
     """Set cells, add rows for new ids and columns for new names.
 
-    ``columns`` names the edited columns; left out, the distinct names are
-    read from the edits. The edits are staged, so Spark knows their size: few
-    of them are broadcast, and then the table is not shuffled.
+    ``columns`` names the edited columns; left out, only columns of the table
+    can be edited, and an edit of any other is an error. A value that does not
+    fit its column leaves the cell as it was; ``rejected_edits`` lists those.
+    The edits are staged, so Spark knows their size: few of them are
+    broadcast, and then the table is not shuffled.
     """
     if columns is None:
-        columns = sorted(r[0] for r in edits.select("column").distinct().collect())
+        columns = [c for c in df.columns if c != row_id]
+        strangers = edits.filter(~F.col("column").isin(df.columns)).select("column").limit(1).collect()
+        if strangers:
+            raise ValueError(f"unknown column {strangers[0][0]!r}; name new columns in columns=")
     columns = [c for c in columns if c != row_id]
     wide = stage(edits_table(edits, columns, row_id=row_id), "edits")
     types = dict(df.dtypes)
     names = df.columns + [c for c in columns if c not in types]
 
+    def given(c: str) -> Column:
+        return F.col(f"e.{c}").getField("value")
+
     def boxed(c: str) -> Column:
-        return F.col(f"e.{c}").getField("value").cast(types.get(c, "string"))
+        return given(c).try_cast(types.get(c, "string"))
+
+    def fits(c: str) -> Column:
+        return F.col(f"e.{c}").isNotNull() & (given(c).isNull() | boxed(c).isNotNull())
 
     def updated(c: str) -> Column:
         old = F.col(f"d.{c}") if c in types else F.lit(None).cast("string")
         if c not in columns:
             return old.alias(c)
-        return F.when(F.col(f"e.{c}").isNotNull(), boxed(c)).otherwise(old).alias(c)
+        return F.when(fits(c), boxed(c)).otherwise(old).alias(c)
 
     same = F.col(f"d.{row_id}") == F.col(f"e.{row_id}")
     changed = df.alias("d").join(wide.alias("e"), same, "left")
@@ -114,3 +139,11 @@ def apply_edits(
         return F.lit(None).cast(types[c]).alias(c)
 
     return changed.unionByName(fresh.select(*[added(c) for c in names]))
+
+
+def rejected_edits(df: DataFrame, edits: DataFrame) -> DataFrame:
+    """The edits whose value does not fit the type of their column."""
+    bad = F.lit(False)
+    for c, kind in df.dtypes:
+        bad = bad | ((F.col("column") == c) & F.col("value").isNotNull() & F.col("value").try_cast(kind).isNull())
+    return edits.filter(bad)

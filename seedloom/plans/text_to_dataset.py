@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seedloom.operators.exchange import best_responses, tag_requests
+from seedloom.operators.exchange import KEYS, Exchange, best_responses, response_status, tag_requests
 from seedloom.operators.parsing import parse_tagged, parse_tagged_files
 from seedloom.prompts import PromptSet
 from seedloom.sources.writers import write_json_lines, write_parquet
@@ -33,18 +33,23 @@ def parse_documents(
     mode: str = "manual",
     responses: DataFrame | None = None,
     prompts: PromptSet | None = None,
-) -> DataFrame:
-    """Rows of tagged documents (``row_id``, content).
+) -> Exchange:
+    """Rows of tagged documents (``row_id``, content), and what to ask for again.
 
     In mode ``automatic`` the marks come from responses to ``tag_requests``;
-    documents without a response give no rows.
+    documents whose response is missing or an error are the rejects. In mode
+    ``manual`` there are none.
     """
     if mode == "manual":
-        return parse_tagged(documents, content, fields, keep=["row_id"])
+        nothing = documents.select("row_id", F.lit("").alias("request_id"), F.lit("").alias("status"))
+        return Exchange(parse_tagged(documents, content, fields, keep=["row_id"]), nothing.limit(0))
     if mode != "automatic":
         raise ValueError(f"mode must be 'manual' or 'automatic', not {mode!r}")
     if responses is None:
         raise ValueError("automatic mode needs responses to tag_requests")
-    asked = tag_requests(documents, content, fields, prompts).select("request_id", "row_id")
-    answered = asked.join(best_responses(responses), "request_id")
-    return parse_tagged(answered, "content", fields, keep=["row_id"])
+    asked = tag_requests(documents, content, fields, prompts).select("request_id", *KEYS, "column")
+    answered = asked.join(best_responses(responses), "request_id", "left")
+    judged = answered.withColumn("status", response_status(F.col("content")))
+    rows = parse_tagged(judged.filter("status = 'ok'"), "content", fields, keep=["row_id"])
+    rejects = judged.filter("status <> 'ok'").select(*KEYS, "request_id", "column", "status", "content")
+    return Exchange(rows, rejects)

@@ -10,6 +10,8 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Of repeated keys in a JSON object the last counts.
+    "spark.sql.variant.allowDuplicateKeys": "true",
     # Prompts can be long; a batch of them has to fit into a Python worker.
     "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
 }

@@ -20,7 +20,7 @@ from seedloom.operators.numbering import with_row_id
 from seedloom.operators.roles import default_roles, reference_map, reference_text, role_columns
 from seedloom.operators.sampling import sample_rows
 from seedloom.plans import generation
-from seedloom.plans.text_to_dataset import parse_documents
+from seedloom.plans.text_to_dataset import convert_tagged_files, parse_documents
 from seedloom.prompts import DEFAULT_PROMPTS, PromptSet, _pieces
 from seedloom.sources import readers, writers
 from seedloom.sources.staging import new_staging_path
@@ -200,8 +200,8 @@ def agent_pairs(spark, folder):
     """
 )
 def turn_pairs(spark, folder):
-    spoken = table(spark, folder, "conversations").filter("role <> 'system'")
-    pairs = parsing.pair_turns(spoken, "conv_id", "turn", ["role", "text"])
+    turns = table(spark, folder, "conversations")
+    pairs = parsing.pair_turns(turns, "conv_id", "turn", ["role", "text"], skip=F.col("role") == "system")
     return pairs.select("conv_id", "pair_no", "role_one", "text_one", "role_two", "text_two")
 
 
@@ -244,7 +244,27 @@ def automatic_parse(spark, folder):
     documents = table(spark, folder, "documents").withColumnRenamed("doc_id", "row_id")
     asked = exchange.tag_requests(documents, "text", PLAIN)
     answers = asked.select("request_id", tagged_lines().alias("content"))
-    return parse_documents(documents, "text", PLAIN, mode="automatic", responses=answers)
+    return parse_documents(documents, "text", PLAIN, mode="automatic", responses=answers).rows
+
+
+def failing(requests: DataFrame, content: Column) -> DataFrame:
+    """Responses of which some are missing, failed, or failed with blanks around."""
+    luck = F.substring(F.md5("request_id"), 1, 1)
+    given = F.when(luck == "0", "Error: timed out").when(luck == "1", F.lit(' Error: call $("x") failed')).otherwise(content)
+    return requests.filter(luck != "2").select("request_id", given.alias("content"))
+
+
+def _sql_failing(requests: str) -> str:
+    luck = f"SELECT *, left(md5(request_id), 1) AS luck FROM ({requests})"
+    return f"""
+        SELECT request_id, row_id, sample_no, "column", CASE luck WHEN '2' THEN 'missing' ELSE 'error' END AS status,
+               CASE luck WHEN '0' THEN 'Error: timed out' WHEN '1' THEN ' Error: call $("x") failed' END AS content
+        FROM ({luck}) WHERE luck IN ('0', '1', '2')
+    """
+
+
+def shown_rejects(rejects: DataFrame) -> DataFrame:
+    return rejects.withColumn("sample_no", F.col("sample_no").cast("long"))
 
 
 # --- text rules --------------------------------------------------------------------
@@ -595,14 +615,15 @@ _SQL_TAG = sql_fill(
 )
 
 
-@query(
-    f"""
+_SQL_TAG_REQUESTS = f"""
     SELECT doc_id || ':1:' || md5('tag_cells' || chr(10) || {q(DEFAULT_PROMPTS['tag_cells'][0])} || chr(10) || {_SQL_TAG})
            || ':text' AS request_id, doc_id AS row_id, CAST(1 AS BIGINT) AS sample_no, 'text' AS "column",
            'tag_cells' AS kind, {q(DEFAULT_PROMPTS['tag_cells'][0])} AS system, {_SQL_TAG} AS user_prompt, text
     FROM documents
-    """
-)
+"""
+
+
+@query(_SQL_TAG_REQUESTS)
 def tag_requests(spark, folder):
     documents = table(spark, folder, "documents").withColumnRenamed("doc_id", "row_id")
     return shown_requests(exchange.tag_requests(documents, "text", PLAIN))
@@ -730,7 +751,54 @@ def fill_to_size(spark, folder):
     odd = F.substring(F.md5("request_id"), 1, 1) < "8"
     answers = asked.select("request_id", F.when(odd, "1").otherwise("about one").alias("content"))
     points = exchange.parsed_data_points(asked, answers)
-    return exchange.filled_rows(labels, points, list(_FIELDS))
+    return exchange.filled_rows(labels, points, list(_FIELDS)).rows
+
+
+@query(
+    _sql_failing(
+        "WITH counted AS (SELECT count(*) AS n FROM labels), ids AS (SELECT unnest(range(n, 2 * n)) AS i FROM counted) "
+        + " UNION ALL ".join(
+            f"""SELECT i || ':1:' || {_sql_point(c)} || ':{c}' AS request_id, i AS row_id, 1::BIGINT AS sample_no, '{c}' AS "column" FROM ids"""
+            for c in _FIELDS
+        )
+    )
+)
+def rejected_points(spark, folder):
+    labels = table(spark, folder, "labels").select("quality", "toxic")
+    asked = exchange.fill_to_size(spark, labels, 2 * labels.count(), _FIELDS)
+    points = exchange.parsed_data_points(asked, failing(asked, F.lit("1")))
+    return shown_rejects(exchange.filled_rows(labels, points, list(_FIELDS)).rejects)
+
+
+@query(_sql_failing(f"SELECT request_id, row_id, sample_no, \"column\" FROM ({_SQL_TAG_REQUESTS})"))
+def rejected_documents(spark, folder):
+    documents = table(spark, folder, "documents").withColumnRenamed("doc_id", "row_id")
+    answers = failing(exchange.tag_requests(documents, "text", PLAIN), F.lit('$("x")'))
+    return shown_rejects(parse_documents(documents, "text", PLAIN, mode="automatic", responses=answers).rejects)
+
+
+_SQL_COPY_PROMPT = sql_fill(DEFAULT_PROMPTS["paraphrase"][1], {
+    "text": "text", "original": "text", "reference_values": "'{}'", "reference": "'{}'",
+    "is_question": f"CASE WHEN {sql_question('text')} THEN 'True' ELSE 'False' END", "column": "'text'",
+})
+
+
+@query(
+    _sql_failing(
+        f"""
+        WITH numbered AS (SELECT row_number() OVER (ORDER BY conv_id, turn) - 1 AS row_id, text FROM conversations),
+             copies AS (SELECT row_id, unnest(range(1, 4)) AS sample_no,
+                        md5('paraphrase' || chr(10) || {q(DEFAULT_PROMPTS["paraphrase"][0])} || chr(10) || {_SQL_COPY_PROMPT}) AS d
+                        FROM numbered)
+        SELECT row_id || ':' || sample_no || ':' || d || ':text' AS request_id, row_id, sample_no, 'text' AS "column" FROM copies
+        """
+    )
+)
+def rejected_copies(spark, folder):
+    turns = table(spark, folder, "conversations").select("conv_id", "turn", "text")
+    cells = with_row_id(turns, ["conv_id", "turn"]).select("row_id", "text")
+    asked = generation.paraphrase_requests(cells, "text", 3)
+    return shown_rejects(generation.judged_copies(failing(asked, F.lit("x")), asked).rejects)
 
 
 # --- checks ---------------------------------------------------------------------------------
@@ -834,7 +902,7 @@ def cell_edits(spark, folder):
 )
 def page(spark, folder):
     documents = table(spark, folder, "documents").select("doc_id", "text")
-    found = rows.read_page(with_row_id(documents, ["doc_id"]), 3, 25)
+    found = rows.page_by_key(documents, "doc_id", 3, 25)
     return found.rows.withColumn("total_rows", F.lit(found.total_rows).cast("long"))
 
 
@@ -850,32 +918,41 @@ def drop_columns(spark, folder):
 
 @query(
     """
-    SELECT CAST(doc_id AS VARCHAR) AS id, text, lang, CAST(NULL AS INTEGER) AS quality FROM documents
-    UNION ALL SELECT 'b' || item_id, text, NULL, NULL FROM benchmark
-    UNION ALL SELECT CAST(doc_id AS VARCHAR), NULL, NULL, quality FROM labels
+    SELECT CAST(doc_id AS VARCHAR) AS id, text, lang, CAST(NULL AS DOUBLE) AS quality, n_chars AS n FROM documents
+    UNION ALL SELECT 'b' || item_id, text, NULL, NULL, CAST(item_id AS INTEGER) FROM benchmark
+    UNION ALL SELECT CAST(doc_id AS VARCHAR), NULL, NULL, quality, NULL FROM labels
+    UNION ALL SELECT CAST(p_partkey AS VARCHAR), NULL, NULL, p_retailprice, p_size FROM part
     """
 )
 def combine_union(spark, folder):
     return combining.combine(
         [
-            table(spark, folder, "documents").selectExpr("doc_id AS id", "text", "lang"),
-            table(spark, folder, "benchmark").selectExpr("concat('b', item_id) AS id", "text"),
+            table(spark, folder, "documents").selectExpr("doc_id AS id", "text", "lang", "n_chars AS n"),
+            table(spark, folder, "benchmark").selectExpr("concat('b', item_id) AS id", "text", "cast(item_id AS int) AS n"),
             table(spark, folder, "labels").selectExpr("doc_id AS id", "quality"),
+            table(spark, folder, "part").selectExpr("p_partkey AS id", "p_retailprice AS quality", "p_size AS n"),
         ]
     )
 
 
 @query(
     """
-    SELECT doc_id, text, NULL::INTEGER AS quality FROM documents
-    UNION ALL SELECT doc_id, NULL, quality FROM labels
+    SELECT doc_id, text, NULL::INTEGER AS quality, NULL AS skipped FROM documents
+    UNION ALL SELECT doc_id, NULL, quality, NULL FROM labels
+    UNION ALL SELECT doc_id, 'more', NULL, NULL FROM labels
+    UNION ALL SELECT NULL, NULL, NULL, 'broken.parquet'
     """
 )
 def combine_directory(spark, folder):
     target = new_staging_path(spark, "folder")
     table(spark, folder, "documents").select("doc_id", "text").write.parquet(f"{target}/a.parquet")
     table(spark, folder, "labels").select("doc_id", "quality").write.parquet(f"{target}/b.parquet")
-    return combining.combine_directory(spark, target).rows
+    labels = table(spark, folder, "labels")
+    labels.select("doc_id", F.lit("more").alias("text")).write.parquet(f"{target}/c.parquet")
+    labels.select(F.col("doc_id").cast("string")).write.text(f"{target}/broken.parquet")
+    found = combining.combine_directory(spark, target)
+    skipped = spark.createDataFrame([(p.rsplit("/", 1)[-1],) for p, _ in found.skipped], "skipped string")
+    return found.rows.unionByName(skipped, allowMissingColumns=True)
 
 
 @query(
@@ -958,21 +1035,29 @@ def provenance(spark, folder):
     return profiling.provenance(documents)
 
 
-@query(
-    """
-    WITH turns AS (SELECT *, turn = max(turn) OVER (PARTITION BY conv_id) AS is_last FROM conversations),
-         pieces AS (SELECT conv_id, turn, '<|start_header_id|>' || role || '<|end_header_id|>' || chr(10) || chr(10) || text
-                    || CASE WHEN is_last AND role = 'assistant' THEN '' ELSE '<|eot_id|>' END
-                    || CASE WHEN is_last AND role = 'user'
-                            THEN '<|start_header_id|>assistant<|end_header_id|>' || chr(10) || chr(10) ELSE '' END AS piece
-                    FROM turns)
-    SELECT conv_id, CAST(0 AS BIGINT) AS part_no, string_agg(piece, '' ORDER BY turn) AS rendered
-    FROM pieces GROUP BY conv_id
-    """
-)
+_SQL_CHAT_PIECES = """
+    turns AS (SELECT *, turn = max(turn) OVER (PARTITION BY conv_id) AS is_last,
+                     row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS turn_no FROM conversations),
+    pieces AS (SELECT conv_id, turn_no, '<|start_header_id|>' || role || '<|end_header_id|>' || chr(10) || chr(10) || text
+               || CASE WHEN is_last AND role = 'assistant' THEN '' ELSE '<|eot_id|>' END
+               || CASE WHEN is_last AND role = 'user'
+                       THEN '<|start_header_id|>assistant<|end_header_id|>' || chr(10) || chr(10) ELSE '' END AS piece
+               FROM turns)
+"""
+
+
+@query(f"WITH {_SQL_CHAT_PIECES} SELECT conv_id, turn_no, piece FROM pieces")
 def render_chat(spark, folder):
     turns = table(spark, folder, "conversations")
-    return rendering.render_conversations(turns, "conv_id", "turn", "role", "text")
+    return rendering.render_turns(turns, "conv_id", "turn", "role", "text")
+
+
+@query(f"WITH {_SQL_CHAT_PIECES} SELECT conv_id, string_agg(piece, '' ORDER BY turn_no) AS rendered FROM pieces GROUP BY conv_id")
+def render_chat_rows(spark, folder):
+    turns = table(spark, folder, "conversations")
+    listed = F.transform(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))), lambda t: F.struct(t["role"], t["text"]))
+    rows = turns.groupBy("conv_id").agg(listed.alias("turns"))
+    return rows.select("conv_id", rendering.render_array(F.col("turns")).alias("rendered"))
 
 
 @query(
@@ -1031,28 +1116,22 @@ def parquet_cast(spark, folder):
 
 @query(
     f"""
-    SELECT {sql_strip("CAST(doc_id AS VARCHAR)")} AS doc_id, {sql_strip("lang")} AS lang,
-           nullif({sql_strip("regexp_replace(text, '[\\t\\r\\n]', ' ', 'g')")}, '') AS text FROM documents
+    WITH lines AS (SELECT doc_id || chr(9) || lang || chr(9) || regexp_replace(text, '[\\t\\r\\n]', ' ', 'g') || chr(1) || 'end' AS l
+                   FROM documents),
+         cells AS (SELECT string_split({sql_strip('l')}, chr(9)) AS c FROM lines)
+    SELECT c[1] AS doc_id, c[2] AS lang, c[3] AS text FROM cells
     """
 )
 def tab_separated(spark, folder):
     target = new_staging_path(spark, "tsv")
     flat = F.regexp_replace("text", r"[\t\r\n]", " ")
-    line = F.concat_ws("\t", F.col("doc_id").cast("string"), "lang", flat)
-    lines = table(spark, folder, "documents").select(line.alias("value"))
+    documents = table(spark, folder, "documents")
+    cells = documents.select(F.col("doc_id").cast("string").alias("doc_id"), "lang", F.concat(flat, F.lit("\x01end")).alias("text"))
     # Each part file is a table of its own, so each gets the header line.
-    headed = lines.mapInPandas(_with_header, "value string")
-    headed.write.text(target)
+    cells.write.csv(target, sep="\t", header=True, quote="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
     return readers.read_tab_separated(spark, target)
 
 
-def _with_header(batches):
-    import pandas as pd
-
-    yield pd.DataFrame({"value": ["doc_id\tlang\ttext"]})
-    yield from batches
-
-
 @query(
     f"SELECT {sql_strip('CAST(conv_id AS VARCHAR)')} AS conv_id, {sql_strip('role')} AS role, {sql_strip('text')} AS text FROM conversations"
 )
@@ -1063,16 +1142,61 @@ def tagged_files(spark, folder):
     return parsing.parse_tagged_files(spark, target, ["conv_id", "role", "text"]).drop("file", "row_no")
 
 
-@query("SELECT item_id, replace(text, chr(13), '') || chr(10) AS content FROM benchmark")
+@query("SELECT doc_id, replace(text, chr(13), '') AS content FROM documents")
 def text_documents(spark, folder):
     target = new_staging_path(spark, "documents")
-    items = table(spark, folder, "benchmark").select("item_id", "text")
-    items.write.partitionBy("item_id").text(target)
-    found = readers.read_documents(spark, f"{target}/item_id=*")
-    item_id = F.regexp_extract("path", r"item_id=(\d+)", 1).cast("long")
-    return found.select(item_id.alias("item_id"), "content")
+    marked = F.concat(F.col("doc_id"), F.lit("\n"), "text")
+    # Each document ends its record with a mark of its own; a part file holds many.
+    table(spark, folder, "documents").select(marked.alias("value")).write.text(target, lineSep=_RECORD_END)
+    found = readers.read_documents(spark, target)
+    records = found.select(F.explode(F.split("content", _RECORD_END)).alias("r")).filter("r <> ''")
+    at = F.locate("\n", F.col("r"))
+    return records.select(
+        F.substring("r", F.lit(1), at - 1).cast("long").alias("doc_id"), F.substring("r", at + 1, F.length("r")).alias("content")
+    )
+
+
+_RECORD_END = "\x1e"
+
+
+@query("SELECT CAST(doc_id AS BIGINT) AS doc_id, text, lang FROM documents")
+def json_array(spark, folder):
+    target = new_staging_path(spark, "array")
+    record = F.to_json(F.struct("doc_id", "text", "lang"), {"ignoreNullFields": "false"})
+    block = F.call_function("div", F.col("doc_id"), F.lit(1000)).alias("block")
+    lists = table(spark, folder, "documents").select(block, record.alias("j"))
+    # An array file cannot be split, so each holds a thousand records.
+    joined = F.concat(F.lit("["), F.array_join(F.collect_list("j"), ","), F.lit("]"))
+    lists.groupBy("block").agg(joined.alias("value")).write.partitionBy("block").text(target)
+    found = readers.read_json_records(spark, target, "doc_id bigint, text string, lang string")
+    return found.select("doc_id", "text", "lang")
 
 
-@query(None)
-def list_datasets(spark, folder):
-    return readers.list_seeds(spark, folder).select("dataset", "files", "bytes")
+@query(
+    f"SELECT {sql_strip('CAST(conv_id AS VARCHAR)')} AS conv_id, {sql_strip('role')} AS role, {sql_strip('text')} AS text FROM conversations"
+)
+def converted_files(spark, folder):
+    target, stem = new_staging_path(spark, "tagged"), new_staging_path(spark, "converted")
+    turns = table(spark, folder, "conversations").withColumn("id", F.col("conv_id"))
+    fields = ["conv_id", "role", "text"]
+    writers.write_tagged(turns, target, order_by=["id", "turn"], columns=fields)
+    convert_tagged_files(spark, target, fields, stem)
+    schema = "conv_id string, role string, text string"
+    return readers.read_json_records(spark, f"{stem}.json", schema, lines=True)
+
+
+@query(
+    """
+    SELECT lang || '_' || source AS config_split, doc_id,
+           '{' || chr(10) || '  "doc_id": ' || doc_id || ',' || chr(10) || '  "n_chars": ' || n_chars || chr(10) || '}' AS record
+    FROM documents
+    """
+)
+def splits_written(spark, folder):
+    target = new_staging_path(spark, "splits")
+    documents = table(spark, folder, "documents").drop("text")
+    records = rendering.split_records(documents, ["lang", "source"], keep=["doc_id"])
+    rendering.write_splits(records, target, ["doc_id"])
+    found = spark.read.option("lineSep", "\n\n").text(target)
+    doc_id = F.regexp_extract("value", r'"doc_id": (\d+)', 1).cast("long")
+    return found.filter("value <> ''").select("config_split", doc_id.alias("doc_id"), F.col("value").alias("record"))

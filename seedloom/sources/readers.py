@@ -15,8 +15,6 @@ from seedloom.functions.text import py_strip, unix_newlines
 # File types that count as datasets.
 DATASET_EXTENSIONS = [".json", ".parquet", ".txt", ".tex"]
 
-_NO_SEPARATOR = "\x01"
-
 
 def read_parquet(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
     return spark.read.parquet(*([path] if isinstance(path, str) else path))
@@ -38,21 +36,51 @@ def read_tab_separated(spark: SparkSession, path: str) -> DataFrame:
     """Tab-separated text with a header line; every line is stripped first.
 
     Short lines are filled with NULL, and a line wider than the header fails.
+    Blank lines are rows whose first cell is empty. Each file has a header,
+    and files with different ones are an error.
     """
-    source = spark.read.option("sep", _NO_SEPARATOR).option("quote", "")
-    head = source.schema("line string").csv(path).take(1)
-    if not head:
+    lines = spark.read.text(path).select(
+        "value",
+        F.col("_metadata.file_path").alias("__file"),
+        # A line's place in its file: the first block starts at 0, and within a
+        # block lines are numbered as they are read.
+        F.col("_metadata.file_block_start").alias("__block"),
+        F.monotonically_increasing_id().alias("__seq"),
+    )
+    first = lines.filter("__block = 0").groupBy("__file").agg(F.min("__seq").alias("__seq"), F.min_by("value", "__seq").alias("head"))
+    heads = first.select(py_strip(F.col("head")).alias("head")).distinct().limit(2).collect()
+    if not heads:
         raise ValueError(f"{path} has no header line")
-    names = spark.range(1).select(F.split(py_strip(F.lit(head[0][0])), "\t")).first()[0]
-    # The reader drops the first line of each file, however files are split.
-    body = source.schema("line string").option("header", True).csv(path)
-    cells = body.select(F.split(py_strip(F.col("line")), "\t").alias("cells"))
+    if len(heads) > 1:
+        raise ValueError(f"the files of {path} have different headers: {heads[0][0]!r} and {heads[1][0]!r}")
+    names = heads[0][0].split("\t")
+    # One row per file.
+    starts = first.select(F.col("__file").alias("__f"), F.col("__seq").alias("__s"))
+    same = (F.col("__file") == F.col("__f")) & (F.col("__seq") == F.col("__s"))
+    cells = lines.join(starts, same, "left_anti").select(F.split(py_strip(F.col("value")), "\t").alias("cells"))
     wide = F.size("cells") > len(names)
     fit = F.when(wide, F.raise_error(F.lit("a line has more cells than the header")))
     checked = cells.select(fit.otherwise(F.col("cells")).cast("array<string>").alias("cells"))
     return checked.select(*[F.get("cells", F.lit(i)).alias(n) for i, n in enumerate(names)])
 
 
+# Conditions and messages of paths that are not there and files of another form.
+_UNREADABLE = (
+    "PATH_NOT_FOUND",
+    "UNABLE_TO_INFER_SCHEMA",
+    "CANNOT_READ_FILE_FOOTER",
+    "FAILED_READ_FILE",
+    "is not a Parquet file",
+    "Could not read footer",
+    "EMPTY_SCHEMA",
+)
+
+
+def unreadable(error: Exception) -> bool:
+    """Whether a path is missing or of another form; other errors are no reason to skip it."""
+    return any(reason in str(error) for reason in _UNREADABLE)
+
+
 def read_any(spark: SparkSession, path: str) -> DataFrame:
     """Parquet if the path is one and can be read, else the sibling JSON or text."""
     stem, _, extension = path.rpartition(".")
@@ -65,7 +93,11 @@ def read_any(spark: SparkSession, path: str) -> DataFrame:
     for candidate, read in tries:
         try:
             found = read(candidate)
-        except (PySparkException, Py4JJavaError, ValueError):
+        except ValueError:
+            continue
+        except (PySparkException, Py4JJavaError) as error:
+            if not unreadable(error):
+                raise
             continue
         if found.columns and found.columns != ["_corrupt_record"]:
             return found

@@ -2,29 +2,29 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_local_folders: dict[str, str] = {}
+_chosen: list[str] = []
 
 
-def staging_folder(spark: SparkSession) -> str:
-    """The shared folder set as ``spark.checkpoint.dir``.
+def use_staging_folder(path: str) -> None:
+    """Name the folder for sessions that do not set ``spark.checkpoint.dir``.
 
-    Where it is unset, a local session gets a temporary folder; a cluster,
-    whose executors share no local disk, gets an error.
+    All executors have to share it; on one machine any folder will do.
     """
+    _chosen[:] = [path.rstrip("/")]
+
+
+def staging_folder(spark: SparkSession) -> str:
+    """The shared folder set as ``spark.checkpoint.dir``, else the one chosen."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared:
         return shared.rstrip("/")
-    if not spark.conf.get("spark.master", "").startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-    app = spark.conf.get("spark.app.id", "local")
-    if app not in _local_folders:
-        _local_folders[app] = tempfile.mkdtemp(prefix="seedloom-")
-    return _local_folders[app]
+    if _chosen:
+        return _chosen[0]
+    raise ValueError("set spark.checkpoint.dir to a folder all executors share")
 
 
 def new_staging_path(spark: SparkSession, label: str) -> str:

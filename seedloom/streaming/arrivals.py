@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from seedloom.functions.text import clean_generated, unix_newlines
-from seedloom.operators.exchange import ERROR_PREFIX
+from seedloom.operators.exchange import Exchange, failed
 from seedloom.operators.parsing import parse_tagged
 
 
@@ -23,10 +23,14 @@ def arriving_rows(spark: SparkSession, folder: str, fields: Sequence[str], *, fi
     return parse_tagged(content, "content", fields, keep=["file"])
 
 
-def cleaned_responses(responses: DataFrame, question: str) -> DataFrame:
-    """Clean a stream of responses (request_id, content, question flag)."""
-    good = responses.filter(~F.col("content").startswith(ERROR_PREFIX))
-    return good.withColumn("content", clean_generated(F.col("content"), F.col(question)))
+def cleaned_responses(responses: DataFrame, question: str) -> Exchange:
+    """Clean a stream of responses (request_id, content, question flag).
+
+    Two streams: what is usable, and what failed, as it came.
+    """
+    bad = failed(F.col("content"))
+    cleaned = clean_generated(F.trim("content"), F.col(question))
+    return Exchange(responses.filter(~bad).withColumn("content", cleaned), responses.filter(bad))
 
 
 def append_to(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:

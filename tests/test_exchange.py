@@ -173,7 +173,8 @@ def test_fill_to_size(spark):
     )
     points = exchange.parsed_data_points(asked, answers)
     got = exchange.filled_rows(seeds, points, list(fields))
-    assert sorted(map(tuple, got.collect())) == [("n", "1"), ("raw {", "7"), ("raw {", "7")]
+    assert {(r["row_id"], r["column"], r["status"]) for r in got.rejects.collect()} == {(3, "name", "error"), (3, "qty", "error")}
+    assert sorted(map(tuple, got.rows.collect())) == [("n", "1"), ("raw {", "7"), ("raw {", "7")]
     assert exchange.fill_to_size(spark, seeds, 0, fields).isEmpty()
 
 
@@ -187,7 +188,10 @@ def test_one_sample_and_copies(spark, tmp_path):
     late = copies.select("failed").distinct().collect()
     assert [r[0] for r in late] == [False]
     none = generation.paraphrased_copies(exchange.generate(asked).limit(0), asked)
-    assert {(r["value"], r["failed"]) for r in none.collect()} == {('$("")', True)}
+    assert {(r["value"], r["failed"]) for r in none.collect()} == {(None, True)}
+    assert generation.judged_copies(exchange.generate(asked).limit(0), asked).rejects.count() == 4
+    with pytest.raises(ValueError):
+        generation.write_copies(none, str(tmp_path / "none"))
     generation.write_copies(copies, str(tmp_path / "c"))
     texts = ["".join(p.read_text() for p in sorted((tmp_path / "c" / f"copy_no={i}").glob("part*"))) for i in (1, 2)]
     assert texts == [f'$("Variant {i}: a")\n\n$("Variant {i}: b")\n\n' for i in (1, 2)]
@@ -198,6 +202,38 @@ def test_automatic_parse(spark):
     asked = exchange.tag_requests(docs, "text", ["a", "b"])
     answers = asked.filter("row_id = 0").select("request_id", F.lit('$("x")$("y")$("w")').alias("content"))
     got = parse_documents(docs, "text", ["a", "b"], mode="automatic", responses=answers)
-    assert [tuple(r) for r in got.orderBy("row_no").collect()] == [(0, 0, "x", "y"), (0, 1, "w", "")]
+    assert [tuple(r) for r in got.rows.orderBy("row_no").collect()] == [(0, 0, "x", "y"), (0, 1, "w", "")]
+    assert [(r["row_id"], r["status"]) for r in got.rejects.collect()] == [(1, "missing")]
+    padded = asked.select("request_id", F.lit(' Error: call $("x") failed').alias("content"))
+    bad = parse_documents(docs, "text", ["a", "b"], mode="automatic", responses=padded)
+    assert bad.rows.isEmpty() and {r["status"] for r in bad.rejects.collect()} == {"error"}
     with pytest.raises(ValueError):
         parse_documents(docs, "text", ["a"], mode="other")
+
+
+def test_padded_errors_and_failing_generators(spark, seeds):
+    samples = amplify(seeds, 1)
+    asked = exchange.build_requests(samples, ROLES)
+    padded = asked.select("request_id", F.lit("\n Error: timed out").alias("content"))
+    done = exchange.apply_responses(samples, padded, ROLES)
+    assert done.rows.isEmpty() and {r["status"] for r in done.rejects.collect()} == {"error"}
+
+    def breaks(requests):
+        raise RuntimeError("no model")
+
+    assert {r["content"] for r in exchange.generate(asked, breaks).collect()} == {"Error: no model"}
+    short = exchange.generate(asked.coalesce(1), lambda batch: ["one"], tasks=1)
+    assert all(r["content"].startswith("Error: 1 contents") for r in short.collect())
+
+
+def test_no_expanded_request_is_shuffled(spark, seeds):
+    many = exchange.build_requests(seeds, ROLES, copies=200, tasks=3)
+    made = exchange.generate(many, spread=False)
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "request_id" not in plan.split("Exchange", 1)[1]
+    assert made.count() == 5 * 200 * 2 and made.rdd.getNumPartitions() == 3
+    samples = amplify(seeds, 2)
+    done = exchange.apply_responses(samples, exchange.generate(exchange.build_requests(samples, ROLES)), ROLES).rows
+    before = exchange.generate(exchange.build_requests(samples, ROLES))._jdf.queryExecution().executedPlan().toString()
+    plan = done._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") - before.count("Exchange") <= 2

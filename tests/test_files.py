@@ -164,3 +164,26 @@ def test_parquet_cast(spark, messy, tmp_path):
     schema = messy.select(F.col("n").cast("string").alias("n"), "b").schema
     writers.write_parquet(messy, str(tmp_path / "p"), schema)
     assert spark.read.parquet(str(tmp_path / "p")).dtypes == [("n", "string"), ("b", "string")]
+
+
+def test_tab_separated_keeps_everything(spark, tmp_path):
+    (tmp_path / "t").mkdir()
+    (tmp_path / "t" / "a.tsv").write_text("x\ty\none\x01two\tb\n\n  c\td  \n")
+    (tmp_path / "t" / "b.tsv").write_text("x\ty\n1\t2\n")
+    got = sorted(map(tuple, readers.read_tab_separated(spark, str(tmp_path / "t")).collect()))
+    assert got == [("", None), ("1", "2"), ("c", "d"), ("one\x01two", "b")]
+    (tmp_path / "t" / "c.tsv").write_text("y\tx\n1\t2\n")
+    with pytest.raises(ValueError, match="different headers"):
+        readers.read_tab_separated(spark, str(tmp_path / "t"))
+
+
+def test_arriving_responses_lose_nothing(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    schema = "request_id string, content string, question boolean"
+    rows = [("a", " Error: off", False), ("b", "fine", False), ("c", None, False)]
+    spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / "in"), mode="overwrite")
+    both = arrivals.cleaned_responses(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), "question")
+    for name, frame in both._asdict().items():
+        arrivals.append_to(frame, str(tmp_path / name), str(tmp_path / f"mark-{name}")).awaitTermination()
+    got = {n: sorted(r.request_id for r in spark.read.parquet(str(tmp_path / n)).collect()) for n in both._fields}
+    assert got == {"rows": ["b"], "rejects": ["a", "c"]}

@@ -26,15 +26,15 @@ def test_row_ids_are_dense_and_ordered(spark):
     assert got == [(i, *key) for i, key in enumerate(sorted(keys))]
 
 
-@pytest.mark.parametrize("few", [0, 100])
-def test_number_within_a_hot_group(spark, monkeypatch, few):
-    monkeypatch.setattr(numbering, "_SPAN", 64)
-    monkeypatch.setattr(numbering, "_FEW_GROUPS", few)
+@pytest.mark.parametrize("threshold", ["10m", "-1"])
+def test_number_within_a_hot_group(spark, threshold):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
     rng = random.Random(2)
     keys = [("hot" if rng.random() < 0.4 else f"g{rng.randint(0, 40)}", i) for i in range(3000)]
     keys += [(None, 3000 + i) for i in range(20)]
     df = spark.createDataFrame(keys, "g string, u int").repartition(5)
-    got = numbering.number_within(df, ["g"], [F.desc("u")], size_name="n").collect()
+    got = numbering.number_within(df, ["g"], [F.desc("u")], size_name="n", block=64).collect()
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     expected = {}
     for g in {k for k, _ in keys}:
         members = sorted((u for k, u in keys if k == g), reverse=True)
@@ -161,11 +161,16 @@ def test_edits(spark, threshold):
     )
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
     try:
-        got = rows.apply_edits(df, edits)
+        got = rows.apply_edits(df, edits, columns=["s", "n", "new"])
         assert got.columns == ["row_id", "s", "n", "new"]
         assert by(got, "row_id") == [
             (0, "last", 1, None), (1, "b", 9, "x"), (2, None, 3, None), (7, None, 5, None),
         ]
+        with pytest.raises(ValueError, match="new"):
+            rows.apply_edits(df, edits)
+        odd = edits.limit(0).union(spark.createDataFrame([(0, 0, "n", "many"), (1, 1, "n", "4")], edits.schema))
+        assert by(rows.apply_edits(df, odd), "row_id") == [(0, "a", 1), (1, "b", 4), (2, "c", 3)]
+        assert [r["value"] for r in rows.rejected_edits(df, odd).collect()] == ["many"]
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
@@ -189,7 +194,7 @@ def test_combine_directory_skips_broken_files(spark, tmp_path):
     (tmp_path / "c.parquet").write_text("not parquet")
     got = combining.combine_directory(spark, str(tmp_path))
     assert got.rows.count() == 5 and got.rows.columns == ["id", "x"]
-    assert [p.rsplit("/", 1)[-1] for p in got.skipped] == ["c.parquet"]
+    assert [p.rsplit("/", 1)[-1] for p, _ in got.skipped] == ["c.parquet"] and "FOOTER" in got.skipped[0][1]
     assert combining.combine_directory(spark, str(tmp_path / "none")).rows.isEmpty()
 
 
@@ -254,10 +259,20 @@ def test_rendered_conversation(spark):
     turns = [(1, 0, "system", "S"), (1, 1, "user", "Q"), (1, 2, "assistant", "A"), (2, 5, "user", "Q2")]
     df = spark.createDataFrame(turns, "c int, t int, r string, x string")
     style = rendering.ChatStyle(header="<{role}>", end="#")
-    got = by(rendering.render_conversations(df, "c", "t", "r", "x", style), "c", "part_no")
-    assert got == [(1, 0, "<system>S#<user>Q#<assistant>A"), (2, 0, "<user>Q2#<assistant>")]
-    parts = by(rendering.render_conversations(df, "c", "t", "r", "x", style, part_turns=2), "c", "part_no")
-    assert parts[:2] == [(1, 0, "<system>S#<user>Q#"), (1, 1, "<assistant>A")]
+    got = by(rendering.render_turns(df, "c", "t", "r", "x", style), "c", "turn_no")
+    assert got == [(1, 0, "<system>S#"), (1, 1, "<user>Q#"), (1, 2, "<assistant>A"), (2, 0, "<user>Q2#<assistant>")]
+    long = [(3, i, "user" if i % 2 else "assistant", str(i)) for i in range(1100)]
+    pieces = by(rendering.render_turns(spark.createDataFrame(long, df.schema), "c", "t", "r", "x", style), "turn_no")
+    listed = spark.createDataFrame([(3, [(r, x) for _, _, r, x in long])], "c int, a array<struct<role:string,text:string>>")
+    whole = listed.select(rendering.render_array(F.col("a"), style)).first()[0]
+    assert "".join(p for _, _, p in pieces) == whole and whole.endswith("<user>1099#<assistant>")
+
+
+def test_totals_hold_for_any_ids(spark):
+    for ids in ([0, 0, 2], [5, 6, 7], [1, 1, 1], [3, 9]):
+        seeds = spark.createDataFrame([(i,) for i in ids], "row_id bigint")
+        for total in (1, 4, 7):
+            assert A.amplify_total(seeds, total).count() == total
 
 
 def test_split_records_are_indented_json(spark, tmp_path):

@@ -150,3 +150,12 @@ def test_python_repr(spark):
     assert evaluate(spark, texts, X.python_repr(F.col("t"))) == [repr(t) for t in texts]
     shown = X.python_dict({"a'b": F.col("t"), "n": F.lit(3)}, {"a'b"})
     assert evaluate(spark, texts[:50], shown) == [str({"a'b": t, "n": 3}) for t in texts[:50]]
+
+
+def test_json_of_odd_forms(spark):
+    texts = ['{"a": 1, "a": 2}', "NaN", "-Infinity", "[1,2", "truest", "1,2", '{"a"}', '"x" "y"', "[1] ", "-", "1e5"]
+    got = evaluate(spark, texts, F.struct(X.json_or_raw(F.col("t"))["is_json"], X.json_or_raw(F.col("t"))["value"].cast("string")))
+    assert [tuple(g) for g in got] == [
+        (True, '{"a":2}'), (True, "NaN"), (True, "-Infinity"), (False, None), (False, None), (False, None),
+        (False, None), (False, None), (True, "[1]"), (False, None), (True, "100000.0"),
+    ]
