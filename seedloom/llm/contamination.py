@@ -12,10 +12,13 @@ from pyspark.sql import functions as F
 
 from seedloom.functions.expr import let
 from seedloom.llm.common import ascii_lower, few_rows, fresh
+from seedloom.sources.staging import stage
 
 WINDOW = 13
 # Up to so many different windows (about 100 bytes each) the set is broadcast.
 FEW_WINDOWS = 200_000
+# Up to so many contaminated documents their keys (24 MB) are broadcast.
+FEW_CONTAMINATED = 1_000_000
 
 # Letters, digits and everything beyond ASCII; capitals too, lowered afterwards.
 _WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -119,6 +122,9 @@ def remove_contaminated(documents: DataFrame, benchmark: DataFrame, window: int
     """The documents that are not contaminated, as they came."""
     bad = contamination(documents, benchmark, window).filter("contaminated")
     i, h = fresh(documents, "__id"), fresh(documents, "__hash")
-    bad = bad.select(F.col("doc_id").alias(i), F.col("text_hash").alias(h)).distinct()
+    bad = stage(bad.select(F.col("doc_id").alias(i), F.col("text_hash").alias(h)).distinct(), "contaminated")
+    # Two numbers each; while they are few, the texts need no shuffle to lose them.
+    if few_rows(bad, FEW_CONTAMINATED):
+        bad = F.broadcast(bad)
     same = F.col("doc_id").eqNullSafe(F.col(i)) & (F.xxhash64("text") == F.col(h))
     return documents.join(bad, same, "left_anti")

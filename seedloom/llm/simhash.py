@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seedloom.llm.common import fresh
+from seedloom.llm.common import few_rows, fresh
 from seedloom.llm.components import components
 from seedloom.sources.staging import stage
 
@@ -25,6 +25,8 @@ DISTANCE = 3
 SEED = 42
 # Under a half that more fingerprints share, the other half is indexed as well.
 HOT = 256
+# Up to so many row numbers of copies (16 MB) are broadcast.
+FEW_COPIES = 1_000_000
 
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _BLOCK = 1 << 15
@@ -176,8 +178,12 @@ def drop_near_duplicates(documents: DataFrame) -> DataFrame:
     rank = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("i"), F.col(rid).alias("r"))
     first = rows.groupBy(F.col(fp).alias("fp")).agg(F.min(rank).alias("first"))
     first = stage(first, "prints")
-    rooted = first.join(classes(first), "fp", "left")
-    roots = F.coalesce("root", "fp")
-    best = rooted.groupBy(roots.alias("root")).agg(F.min("first").alias("best"))
-    keep = best.select(F.col("best.r").alias(rid))
-    return rows.join(keep, rid, "left_semi").select(*documents.columns)
+    rooted = first.join(classes(first), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    best = rooted.groupBy("root").agg(F.min("first").alias("best"))
+    best = rooted.join(best, "root").select("fp", F.col("best.r").alias("best"))
+    copies = rows.select(rid, F.col(fp).alias("fp")).join(best, "fp").filter(F.col(rid) != F.col("best"))
+    copies = stage(copies.select(rid), "copies")
+    # Numbers only; while they are few, the texts need no shuffle to lose them.
+    if few_rows(copies, FEW_COPIES):
+        copies = F.broadcast(copies)
+    return rows.join(copies, rid, "left_anti").select(*documents.columns)
