@@ -37,7 +37,7 @@ class Settings(NamedTuple):
     default_weight: float = 1.0
     seed: int = 0
     most_sources: int = 1000
-    bucket_rows: int = 20_000
+    bucket_rows: int = 4_000
     few_offsets: int = 200_000
 
 
