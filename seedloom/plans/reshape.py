@@ -20,12 +20,14 @@ def slice_dataset(spark: SparkSession, zones: Zones, name: str, columns: Sequenc
     return sliced.removed
 
 
-def save_edits(spark: SparkSession, zones: Zones, name: str, edits: DataFrame) -> str:
-    """Save a dataset with edited cells as ``_edited``.
+def save_edits(
+    spark: SparkSession, zones: Zones, name: str, edits: DataFrame, *, columns: Sequence[str] | None = None
+) -> str:
+    """Save a dataset with edited cells as ``_edited``; ``columns`` may name new ones.
 
     Spark cannot overwrite what it reads, so the original always stays.
     """
-    edited = apply_edits(spark.read.parquet(zones.locate(spark, name)), edits)
+    edited = apply_edits(spark.read.parquet(zones.locate(spark, name)), edits, columns=columns)
     target = zones.path("edits", edited_name(name))
     write_parquet(edited, target)
     return target

@@ -13,17 +13,19 @@ from pyspark.sql import functions as F
 
 from seedloom.functions import text as X
 from seedloom.functions import urls as U
-from seedloom.operators import checks, combining, exchange, parsing, profiling, rendering, rows
+from seedloom.operators import checks, combining, exchange, parsing, profiling, refine, rendering, rows
 from seedloom.operators.amplify import amplify, amplify_total
 from seedloom.operators.augment import NOISE, TEXT_SUFFIX, augment
 from seedloom.operators.numbering import with_row_id
 from seedloom.operators.roles import default_roles, reference_map, reference_text, role_columns
 from seedloom.operators.sampling import sample_rows
 from seedloom.plans import generation
+from seedloom.plans.reshape import save_edits
 from seedloom.plans.text_to_dataset import convert_tagged_files, parse_documents
 from seedloom.prompts import DEFAULT_PROMPTS, PromptSet, _pieces
 from seedloom.sources import readers, writers
 from seedloom.sources.staging import new_staging_path
+from seedloom.sources.zones import Zones
 from seedloom.templates import TemplateRegistry
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -394,6 +396,7 @@ _SQL_URLS = (
         CASE WHEN kind = 'wikipedia' THEN replace(url_decode(split_part(path, '/wiki/', 2)), '_', ' ') END AS title,
         CASE WHEN kind = 'arxiv' THEN regexp_extract(rtrim(u, '/'), '[^/]*$') END AS arxiv_id,
         CASE WHEN kind = 'hub_dataset' THEN rtrim(regexp_extract(u, 'huggingface.co/datasets/(.*)', 1), '/') END AS dataset,
+        CASE WHEN kind = 'hub_repo' THEN trim(coalesce(string_split(u, 'huggingface.co/')[2], ''), '/') END AS hub,
         CASE WHEN kind = 'github' THEN regexp_extract(l, 'github.com/([^/]*/[^/]*)', 1) END AS repo,
         CASE WHEN kind = 'github' THEN regexp_extract(l, 'tree/([^/]*)', 1) END AS branch FROM kinds)
     """
@@ -406,7 +409,7 @@ def url_kind(spark, folder):
     return page_urls(spark, folder).select("page_id", "source", kind)
 
 
-@query(f"WITH {_SQL_URLS} SELECT page_id, source, title, arxiv_id, dataset, repo, branch FROM named")
+@query(f"WITH {_SQL_URLS} SELECT page_id, source, title, arxiv_id, dataset, hub, repo, branch FROM named")
 def url_parts(spark, folder):
     url = F.col("url")
     kinds = page_urls(spark, folder).select(
@@ -425,6 +428,7 @@ def url_parts(spark, folder):
         of("wikipedia", U.wikipedia_title(url), "title"),
         of("arxiv", U.arxiv_id(url), "arxiv_id"),
         of("hub_dataset", U.hub_dataset(url), "dataset"),
+        of("hub_repo", U.hub_repo(url), "hub"),
         of("github", U.github_repo(url), "repo"),
         of("github", U.github_branch(url), "branch"),
     )
@@ -725,6 +729,21 @@ def paraphrased_copies(spark, folder):
     return copies.withColumn("copy_no", F.col("copy_no").cast("long"))
 
 
+_SQL_VERIFIED = ", ".join(
+    _sql_verified(sql_strip(f"'Variant ' || sample_no || ': ' || {c} || '? '"), sql_question(c)) + f" AS {c}"
+    for c in ("input", "output")
+)
+
+
+@query(f"WITH {_SQL_SEEDS} SELECT row_id, sample_no, task, {_SQL_VERIFIED}, command FROM samples")
+def verify_applied(spark, folder):
+    def repeated(requests):
+        return exchange.restate(requests) + "? "
+
+    done = generation.paraphrase_then_verify(samples_of(spark, folder), ROLES, exchange.restate, repeated)
+    return done.rows.withColumn("sample_no", F.col("sample_no").cast("long"))
+
+
 _FIELDS = {"quality": "zero or one", "toxic": "zero or one"}
 _POINT = "md5('data_point' || chr(10) || {system} || chr(10) || {user})"
 
@@ -857,6 +876,101 @@ def sample_counts(spark, folder):
     return checks.sample_counts(seeds, amplify(labelled, 4))
 
 
+# --- refining -------------------------------------------------------------------------------------
+
+_SQL_NORMAL = "lower(" + sql_strip(r"regexp_replace(text, '\s+', ' ', 'g')") + ")"
+_SQL_DAMAGED = """
+    damaged AS (SELECT doc_id AS row_id, CASE left(md5(CAST(doc_id AS VARCHAR)), 1)
+        WHEN '0' THEN '  ' WHEN '1' THEN text || ' {text}' WHEN '2' THEN '$("' || text WHEN '3' THEN upper(lang) || '  x' ELSE text END AS text
+        FROM documents)
+"""
+
+
+def damaged(spark: SparkSession, folder: str) -> DataFrame:
+    """The documents as rows, some with what a careless run leaves behind."""
+    luck = F.substring(F.md5(F.col("doc_id").cast("string")), 1, 1)
+    text = (
+        F.when(luck == "0", "  ")
+        .when(luck == "1", F.concat("text", F.lit(" {text}")))
+        .when(luck == "2", F.concat(F.lit('$("'), "text"))
+        .when(luck == "3", F.concat(F.upper("lang"), F.lit("  x")))
+        .otherwise(F.col("text"))
+    )
+    return table(spark, folder, "documents").select(F.col("doc_id").alias("row_id"), text.alias("text"))
+
+
+@query(f"WITH {_SQL_DAMAGED} SELECT min(row_id) AS row_id FROM damaged GROUP BY {_SQL_NORMAL}")
+def exact_dedup(spark, folder):
+    return refine.exact_dedup(damaged(spark, folder), ["text"]).select("row_id")
+
+
+_SQL_REFINED = f"""
+    {_SQL_DAMAGED},
+    faults AS (SELECT row_id, {_SQL_NORMAL} AS print, CASE WHEN {sql_strip('text')} = '' THEN 'empty'
+        WHEN contains(text, '{{text}}') THEN 'placeholder' WHEN contains(text, '$("') THEN 'mark' END AS reason FROM damaged),
+    judged AS (SELECT row_id, CASE WHEN reason IS NULL AND row_id > min(row_id) OVER (PARTITION BY print, reason)
+        THEN 'duplicate' ELSE reason END AS reason FROM faults)
+"""
+
+
+@query(f"WITH {_SQL_REFINED} SELECT row_id, reason FROM judged WHERE reason IS NOT NULL")
+def refine_rejects(spark, folder):
+    return refine.refine(damaged(spark, folder), ["text"]).rejects
+
+
+@query(f"WITH {_SQL_REFINED} SELECT row_id, text FROM damaged JOIN judged USING (row_id) WHERE reason IS NULL")
+def refined_rows(spark, folder):
+    return refine.refine(damaged(spark, folder), ["text"]).rows
+
+
+@query("SELECT d.* FROM documents d WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic >= 1 OR quality < 1)")
+def drop_flagged(spark, folder):
+    documents, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
+    return refine.drop_flagged(documents, labels, {"toxic": (">=", 1), "quality": ("<", 1)}, row_id="doc_id")
+
+
+@query(
+    f"""
+    WITH {_SQL_SEEDS},
+         drawn AS (SELECT row_id, sample_no, CAST('0x' || substr(md5('42|' || row_id), 1, 8) AS BIGINT) AS v FROM samples)
+    SELECT row_id, sample_no, CASE WHEN v < 3435973836 THEN 'train' WHEN v < 3865470566 THEN 'eval' ELSE 'test' END AS split
+    FROM drawn
+    """
+)
+def split_by_seed(spark, folder):
+    samples = samples_of(spark, folder).select("row_id", F.col("sample_no").cast("long").alias("sample_no"))
+    return refine.split_by_seed(samples, {"train": 80, "eval": 10, "test": 10})
+
+
+@query(
+    f"""
+    WITH {_SQL_SEEDS},
+         cells AS (SELECT 'input' AS "column", contains(input, command) AS used FROM samples
+                   UNION ALL SELECT 'output', contains(output, command) FROM samples)
+    SELECT "column", count(*) AS rows, count(*) FILTER (used) AS used, count(*) FILTER (used) / count(*) AS rate
+    FROM cells GROUP BY "column"
+    """
+)
+def reference_use(spark, folder):
+    return refine.reference_use(samples_of(spark, folder), ["input", "output"], ["command"]).rows
+
+
+@query(
+    """
+    SELECT doc_id AS row_id, CASE WHEN quality = 0 THEN 'poor' ELSE lang END AS lang, source
+    FROM documents LEFT JOIN labels USING (doc_id)
+    """
+)
+def edits_saved(spark, folder):
+    base = new_staging_path(spark, "zones")
+    zones = Zones(base)
+    documents = table(spark, folder, "documents").selectExpr("doc_id AS row_id", "lang", "source")
+    documents.write.parquet(zones.path("ingredients", "set.parquet"))
+    poor = table(spark, folder, "labels").filter("quality = 0")
+    edits = poor.selectExpr("1 AS edit_no", "doc_id AS row_id", "'lang' AS column", "'poor' AS value")
+    return spark.read.parquet(save_edits(spark, zones, "set.parquet", edits))
+
+
 # --- rows and sets ------------------------------------------------------------------------------
 
 
@@ -1020,13 +1134,15 @@ _PROFILED = ["doc_id", "text", "quality", "toxic"]
 
 @query(
     " UNION ALL ".join(
-        f"""SELECT '{c}' AS "column", count(*) AS rows, count({c}) AS filled FROM documents LEFT JOIN labels USING (doc_id)"""
+        f"""SELECT '{c}' AS "column", count(*) AS rows, count({c}) AS filled,
+                   {"count(*) FILTER (quality IS DISTINCT FROM toxic)" if c == "quality" else "NULL::BIGINT"} AS changed
+            FROM documents LEFT JOIN labels USING (doc_id)"""
         for c in _PROFILED
     )
 )
 def profile(spark, folder):
     joined = table(spark, folder, "documents").join(table(spark, folder, "labels"), "doc_id", "left")
-    return profiling.column_stats(joined, _PROFILED)
+    return profiling.column_stats(joined, _PROFILED, before={"quality": "toxic"})
 
 
 @query('SELECT lang AS "generationModel", source AS task, count(*) AS rows FROM documents GROUP BY ALL')
