@@ -148,7 +148,7 @@ def _counted(pieces: DataFrame, length: int) -> DataFrame:
             yield frame.assign(name=names.view(np.int64), low=at)[["gram", "name", "single", "id", "salt", "low"]]
 
     rows = pieces.mapInPandas(run, "gram long, name long, single boolean, id long, salt long, low int")
-    rows = stage(rows, "windows")
+    # Used twice, but made from the one shuffle of the texts.
     twice = rows.groupBy("gram", "name").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
     found = rows.filter("single").join(twice, ["gram", "name"], "left_semi")
     return found.select("id", "salt", "low", F.col("low").alias("high"))
