@@ -134,33 +134,27 @@ def combine_texts(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
                 "value",
             )
         )
-    union = reduce(DataFrame.unionByName, parts)
-    place = ["text_no", "__file", "__block", "__seq"]
-    numbered = with_row_id(union, place, name="__id")
+    lines = reduce(DataFrame.unionByName, parts)
     # A file that ends in a newline ends in an empty line, which the line
     # reader does not return: there are as many bytes as lines plus newlines.
-    files = numbered.groupBy("text_no", "__file").agg(
-        F.max("__id").alias("__id"),
-        (F.sum(F.octet_length("value") + 1) == F.max("__bytes")).alias("__ended"),
-    )
-    files = files.groupBy("text_no").agg(
-        F.max("__id").alias("__id"), F.max_by("__ended", "__id").alias("__ended")
+    files = lines.groupBy("text_no", "__file").agg(
+        (F.sum(F.octet_length("value") + 1) == F.max("__bytes")).alias("__ended")
     )
+    files = files.groupBy("text_no").agg(F.max("__file").alias("__file"), F.max_by("__ended", "__file").alias("__ended"))
     texts = spark.createDataFrame([(i,) for i in range(len(paths))], "text_no bigint")
     files = texts.join(files, "text_no", "left")
     ended = F.coalesce("__ended", F.lit(True)).cast("int")  # an empty file is one empty line
     blanks = ended + (F.col("text_no") < len(paths) - 1).cast("int")
-    gaps = files.select(
-        "text_no",
-        F.coalesce("__id", F.lit(-1)).alias("__id"),
-        F.explode(F.sequence(F.lit(0), blanks)).alias("__gap"),
-    )
+    gap = F.explode(F.sequence(F.lit(0), blanks)).alias("__gap")
+    last = F.lit((1 << 63) - 1)
+    gaps = files.select("text_no", F.coalesce("__file", F.lit("")).alias("__file"), last.alias("__block"), last.alias("__seq"), gap)
     gaps = gaps.filter("__gap > 0").withColumn("value", F.lit(""))
-    lines = numbered.select(
-        "text_no", "__id", F.lit(0).alias("__gap"), F.regexp_replace("value", r"\r\z", "").alias("value")
+    lines = lines.select(
+        "text_no", "__file", "__block", "__seq", F.lit(0).alias("__gap"), F.regexp_replace("value", r"\r\z", "").alias("value")
     )
+    # Lines lie in their files in order, so their place there is all a sort needs.
     return lines.unionByName(gaps).select(
-        "text_no", F.struct("__id", "__gap").alias("place"), F.col("value").alias("line")
+        "text_no", F.struct("__file", "__block", "__seq", "__gap").alias("place"), F.col("value").alias("line")
     )
 
 

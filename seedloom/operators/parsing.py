@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from seedloom.functions.expr import let, whole_div
@@ -76,13 +76,22 @@ def parse_tagged_files(
         F.col("_metadata.file_block_start").alias("__block"),
         F.when(closed, cell).alias("cell"),
     )
-    located = stage(located.withColumn("__seq", F.monotonically_increasing_id()), "pieces")
-    # What precedes the first opening mark of a file is no cell.
-    preambles = located.filter("__block = 0").groupBy("file").agg(F.min("__seq").alias("__seq"))
-    cells = located.filter(F.col("cell").isNotNull()).join(
-        preambles.select("__seq"), "__seq", "left_anti"
-    )
-    numbered = number_within(cells, ["file"], ["__block", "__seq"], name="__i")
+    # A task reads the blocks of a file one by one, so within a block the cells
+    # it keeps are numbered without a gap, and the order needs no sorting.
+    cells = located.filter(F.col("cell").isNotNull()).withColumn("__seq", F.monotonically_increasing_id())
+    cells = stage(cells, "cells")
+    blocks = cells.groupBy("file", "__block").agg(F.count(F.lit(1)).alias("__n"), F.min("__seq").alias("__low"))
+    # What precedes the first opening mark of a file is no cell, even if it is closed.
+    first = F.when(F.col("__block") == 0, F.monotonically_increasing_id())
+    heads = located.select("file", F.col("cell").isNotNull().alias("__is"), first.alias("__at"))
+    heads = heads.groupBy("file").agg(F.min_by(F.col("__is").cast("int"), "__at").alias("__skip"))
+    # One row per split of a file.
+    earlier = Window.partitionBy("file").orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
+    start = F.coalesce(F.sum("__n").over(earlier), F.lit(0)) - F.col("__low")
+    starts = blocks.withColumn("__start", start).join(heads, "file")
+    starts = starts.select("file", "__block", (F.col("__start") - F.col("__skip")).alias("__start"))
+    numbered = cells.join(starts, ["file", "__block"])
+    numbered = numbered.withColumn("__i", F.col("__seq") + F.col("__start")).filter("__i >= 0")
     value = py_strip(F.col("cell")) if strip else F.col("cell")
     at = F.col("__i") % width
     columns = [

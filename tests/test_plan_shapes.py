@@ -69,3 +69,13 @@ def test_large_quotas_are_spread_over_fixed_partitions(spark, stored):
     spread = A.amplify(few, 100 * A.BLOCK)
     assert spread.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
     assert spread.count() == 300 * A.BLOCK
+
+
+def test_order_in_files_needs_no_sorting(spark, tmp_path):
+    from seedloom.operators.combining import combine_texts
+
+    for name in ("a.txt", "b.txt"):
+        (tmp_path / name).write_text('$("x")\n$("y")\n' * 50)
+    paths = [str(tmp_path / n) for n in ("a.txt", "b.txt")]
+    for df in (combine_texts(spark, paths), parsing.parse_tagged_files(spark, paths, ["a", "b"])):
+        assert "rangepartitioning" not in plan(df)
