@@ -36,8 +36,8 @@ class Rules(NamedTuple):
     spread: tuple[tuple[str, int], ...] = (
         ("symbols", 20),  # per 1,000 characters of words
         ("capitals", 60),  # per 1,000 characters of words
-        ("dup_lines", 100),  # per 1,000 lines
-        ("repeats", 50),  # per 1,000 words
+        ("dup_lines", 170),  # per 1,000 lines: one of a short text's two or three may repeat
+        ("repeats", 70),  # per 1,000 words; the base rule alone allows 200
         ("word_length", 20),  # in tenths of a character; also bounds below
     )
     # Up to so many groups the limits are broadcast.
