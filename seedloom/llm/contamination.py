@@ -7,6 +7,8 @@ it, and a hit counts only if the words themselves are equal.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,6 +39,13 @@ def _hash(words: Column, at: Column, length: int) -> Column:
     return F.xxhash64(*[F.get(words, at + k) for k in range(length)])
 
 
+def _tagged(words: Column, length: int) -> Column:
+    def window(i: Column) -> Column:
+        return F.struct(F.lit(length).alias("__n"), i.alias("__i"), _hash(words, i, length).alias("hash"))
+
+    return F.transform(_starts(words, length), window)
+
+
 def benchmark_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """``length, hash, gram, items``: each different window and whose it is.
 
@@ -63,25 +72,35 @@ def hits(documents: DataFrame, keys: list[str], benchmark: DataFrame, window: in
         grams = F.broadcast(grams)
     words = documents.select(*keys, _words(ascii_lower(F.col("text"))).alias("__w"))
 
-    def scan(length: int) -> DataFrame:
-        hashed = let(F.col("__w"), lambda w: F.transform(_starts(w, length), lambda i: _hash(w, i, length)))
-        at = words.select(*keys, "__w", F.posexplode(hashed).alias("__i", "hash"))
-        same = grams.filter(F.col("length") == length)
-        gram = F.concat_ws(" ", F.slice("__w", F.col("__i") + 1, F.lit(length)))
+    def verified(at: DataFrame, wanted: DataFrame) -> DataFrame:
+        gram = F.concat_ws(" ", F.slice("__w", F.col("__i") + 1, F.col("__n")))
         # Each a prefix of the other is equality that does not become a join key,
         # which would build the string for every window.
         equal = gram.startswith(F.col("gram")) & F.col("gram").startswith(gram)
-        found = at.join(same, "hash").filter(equal)
-        return found.select(*keys, "__i", F.lit(length).alias("__n"), "items")
+        return at.join(wanted, "hash").filter(equal).select(*keys, "__i", "__n", "items")
+
+    def long_windows() -> DataFrame:
+        hashed = let(F.col("__w"), lambda w: F.transform(_starts(w, window), lambda i: _hash(w, i, window)))
+        at = words.select(*keys, "__w", F.lit(window).alias("__n"), F.posexplode(hashed).alias("__i", "hash"))
+        return verified(at, grams.filter(F.col("length") == window))
+
+    def short_windows(lengths: list[int]) -> DataFrame:
+        """Windows of all lengths that short items have, in one scan."""
+
+        def of(w: Column) -> Column:
+            return F.concat(*[_tagged(w, n) for n in lengths])
+
+        at = words.select(*keys, "__w", F.inline(let(F.col("__w"), of)))
+        return verified(at, grams.filter(F.col("length") < window))
 
     if not lengths:
         none = documents.select(*keys).filter(F.lit(False))
         empty = {"__i": "int", "__n": "int", "items": "array<string>"}
         return none.select(*keys, *[F.lit(None).cast(t).alias(c) for c, t in empty.items()])
-    found = scan(lengths[0])
-    for length in lengths[1:]:
-        found = found.unionByName(scan(length))
-    return found
+    short = [n for n in lengths if n < window]
+    found = [long_windows()] if window in lengths else []
+    found += [short_windows(short)] if short else []
+    return reduce(DataFrame.unionByName, found)
 
 
 def contamination(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:

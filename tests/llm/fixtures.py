@@ -44,5 +44,5 @@ def empty(spark):
 
 
 def benchmark(spark):
-    rows = [(1, prose(2, 80)), (2, "only four words here"), (3, None), (4, ""), (None, prose(7, 20)), (1, prose(2, 80))]
+    rows = [(1, prose(2, 80)), (2, "only four words here"), (3, None), (4, ""), (None, prose(7, 20)), (1, prose(2, 80)), (5, "One TWO"), (6, "word word word")]
     return spark.createDataFrame(rows, "item_id long, text string")
