@@ -65,7 +65,7 @@ def _sample_key() -> Column:
 
 
 # What stands before the digest and the column in a request id.
-_KEY_OF_ID = r"^(.*:-?\d+):[0-9a-f]{32}:"
+_KEY_OF_ID = r"(?s)^(.*:-?\d+):[0-9a-f]{32}:"
 
 
 def _identified(requests: DataFrame, copies: int | None = None, tasks: int | None = None) -> DataFrame:
