@@ -8,7 +8,7 @@ import numpy as np
 import xxhash
 
 GRAM = 32
-_BITS = 20
+_BITS = 18
 _MASK = np.uint64((1 << _BITS) - 1)
 _PART = 1 << _BITS
 _C1, _C2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
@@ -58,7 +58,7 @@ def _sliding_min(values: np.ndarray, width: int) -> np.ndarray:
 
 
 def _parts(texts: Sequence[bytes], window: int) -> Iterator[tuple[list[int], list[int], bytes]]:
-    """Texts side by side, at most 2^20 bytes at once; a longer one in overlapping parts."""
+    """Texts side by side, at most 2^18 bytes at once; a longer one in overlapping parts."""
     rows, starts, size, held = [], [], 0, []
     for row, text in enumerate(texts):
         if len(text) < window:
