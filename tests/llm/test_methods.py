@@ -93,6 +93,25 @@ def test_mix_follows_given_weights(spark):
         mixing.mix(docs, settings=mixing.SETTINGS._replace(most_sources=1))
 
 
+def test_mix_keeps_exact_weights_over_a_large_table(spark):
+    docs = spark.range(120_000).selectExpr("id as doc_id", "if(id % 3 = 0, 'hot', concat('s', id % 19)) as source")
+    few = mixing.SETTINGS._replace(block=4)
+    for weights in (None, {"hot": 1.0, **{f"s{n}": 2.0 / 19 for n in range(19)}}, {"hot": 3.0, "s0": 0.0004}):
+        got = mixing.mix(docs, weights, few, order_key=("doc_id",)).select("source", "slot", "release", "deadline").distinct().toPandas()
+        got = got.sort_values("slot")
+        sizes = docs.groupBy("source").count().toPandas().set_index("source")["count"]
+        w = sizes**0.5 if weights is None else sizes.index.to_series().map(lambda s: weights.get(s, 1.0))
+        blocks, total = -(-sizes // 4), (-(-sizes // 4)).sum()
+        assert got.slot.tolist() == list(range(total))
+        assert (got.release <= got.slot).all() and (got.slot < got.deadline).all()
+        full = int((blocks / w).min() * w.sum())  # so long no source has run out
+        assert full > 15_000
+        slot = np.arange(1, full + 1)
+        for s in sizes.index:
+            done = np.cumsum(got.source.to_numpy()[:full] == s)
+            assert np.abs(done - w[s] / w.sum() * slot).max() < 1 + 1e-9, s
+
+
 # --- repeats -----------------------------------------------------------------------
 
 
