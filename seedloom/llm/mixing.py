@@ -32,14 +32,14 @@ class Settings(NamedTuple):
     from ``few_pieces`` times as many documents on, pieces grow instead. Without
     weights a source weighs its count to the power ``temper``; with weights,
     one that has none gets ``default_weight``. More sources than
-    ``most_sources`` are an error: they need grouping first.
+    ``most_sources``, where it is set, are an error.
     """
 
     block: int = 16
     temper: float = 0.5
     default_weight: float = 1.0
     seed: int = 0
-    most_sources: int = 1000
+    most_sources: int | None = None
     bucket_rows: int = 4_000
     few_pieces: int = 100_000
 
@@ -174,7 +174,8 @@ def mix(
     source is a source of its own, named None in ``weights``. Rows that agree in
     ``order_key`` come in either order. An empty table stays empty.
 
-    Counts, plan and pieces are tables, and the driver sees the number of rows. Documents are numbered in pieces of a source,
+    Any number of sources is mixed: counts, plan and pieces are tables, and the
+    driver sees the number of rows. Documents are numbered in pieces of a source,
     so one that has a third of all rows is spread like the rest.
     """
     spark = documents.sparkSession
@@ -191,7 +192,7 @@ def mix(
     sources = stage(counts.select("s", "n", blocks.alias("blocks"), weight.alias("weight")), "mix-sources")
     bad = ~(F.col("weight") > 0) | F.isnan("weight") | (F.col("weight") == float("inf"))
     seen = sources.agg(F.count(F.lit(1)).alias("sources"), F.sum("n").alias("rows"), F.count_if(bad).alias("bad")).first()
-    if seen.sources > settings.most_sources:
+    if settings.most_sources is not None and seen.sources > settings.most_sources:
         raise ValueError(f"more than {settings.most_sources} sources; group them first")
     if seen.bad:
         raise ValueError("weights must be positive")

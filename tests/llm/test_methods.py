@@ -112,6 +112,17 @@ def test_mix_keeps_exact_weights_over_a_large_table(spark):
             assert np.abs(done - w[s] / w.sum() * slot).max() < 1 + 1e-9, s
 
 
+def test_mix_takes_any_number_of_sources(spark):
+    docs = spark.range(12_000).selectExpr("id as doc_id", "case when id % 3 = 0 then 'hot' when id = 1 then null else concat('site', id % 2500) end as source")
+    rows = mixing.mix(docs, order_key=("doc_id",)).collect()
+    assert sorted(r.doc_id for r in rows) == list(range(12_000))
+    assert len({(r.slot, r.place) for r in rows}) == len(rows) and all(r.release <= r.slot < r.deadline for r in rows)
+    assert {r.slot for r in rows} == set(range(len({(r.source, r.block) for r in rows})))
+    assert len({r.source for r in rows}) > 2400
+    with pytest.raises(ValueError):
+        mixing.mix(docs, {"hot": 0.0}, order_key=("doc_id",))
+
+
 # --- repeats -----------------------------------------------------------------------
 
 
