@@ -4,14 +4,15 @@ Base spans are what the four patterns match and their checks confirm. Further
 generators propose spans that overlap them and each other. Trees fitted on a
 bounded sample, with base spans as positives, score the format and context of
 every candidate, and a candidate is added where its score passes a threshold
-that held-out candidates of its kind calibrate. Column expressions only.
+that all candidates of its kind outside the sample calibrate. Column expressions only.
 """
 
 from __future__ import annotations
 
+from functools import reduce
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from seedloom.functions.expr import let, whole_div
@@ -50,7 +51,7 @@ _CHUNK = 256
 
 
 class Settings(NamedTuple):
-    """``sample`` bounds the candidates that the trees are fitted and calibrated on."""
+    """``sample`` bounds the candidates that the trees are fitted on; thresholds take all others."""
 
     sample: int = 20_000
     precision: float = 0.95
@@ -191,6 +192,7 @@ def _candidates(text: Column, kind: str, base: Column) -> Column:
             span["start"].alias("start"),
             span["end"].alias("end"),
             meets.alias("base"),
+            F.xxhash64(span["value"]).alias("value"),
             _features(text, kind, span).alias("features"),
         )
 
@@ -205,7 +207,7 @@ def with_candidates(documents: DataFrame, name: str) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     # Few texts hold a digit or an @; the others skip the generators.
     worth = text.rlike(r"[0-9@]|[\[(]at[\])]")
-    empty = F.array().cast("array<struct<kind:int,start:int,end:int,base:boolean,features:array<double>>>")
+    empty = F.array().cast("array<struct<kind:int,start:int,end:int,base:boolean,value:bigint,features:array<double>>>")
 
     def of(base: Column) -> Column:
         made = F.concat(*[_candidates(text, k, base[k]) for k in _LOOSE])
@@ -219,22 +221,50 @@ class Model(NamedTuple):
     thresholds: tuple[float, ...]
 
 
+def _training_sample(each: DataFrame, most: int) -> DataFrame:
+    """``kind, label, order, features``: an equal part of ``most`` for each kind and label.
+
+    Of the distinct candidates of a kind and label it has those of smallest
+    ``order``: the same on every run.
+    """
+    # One row per kind and label.
+    sizes = each.groupBy("kind", "label").agg(F.approx_count_distinct("order").alias("n")).collect()
+    part = max(1, most // max(1, len(sizes)))
+    # Digests are even, so twice the part is surely below these.
+    low = [_of(r, F.col("order") <= min(2**63 - 1, -(2**63) + 2**64 * (2 * part + 200) // r.n)) for r in sizes]
+    distinct = each.filter(_any(low)).groupBy("kind", "label", "order").agg(F.first("features").alias("features"))
+    ranked = distinct.withColumn("nth", F.row_number().over(Window.partitionBy("kind", "label").orderBy("order")))
+    return ranked.filter(F.col("nth") <= part).drop("nth")
+
+
+def _of(row: Row, condition: Column) -> Column:
+    return (F.col("kind") == row.kind) & (F.col("label") == row.label) & condition
+
+
+def _any(conditions: list[Column]) -> Column:
+    return reduce(Column.__or__, conditions, F.lit(False))
+
+
 def fit(rows: DataFrame, loose: str, settings: Settings = SETTINGS) -> Model:
-    """Trees and one threshold per kind from at most ``settings.sample`` candidates.
+    """Trees from at most ``settings.sample`` distinct candidates, and one threshold per kind.
 
-    A fifth of the sample stays out of fitting; a kind's threshold is the lowest
-    score from which that fifth reaches the wanted precision against base spans.
-    A kind without such a score adds nothing.
+    Candidates of equal text and features, wherever they are, are copies. A fifth of the distinct candidates never enters the sample. A kind's
+    threshold is the lowest score from which all its candidates outside the
+    sample reach the wanted precision against base spans; copies count each. A
+    kind without such a score adds nothing.
     """
     each = rows.select(F.inline(loose)).withColumn("label", F.col("base").cast("int"))
-    key = F.concat_ws(":", "start", "end", F.col("features").cast("string"))
-    sample = stage(boosting.bounded_sample(each, key, settings.sample), "candidates")
-    held = F.pmod(F.xxhash64(key, F.lit(1)), F.lit(5)) == 0
-    boosted = boosting.fit(sample.filter(~held), rounds=settings.rounds, depth=settings.depth)
-    never = tuple(2.0 for _ in KINDS)
+    each = each.select("kind", "label", "features", F.xxhash64("kind", "value", "features").alias("order"))
+    held = F.pmod(F.xxhash64(F.lit(1), "order"), F.lit(5)) == 0
+    sample = stage(_training_sample(each.filter(~held), settings.sample), "candidates")
+    boosted = boosting.fit(sample, rounds=settings.rounds, depth=settings.depth)
     if boosted is None:
-        return Model(None, never)
-    scored = sample.filter(held).select("kind", "label", F.floor(boosted.score(F.col("features")) * 100).alias("bin"))
+        return Model(None, tuple(2.0 for _ in KINDS))
+    # The sample has every distinct candidate up to its last one.
+    last = sample.groupBy("kind", "label").agg(F.max("order").alias("order")).collect()
+    others = each.filter(held | ~_any([_of(r, F.col("order") <= r.order) for r in last]))
+    scored = others.select("kind", "label", F.floor(boosted.score(F.col("features")) * 100).alias("bin"))
+    # At most 101 rows per kind.
     bins = scored.groupBy("kind", "bin").agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("hits")).collect()
     thresholds = []
     for kind in range(len(KINDS)):

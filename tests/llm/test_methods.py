@@ -223,6 +223,18 @@ def test_trees_add_what_looks_like_base_spans(spark):
     assert spans[999] == "card:0:16,card:17:33"
 
 
+@pytest.mark.parametrize("copies", [1, 100])
+def test_a_rare_kind_gets_its_threshold(spark, copies):
+    rng = random.Random(2)
+    card = lambda: next(d for d in ("4" + "".join(rng.choices("0123456789", k=15)) for _ in range(500)) if specs.luhn(d))
+    rows = [(n, f"{fixtures.prose(n, 6)} {rng.randint(100, 999)} {rng.randint(100, 999)} {rng.randint(1000, 9999)}") for n in range(6000 // copies)] * copies
+    rows += [(8000 + n, f"{fixtures.prose(n, 8)} {card()} then {rng.randint(10**12, 10**13)}") for n in range(90)]
+    rows.append((9999, f"{card()} {card()}"))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    spans = {r.doc_id: r.spans for r in pii.pii_report(df, pii.SETTINGS._replace(sample=60)).collect()}
+    assert spans[9999] == "card:0:16,card:17:33"
+
+
 # --- toxicity ----------------------------------------------------------------------
 
 
