@@ -239,10 +239,122 @@ def _licenses() -> str:
     """
 
 
+MERKLE = r"""
+    WITH RECURSIVE fields AS (
+        SELECT row_number() OVER () AS r, doc_id, coalesce('=' || lang, '') AS tree,
+            coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || doc_id, '-')
+            || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-') AS front,
+            n_chars, coalesce(strlen(text) || ':' || text, '-') AS back,
+            list_transform(range(length(CAST(doc_id AS VARCHAR))),
+                lambda i: CAST(ascii(substr(CAST(doc_id AS VARCHAR), i + 1, 1)) AS UBIGINT)) AS bytes
+        FROM documents
+    ), leaves AS (
+        SELECT r, doc_id, tree,
+            sha256(front || coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-') || back) AS leaf,
+            sha256(front || coalesce(strlen(CAST(n_chars + 1 AS VARCHAR)) || ':' || (n_chars + 1), '-') || back) AS other,
+            coalesce(xor(list_reduce(list_prepend(4294967295::UBIGINT, bytes), lambda c, b:
+                list_reduce(list_prepend(xor(c, b), CAST(range(8) AS UBIGINT[])), lambda v, k:
+                    CASE WHEN v % 2 = 1 THEN xor(v // 2, 3988292384::UBIGINT) ELSE v // 2 END)),
+                4294967295::UBIGINT) % 7 = 0, false) AS tampered
+        FROM fields
+    ), placed AS (
+        SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos FROM leaves
+    ), nodes AS (
+        SELECT tree, 0 AS level, pos, leaf AS node, count(*) OVER (PARTITION BY tree) AS n FROM placed
+        UNION ALL
+        SELECT tree, level, pos, node, n FROM (
+            SELECT tree, level + 1 AS level, pos // 2 AS pos, pos AS old, (n + 1) // 2 AS n,
+                sha256(node || coalesce(lead(node) OVER (PARTITION BY tree ORDER BY pos), '')) AS node
+            FROM nodes WHERE n > 1)
+        WHERE old % 2 = 0
+    ), subroots AS (
+        SELECT tree, node AS subroot, row_number() OVER (ORDER BY tree) - 1 AS pos FROM nodes WHERE n = 1
+    ), over_nodes AS (
+        SELECT 0 AS level, pos, subroot AS node, count(*) OVER () AS n FROM subroots
+        UNION ALL
+        SELECT level, pos, node, n FROM (
+            SELECT level + 1 AS level, pos // 2 AS pos, pos AS old, (n + 1) // 2 AS n,
+                sha256(node || coalesce(lead(node) OVER (ORDER BY pos), '')) AS node
+            FROM over_nodes WHERE n > 1)
+        WHERE old % 2 = 0
+    ), low_path AS (
+        SELECT r, tree, 0 AS level, pos, CASE WHEN tampered THEN other ELSE leaf END AS folded, '' AS proof FROM placed
+        UNION ALL
+        SELECT p.r, p.tree, p.level + 1, p.pos // 2,
+            CASE WHEN p.pos % 2 = 1 THEN sha256(s.node || p.folded) ELSE sha256(p.folded || coalesce(s.node, '')) END,
+            p.proof || coalesce(s.node, '')
+        FROM low_path p JOIN nodes own ON own.tree = p.tree AND own.level = p.level AND own.pos = p.pos AND own.n > 1
+        LEFT JOIN nodes s ON s.tree = p.tree AND s.level = p.level AND s.pos = xor(p.pos, 1)
+    ), low AS (
+        SELECT r, tree, arg_max(folded, level) AS folded, arg_max(proof, level) AS proof FROM low_path GROUP BY r, tree
+    ), high_path AS (
+        SELECT l.r, 0 AS level, s.pos, l.folded, l.proof FROM low l JOIN subroots s USING (tree)
+        UNION ALL
+        SELECT p.r, p.level + 1, p.pos // 2,
+            CASE WHEN p.pos % 2 = 1 THEN sha256(s.node || p.folded) ELSE sha256(p.folded || coalesce(s.node, '')) END,
+            p.proof || coalesce(s.node, '')
+        FROM high_path p JOIN over_nodes own ON own.level = p.level AND own.pos = p.pos AND own.n > 1
+        LEFT JOIN over_nodes s ON s.level = p.level AND s.pos = xor(p.pos, 1)
+    ), high AS (
+        SELECT r, arg_max(folded, level) AS folded, arg_max(proof, level) AS proof FROM high_path GROUP BY r
+    )
+    SELECT p.doc_id, p.leaf, s.subroot, o.node AS root, sha256(h.proof) AS proof_sha256,
+        h.folded AS folded_root, h.folded = o.node AS verified
+    FROM placed p JOIN high h USING (r) JOIN subroots s USING (tree), (SELECT node FROM over_nodes WHERE n = 1) o
+"""
+
+
+def _kmeans() -> str:
+    rounds = [
+        """kept AS (
+        SELECT row_number() OVER () AS r, vec_id,
+            list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+        FROM embeddings WHERE len(embedding) = 64
+            AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64
+    ), flat AS (
+        SELECT r, d, v[d] AS x FROM kept, range(1, 65) t(d)
+    ), c0 AS (
+        SELECT c, d, v[d] AS m FROM (
+            SELECT v, row_number() OVER (ORDER BY sha256('1:' || vec_id), v) - 1 AS c FROM kept
+            QUALIFY c < 16), range(1, 65) t(d)
+    )"""
+    ]
+    for n in range(4):
+        rounds.append(
+            f"""s{n} AS (
+        SELECT r, c, sum((x - m) * (x - m)) AS distance FROM flat JOIN c{n} USING (d) GROUP BY r, c
+    ), a{n} AS (
+        SELECT r, c, distance FROM s{n} QUALIFY row_number() OVER (PARTITION BY r ORDER BY distance, c) = 1
+    )"""
+        )
+        if n < 3:
+            rounds.append(
+                f"""u{n} AS (
+        SELECT c, d, sum(x) AS s, count(*) AS n FROM flat JOIN a{n} USING (r) GROUP BY c, d
+    ), c{n + 1} AS (
+        SELECT c, d, CASE WHEN n IS NULL THEN m ELSE CAST((s - ((s % n) + n) % n) // n AS BIGINT) END AS m
+        FROM c{n} LEFT JOIN u{n} USING (c, d)
+    )"""
+            )
+    return f"""WITH {", ".join(rounds)}, digests AS (
+        SELECT c, sha256(string_agg(CAST(m AS VARCHAR), ',' ORDER BY d)) AS centroid_sha256 FROM c3 GROUP BY c
+    )
+    SELECT vec_id, CAST(c AS INTEGER) AS cluster, CAST(distance AS BIGINT) AS distance,
+        CAST(sum(distance) OVER (PARTITION BY c) AS BIGINT) AS cluster_inertia,
+        CAST(sum(distance) OVER () AS BIGINT) AS inertia, centroid_sha256
+    FROM a3 JOIN kept USING (r) JOIN digests USING (c)
+"""
+
+
+KMEANS = _kmeans()
+
+
 ORACLES: dict[str, str] = {
     "op1_chat_formatting": CHAT,
     "op5_url_filters": URLS,
     "op6_decontamination": CONTAMINATION,
     "op7_quality_rules": _quality(),
     "op8_license_scans": _licenses(),
+    "op11_merkle_manifest": MERKLE,
+    "op12_centroid_clustering": KMEANS,
 }

@@ -7,7 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seedloom.llm import chat, contamination, licenses, mixing, pii, quality, repeats, simhash, toxicity, urls
+from seedloom.llm import (
+    chat,
+    contamination,
+    kmeans,
+    licenses,
+    merkle,
+    mixing,
+    page_text,
+    pii,
+    quality,
+    repeats,
+    simhash,
+    toxicity,
+    urls,
+)
 from seedloom.llm.common import read_table
 from seedloom.llm.oracles import ORACLES as ORACLES
 
@@ -60,6 +74,18 @@ def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.score(*[read_table(spark, folder, t) for t in ("documents", "labels")])
 
 
+def op11_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    return merkle.document_proofs(read_table(spark, folder, "documents"))
+
+
+def op12_centroid_clustering(spark: SparkSession, folder: str) -> DataFrame:
+    return kmeans.report(kmeans.cluster(read_table(spark, folder, "embeddings")))
+
+
+def op13_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
+    return page_text.extract(read_table(spark, folder, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 QUERIES: dict[str, Query] = {
     "op1_chat_formatting": op1_chat_formatting,
     "op2_mixing": op2_mixing,
@@ -71,4 +97,7 @@ QUERIES: dict[str, Query] = {
     "op8_license_scans": op8_license_scans,
     "op9_simhash": op9_simhash,
     "op10_toxicity": op10_toxicity,
+    "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_centroid_clustering": op12_centroid_clustering,
+    "op13_html_extraction": op13_html_extraction,
 }
