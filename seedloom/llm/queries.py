@@ -14,6 +14,7 @@ from seedloom.llm import (
     licenses,
     merkle,
     mixing,
+    page_labels,
     page_text,
     pii,
     quality,
@@ -83,7 +84,7 @@ def op12_centroid_clustering(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op13_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
-    return page_text.extract(read_table(spark, folder, "pages")).select("page_id", "url", "text", "n_chars")
+    return page_text.extract(read_table(spark, folder, "pages"), page_labels.default_model()).select("page_id", "url", "text", "n_chars")
 
 
 QUERIES: dict[str, Query] = {
