@@ -1,13 +1,13 @@
 """Benchmark passages in training documents.
 
-The benchmark's windows of 13 words, normalised, are a hash set that every
-task gets while it is small; documents are scanned window by window against
-it, and a hit counts only if the words themselves are equal.
+The hashes of the benchmark's windows of 13 normalised words are a set that
+every task gets while it is small; documents are scanned window by window
+against it, and a hit counts only if the words themselves are equal.
 """
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,8 +17,8 @@ from seedloom.llm.common import ascii_lower, few_rows, fresh
 from seedloom.sources.staging import stage
 
 WINDOW = 13
-# Up to so many different windows (about 100 bytes each) the set is broadcast.
-FEW_WINDOWS = 200_000
+# Up to so many different windows their bare hashes (16 MB) are broadcast.
+FEW_WINDOWS = 1_000_000
 # Up to so many contaminated documents their keys (24 MB) are broadcast.
 FEW_CONTAMINATED = 1_000_000
 
@@ -30,24 +30,34 @@ def _words(text: Column) -> Column:
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(_WORD), F.lit(0))
 
 
-def _starts(words: Column, length: int) -> Column:
-    last = F.size(words) - length
-    return F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
+def _windows(words: Column, lengths: Sequence[int]) -> Column:
+    """``n, i, hash`` of all windows of the given lengths, as an array.
 
+    A word is hashed once. Hashes of longer strings join two of half the
+    length, or two of a power of two that overlap: four steps give 13 words.
+    """
 
-def _hash(words: Column, at: Column, length: int) -> Column:
-    return F.xxhash64(*[F.get(words, at + k) for k in range(length)])
+    def joined(names: Column, step: int) -> Column:
+        # Beyond the end this hashes one half only; such windows are cut off below.
+        return F.transform(names, lambda x, i: F.xxhash64(x, F.get(names, i + step)))
 
+    def cut(names: Column, size: int, n: int) -> Column:
+        whole = names if n == size else joined(names, n - size)
+        kept = F.slice(whole, 1, F.greatest(F.size(names) - (n - 1), F.lit(0)))
+        return F.transform(kept, lambda h, i: F.struct(F.lit(n).alias("n"), i.alias("i"), h.alias("hash")))
 
-def _tagged(words: Column, length: int) -> Column:
-    def window(i: Column) -> Column:
-        return F.struct(F.lit(length).alias("__n"), i.alias("__i"), _hash(words, i, length).alias("hash"))
+    def level(names: Column, size: int) -> Column:
+        mine = [cut(names, size, n) for n in lengths if size <= n < 2 * size]
+        if max(lengths) < 2 * size:
+            return F.concat(*mine)
+        above = let(joined(names, size), lambda twice: level(twice, 2 * size))
+        return F.concat(*mine, above) if mine else above
 
-    return F.transform(_starts(words, length), window)
+    return let(F.transform(words, lambda w: F.xxhash64(w)), lambda names: level(names, 1))
 
 
 def benchmark_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """``length, hash, gram, items``: each different window and whose it is.
+    """``n, hash, gram, items``: each different window and whose it is.
 
     An item of fewer words is one window; one without words has none. A null
     item_id counts as the empty id.
@@ -56,74 +66,65 @@ def benchmark_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     words = benchmark.select(item, _words(ascii_lower(F.col("text"))).alias("w")).filter(F.size("w") > 0)
     length = F.least(F.size("w"), F.lit(window))
     at = F.explode(F.sequence(F.lit(0), F.size("w") - length)).alias("i")
-    grams = words.select("item", "w", length.alias("length"), at)
-    gram = F.concat_ws(" ", F.slice("w", F.col("i") + 1, F.col("length"))).alias("gram")
-    grams = grams.select("item", "length", gram)
-    grouped = grams.groupBy("length", "gram").agg(F.collect_set("item").alias("items"))
-    # Over an array the hash runs word by word, as over the words of a document.
-    return grouped.withColumn("hash", F.xxhash64(F.split("gram", " ")))
-
-
-def hits(documents: DataFrame, keys: list[str], benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """``keys``, first word, length and items of every occurrence of a window."""
-    grams = benchmark_windows(benchmark, window)
-    lengths = sorted(r.length for r in grams.select("length").distinct().collect())  # at most ``window``
-    if few_rows(grams, FEW_WINDOWS):
-        grams = F.broadcast(grams)
-    words = documents.select(*keys, _words(ascii_lower(F.col("text"))).alias("__w"))
-
-    def verified(at: DataFrame, wanted: DataFrame) -> DataFrame:
-        gram = F.concat_ws(" ", F.slice("__w", F.col("__i") + 1, F.col("__n")))
-        # Each a prefix of the other is equality that does not become a join key,
-        # which would build the string for every window.
-        equal = gram.startswith(F.col("gram")) & F.col("gram").startswith(gram)
-        return at.join(wanted, "hash").filter(equal).select(*keys, "__i", "__n", "items")
-
-    def long_windows() -> DataFrame:
-        hashed = let(F.col("__w"), lambda w: F.transform(_starts(w, window), lambda i: _hash(w, i, window)))
-        at = words.select(*keys, "__w", F.lit(window).alias("__n"), F.posexplode(hashed).alias("__i", "hash"))
-        return verified(at, grams.filter(F.col("length") == window))
-
-    def short_windows(lengths: list[int]) -> DataFrame:
-        """Windows of all lengths that short items have, in one scan."""
-
-        def of(w: Column) -> Column:
-            return F.concat(*[_tagged(w, n) for n in lengths])
-
-        at = words.select(*keys, "__w", F.inline(let(F.col("__w"), of)))
-        return verified(at, grams.filter(F.col("length") < window))
+    grams = words.select("item", "w", length.alias("n"), at)
+    gram = F.concat_ws(" ", F.slice("w", F.col("i") + 1, F.col("n"))).alias("gram")
+    grouped = grams.select("item", "n", gram).groupBy("n", "gram").agg(F.collect_set("item").alias("items"))
+    whole = F.filter(_windows(F.split("gram", " "), range(1, window + 1)), lambda x: x["n"] == F.col("n"))
+    return grouped.withColumn("hash", whole[0]["hash"])
+
 
+def hits(documents: DataFrame, keys: list[str], benchmark: DataFrame, window: int = WINDOW, few: int = FEW_WINDOWS) -> DataFrame:
+    """``keys``, first word, length and items of every occurrence of a window.
+
+    The scan joins nothing but hashes: to a broadcast set of those of the
+    benchmark, or, if they are more than ``few``, by hash, in rows of a key, a
+    place and a number. Only documents with a hit are read again, and their
+    hits count if the words are equal. ``keys`` may not be null.
+    """
+    grams = stage(benchmark_windows(benchmark, window), "windows")
+    lengths = sorted(r.n for r in grams.select("n").distinct().collect())  # at most ``window``
     if not lengths:
         none = documents.select(*keys).filter(F.lit(False))
         empty = {"__i": "int", "__n": "int", "items": "array<string>"}
         return none.select(*keys, *[F.lit(None).cast(t).alias(c) for c, t in empty.items()])
-    short = [n for n in lengths if n < window]
-    found = [long_windows()] if window in lengths else []
-    found += [short_windows(short)] if short else []
-    return reduce(DataFrame.unionByName, found)
-
-
-def contamination(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+    wanted = grams.select("n", "hash").distinct()
+    if few_rows(wanted, few):
+        wanted = F.broadcast(wanted)
+    words = _words(ascii_lower(F.col("text")))
+    at = documents.select(*keys, F.inline(_windows(words, lengths)))
+    found = at.join(wanted, ["n", "hash"]).groupBy(*keys).agg(F.collect_set(F.struct("n", "i", "hash")).alias("__found"))
+    # A document's hits are no more than its windows. Spark broadcasts few of them by itself.
+    found = stage(found, "window-hits")
+    # Rows that agree in their keys agree in text.
+    again = documents.join(found, keys).dropDuplicates(keys).select(*keys, words.alias("__w"), "__found")
+
+    def told(x: Column) -> Column:
+        gram = F.concat_ws(" ", F.slice("__w", x["i"] + 1, x["n"]))
+        return F.struct(x["i"].alias("__i"), x["n"].alias("n"), x["hash"].alias("hash"), gram.alias("gram"))
+
+    told_apart = again.select(*keys, F.inline(F.transform("__found", told)))
+    return told_apart.join(grams, ["n", "hash", "gram"]).select(*keys, "__i", F.col("n").alias("__n"), "items")
+
+
+def contamination(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, few: int = FEW_WINDOWS) -> DataFrame:
     """One row per document: words, words hit, items, and whether it is contaminated.
 
     Null text has no words. Rows that agree in id and text get the same
     result each. An empty benchmark hits nothing. The documents themselves are
     never shuffled, only hits and one narrow row per document.
     """
-    key = [F.col("doc_id"), F.xxhash64("text").alias("__h")]
-    docs = documents.select(*key, "text")
-    found = hits(docs, ["doc_id", "__h"], benchmark, window)
+    # A null id hashes like no id; the text's hash tells the two apart.
+    key = [F.xxhash64("doc_id").alias("__k"), F.xxhash64("text", F.col("doc_id").isNull()).alias("__h")]
+    found = hits(documents.select(*key, "text"), ["__k", "__h"], benchmark, window, few)
     # A document's hits are no more than its words.
     spans = F.flatten(F.transform("__spans", lambda s: F.sequence(s["i"], s["i"] + s["n"] - 1)))
-    per = found.groupBy("doc_id", "__h").agg(
+    per = found.groupBy("__k", "__h").agg(
         F.collect_set(F.struct(F.col("__i").alias("i"), F.col("__n").alias("n"))).alias("__spans"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("__items"),
     )
-    per = per.select(
-        F.col("doc_id").alias("__id"), F.col("__h").alias("__hh"), F.size(F.array_distinct(spans)).alias("__hit"), "__items"
-    )
-    counted = docs.select("doc_id", "__h", F.size(_words(F.col("text"))).cast("long").alias("n_words"))
-    joined = counted.join(per, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__h") == F.col("__hh")), "left")
+    per = per.select("__k", "__h", F.size(F.array_distinct(spans)).alias("__hit"), "__items")
+    counted = documents.select("doc_id", *key, F.xxhash64("text").alias("text_hash"), F.size(_words(F.col("text"))).cast("long").alias("n_words"))
+    joined = counted.join(per, ["__k", "__h"], "left")
     n_hit = F.coalesce(F.col("__hit"), F.lit(0)).cast("long")
     items = F.coalesce(F.col("__items"), F.array().cast("array<string>"))
     return joined.select(
@@ -133,7 +134,7 @@ def contamination(documents: DataFrame, benchmark: DataFrame, window: int = WIND
         F.size(items).cast("long").alias("n_items"),
         F.sha2(F.array_join(items, ","), 256).alias("items_sha256"),
         ((n_hit > 0) & (20 * n_hit >= F.col("n_words"))).alias("contaminated"),
-        F.col("__h").alias("text_hash"),
+        "text_hash",
     )
 
 

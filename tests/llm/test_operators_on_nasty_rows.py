@@ -83,6 +83,33 @@ def test_pii(spark, extra):
     assert text == "call [PHONE] or mail [EMAIL], card [CARD], host [IP]"
 
 
+def test_contamination_by_shuffled_hashes(spark):
+    """More windows than are broadcast, and a text of 100,000 words."""
+    passage = fixtures.prose(2, 80)
+    rows = [*ids_and_texts(), (500, f"{fixtures.prose(77, 60_000)} {passage} {fixtures.prose(78, 40_000)}"), (501, passage)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    items = [tuple(r) for r in fixtures.benchmark(spark).collect()]
+    got = contamination.contamination(docs, fixtures.benchmark(spark), few=0).drop("text_hash")
+    assert sort(rows_of(got)) == sort(specs.contamination(rows, items))
+
+
+@pytest.mark.parametrize("window", [1, 2, 3, 8, 16])
+def test_windows_of_any_length(spark, window):
+    items = [tuple(r) for r in fixtures.benchmark(spark).collect()]
+    got = contamination.hits(fixtures.nasty(spark).filter("doc_id is not null").dropDuplicates(["doc_id"]), ["doc_id"], fixtures.benchmark(spark), window)
+    grams = {}
+    for _, t in items:
+        w = specs.item_words(t)
+        n = min(window, len(w))
+        grams.update({tuple(w[k : k + n]): n for k in range(len(w) - n + 1 if w else 0)})
+    texts = {i: t for i, t in ids_and_texts() if i is not None}
+    want = {
+        (i, k, n) for i, t in texts.items() for n in set(grams.values()) for w in [specs.item_words(t)]
+        for k in range(len(w) - n + 1) if tuple(w[k : k + n]) in grams
+    }
+    assert {(r.doc_id, r["__i"], r["__n"]) for r in got.collect()} == want
+
+
 @pytest.mark.parametrize("extra", [False, True])
 def test_contamination(spark, extra):
     items = [tuple(r) for r in fixtures.benchmark(spark).collect()]
