@@ -110,15 +110,15 @@ CONTAMINATION = rf"""
 
 
 def _quality() -> str:
-    names = [m for m, _ in RULES.spread]
-    spread = " ".join(f"WHEN '{m}' THEN {s}" for m, s in RULES.spread)
-    low = "(m.measure <> 'word_length' OR m.value >= f.q1 - f.reach)"
+    names = [m for m, *_ in RULES.measures]
+    spread, margin = (" ".join(f"WHEN '{m[0]}' THEN {m[n]}" for m in RULES.measures) for n in (1, 2))
+    quantiles = ("q1", "q25", "q75", "q99")
 
     def quartiles(table: str, keys: str) -> str:
         comma = f"{keys}, " if keys else ""
         return rf"""
-            SELECT {comma}measure, any_value(total) AS total, min(value) FILTER (4 * upto >= total) AS q1,
-                min(value) FILTER (4 * upto >= 3 * total) AS q3
+            SELECT {comma}measure, any_value(total) AS total,
+                {", ".join(f"min(value) FILTER (100 * upto >= {q[1:]} * total) AS {q}" for q in quantiles)}
             FROM (SELECT {comma}measure, value, sum(n) OVER (PARTITION BY {comma}measure ORDER BY value) AS upto,
                     sum(n) OVER (PARTITION BY {comma}measure) AS total
                 FROM (SELECT {comma}measure, value, sum(n) AS n FROM {table} GROUP BY {comma}measure, value))
@@ -165,14 +165,16 @@ def _quality() -> str:
     ), every AS ({quartiles("sketch", "")}
     ), picked AS (
         SELECT o.lang, o.source, o.measure,
-            CASE WHEN o.total >= {RULES.least_rows} THEN o.q1 WHEN l.total >= {RULES.least_rows} THEN l.q1 ELSE e.q1 END AS q1,
-            CASE WHEN o.total >= {RULES.least_rows} THEN o.q3 WHEN l.total >= {RULES.least_rows} THEN l.q3 ELSE e.q3 END AS q3
+            {", ".join(f"CASE WHEN o.total >= {RULES.least_rows} THEN o.{q} WHEN l.total >= {RULES.least_rows} THEN l.{q} ELSE e.{q} END AS {q}" for q in quantiles)}
         FROM own o JOIN per_lang l USING (lang, measure) JOIN every e USING (measure)
+    ), widths AS (
+        SELECT *, {RULES.reach} * greatest(q75 - q25, CASE measure {spread} END) AS reach, CASE measure {margin} END AS margin FROM picked
     ), fences AS (
-        SELECT *, {RULES.reach} * greatest(q3 - q1, CASE measure {spread} END) AS reach FROM picked
+        SELECT lang, source, measure, least(q75 + reach, q99 + greatest(q99 // 4, margin)) AS high,
+            CASE WHEN measure = 'word_length' THEN greatest(q25 - reach, q1 - greatest(q1 // 4, margin)) END AS low FROM widths
     ), outside AS (
         SELECT DISTINCT m.doc_id FROM long m JOIN fences f USING (lang, source, measure)
-        WHERE NOT (m.value <= f.q3 + f.reach AND {low})
+        WHERE m.value > f.high OR m.value < f.low
     )
     SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
         NOT base_failed AND doc_id NOT IN (SELECT doc_id FROM outside) AS kept

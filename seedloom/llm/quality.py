@@ -3,8 +3,8 @@
 Each measure of a document is an integer. Counts of its rounded values are the
 quantile sketch of a group: they merge by addition, come out the same in any
 order, have at most a few hundred entries, and give a quantile within 1/32.
-Limits are fences around the middle half of a group's documents. A source with
-few documents takes the fences of its language, a small language those of all.
+Limits are fences around the bulk of a group's documents. A source with few
+documents takes the fences of its language, a small language those of all.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from seedloom.functions.expr import let
+from seedloom.functions.expr import let, whole_div
 from seedloom.llm.common import few_rows, fresh
 from seedloom.sources.staging import stage
 
@@ -26,19 +26,23 @@ _REPEAT_WINDOW = 5
 class Rules(NamedTuple):
     """Parameters of the adaptive part.
 
-    A measure passes up to the upper quartile plus ``reach`` times the quartile
-    distance, which counts as at least the measure's ``spread``; ``least_rows``
-    is what a group needs for limits of its own.
+    A measure passes up to its group's 99th percentile plus a margin, a quarter
+    of that percentile and at least the measure's own; where more than a
+    hundredth of a group is off, so that this percentile is too, up to the
+    upper quartile plus ``reach`` times the quartile distance, which counts as
+    at least the measure's spread. Of both limits the lower counts.
+    ``least_rows`` is what a group needs for limits of its own.
     """
 
     reach: int = 3
     least_rows: int = 200
-    spread: tuple[tuple[str, int], ...] = (
-        ("symbols", 20),  # per 1,000 characters of words
-        ("capitals", 60),  # per 1,000 characters of words
-        ("dup_lines", 170),  # per 1,000 lines: one of a short text's two or three may repeat
-        ("repeats", 70),  # per 1,000 words; the base rule alone allows 200
-        ("word_length", 20),  # in tenths of a character; also bounds below
+    # Name, spread, margin.
+    measures: tuple[tuple[str, int, int], ...] = (
+        ("symbols", 20, 40),  # per 1,000 characters of words
+        ("capitals", 60, 100),  # per 1,000 characters of words
+        ("dup_lines", 170, 300),  # per 1,000 lines: one of a short text's two or three may repeat
+        ("repeats", 70, 100),  # per 1,000 words; the base rule alone allows 200
+        ("word_length", 20, 20),  # in tenths of a character; also bounds below
     )
     # Up to so many groups the limits are broadcast.
     few_groups: int = 100_000
@@ -133,34 +137,39 @@ def sketches(rows: DataFrame, name: str, rules: Rules = RULES) -> DataFrame:
     before the shuffle, so a source of any size sends a few hundred rows a task.
     """
     measure = [
-        F.struct(F.lit(m).alias("measure"), _rounded(F.col(name)[m]).alias("value")) for m, _ in rules.spread
+        F.struct(F.lit(m).alias("measure"), _rounded(F.col(name)[m]).alias("value")) for m, *_ in rules.measures
     ]
     good = rows.filter(~F.col(name)["base_failed"])
     flat = good.select(_group("lang").alias("lang"), _group("source").alias("source"), F.inline(F.array(*measure)))
     return flat.groupBy("lang", "source", "measure", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
-def _quartiles(sketch: DataFrame, *keys: str) -> DataFrame:
-    """Rows, lower and upper quartile of each group and measure."""
+# Percentiles that limits are made of.
+_PERCENTILES = (1, 25, 75, 99)
+
+
+def _quantiles(sketch: DataFrame, *keys: str) -> DataFrame:
+    """Rows and percentiles of each group and measure."""
     merged = sketch.groupBy(*keys, "measure", "value").agg(F.sum("n").alias("n"))
     # At most a few hundred values per group and measure.
     up = Window.partitionBy(*keys, "measure").orderBy("value")
     ranked = merged.withColumn("upto", F.sum("n").over(up))
     ranked = ranked.withColumn("rows", F.sum("n").over(Window.partitionBy(*keys, "measure")))
-    quarter = [
-        F.min(F.when(4 * F.col("upto") >= q * F.col("rows"), F.col("value"))).alias(f"q{q}") for q in (1, 3)
+    found = [
+        F.min(F.when(100 * F.col("upto") >= q * F.col("rows"), F.col("value"))).alias(f"p{q}") for q in _PERCENTILES
     ]
-    return ranked.groupBy(*keys, "measure").agg(F.first("rows").alias("rows"), *quarter)
+    return ranked.groupBy(*keys, "measure").agg(F.first("rows").alias("rows"), *found)
 
 
 def limits(sketch: DataFrame, rules: Rules = RULES) -> DataFrame:
-    """``lang, source`` and a struct of fences per measure."""
-    own = _quartiles(sketch, "lang", "source")
-    lang = _quartiles(sketch, "lang")
-    every = _quartiles(sketch.withColumn("all", F.lit(1)), "all").drop("all")
+    """``lang, source`` and a struct of limits per measure."""
+    own = _quantiles(sketch, "lang", "source")
+    lang = _quantiles(sketch, "lang")
+    every = _quantiles(sketch.withColumn("all", F.lit(1)), "all").drop("all")
+    values = ["rows", *[f"p{q}" for q in _PERCENTILES]]
 
     def named(df: DataFrame, tag: str) -> DataFrame:
-        return df.withColumn(tag, F.struct("rows", "q1", "q3")).drop("rows", "q1", "q3")
+        return df.withColumn(tag, F.struct(*values)).drop(*values)
 
     joined = named(own, "o").join(named(lang, "l"), ["lang", "measure"]).join(named(every, "e"), "measure")
     pick = (
@@ -168,13 +177,20 @@ def limits(sketch: DataFrame, rules: Rules = RULES) -> DataFrame:
         .when(F.col("l.rows") >= rules.least_rows, F.col("l"))
         .otherwise(F.col("e"))
     )
-    spread = F.create_map(*[F.lit(x) for pair in rules.spread for x in pair])
     joined = joined.withColumn("p", pick)
-    reach = rules.reach * F.greatest(F.col("p.q3") - F.col("p.q1"), spread[F.col("measure")].cast("long"))
-    fences = joined.select(
-        "lang", "source", "measure", F.struct((F.col("p.q1") - reach).alias("low"), (F.col("p.q3") + reach).alias("high")).alias("f")
-    )
-    columns = [F.max(F.when(F.col("measure") == m, F.col("f"))).alias(m) for m, _ in rules.spread]
+
+    def of(n: int) -> Column:
+        return F.create_map(*[F.lit(x) for m in rules.measures for x in (m[0], m[n])])[F.col("measure")].cast("long")
+
+    reach = rules.reach * F.greatest(F.col("p.p75") - F.col("p.p25"), of(1))
+
+    def margin(q: str) -> Column:
+        return F.greatest(whole_div(F.col(q), 4), of(2))
+
+    high = F.least(F.col("p.p75") + reach, F.col("p.p99") + margin("p.p99"))
+    low = F.greatest(F.col("p.p25") - reach, F.col("p.p1") - margin("p.p1"))
+    fences = joined.select("lang", "source", "measure", F.struct(low.alias("low"), high.alias("high")).alias("f"))
+    columns = [F.max(F.when(F.col("measure") == m, F.col("f"))).alias(m) for m, *_ in rules.measures]
     return fences.groupBy("lang", "source").agg(*columns)
 
 
@@ -188,14 +204,14 @@ def judged(documents: DataFrame, carry: list[str], rules: Rules = RULES) -> tupl
     rows = stage(measured(documents, name).select(*carry, name), "quality")
     fences = limits(sketches(rows, name, rules), rules)
     g, f = fresh(documents, "__g"), fresh(documents, "__f")
-    fences = fences.select(F.struct("lang", "source").alias(g), F.struct(*[m for m, _ in rules.spread]).alias(f))
+    fences = fences.select(F.struct("lang", "source").alias(g), F.struct(*[m for m, *_ in rules.measures]).alias(f))
     fences = stage(fences, "fences")
     if few_rows(fences, rules.few_groups):
         fences = F.broadcast(fences)
     group = F.struct(_group("lang").alias("lang"), _group("source").alias("source"))
     joined = rows.alias("d").join(fences, group == F.col(g), "left")
     inside = F.lit(True)
-    for m, _ in rules.spread:
+    for m, *_ in rules.measures:
         value, fence = F.col(f"d.{name}")[m], F.col(f)[m]
         inside = inside & (value <= fence["high"])
         if m == "word_length":

@@ -123,7 +123,6 @@ def _rounded(v: int) -> int:
 
 def quality_kept(rows: list[tuple], rules) -> list[bool]:
     """Verdicts for ``(text, lang, source)`` rows by sorting all values of each group."""
-    spread = dict(rules.spread)
 
     def measures(text: str | None) -> dict:
         words, chars, symbols, dup, covered, _ = quality_counts(text)
@@ -149,10 +148,11 @@ def quality_kept(rows: list[tuple], rules) -> list[bool]:
             continue
         key = next((k for k in keys[:2] if len(groups[k]) >= rules.least_rows), keys[2])
         ok = True
-        for name in spread:
+        for name, spread, margin in rules.measures:
             values = sorted(_rounded(g[name]) for g in groups[key])
-            quarter = lambda q: values[-(-q * len(values) // 4) - 1]  # noqa: E731, B023
-            reach = rules.reach * max(quarter(3) - quarter(1), spread[name])
-            ok &= m[name] <= quarter(3) + reach and (name != "word_length" or m[name] >= quarter(1) - reach)
+            at = lambda q: values[-(-q * len(values) // 100) - 1]  # noqa: E731, B023
+            reach = rules.reach * max(at(75) - at(25), spread)
+            ok &= m[name] <= min(at(75) + reach, at(99) + max(at(99) // 4, margin))
+            ok &= name != "word_length" or m[name] >= max(at(25) - reach, at(1) - max(at(1) // 4, margin))
         verdicts.append(ok)
     return verdicts

@@ -283,3 +283,23 @@ def test_pipeline_against_plain_python(spark, tmp_path):
             text = f"{text[:a]}[{kind.upper()}]{text[b:]}"
         assert texts[i] == text
     assert len({(r.slot, r.place) for r in got}) == len(got)
+
+
+def test_each_measure_rejects_an_outlier_that_the_base_rule_lets_pass(spark):
+    from seedloom.llm import quality
+
+    texts = [fixtures.prose(900 + n, 60 + n % 50) for n in range(400)]
+    words = fixtures.prose(5000, 300).split()
+    planted = {
+        "symbols": " ".join(w + "###" for w in words[:60]),
+        "capitals": " ".join(words[:60]).upper(),
+        "dup_lines": "\n".join(x for n in range(30) for x in (" ".join(words[4 * n : 4 * n + 4]), "same line")),
+        "repeats": " ".join([*words[:100], *words[:8]]),
+        "long words": " ".join("".join(words[3 * n : 3 * n + 3]) for n in range(60)),
+        "short words": " ".join(w[:1] + w[-1:] for w in words[:80]),
+    }
+    rows = [(n, t, "en", "a", 1) for n, t in enumerate([*texts, *planted.values()])]
+    got = {r.doc_id: r for r in quality.quality_report(spark.createDataFrame(rows, fixtures.DOCUMENTS)).collect()}
+    assert not any(r.base_failed for r in got.values())
+    assert [k for n, k in enumerate(planted) if got[400 + n].kept] == []
+    assert sum(not got[n].kept for n in range(400)) <= 4
