@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seedloom.llm.common import few_rows
+from seedloom.sources.staging import stage
 
 # Up to so many intervals (about 60 bytes each) are broadcast.
 FEW_INTERVALS = 200_000
@@ -55,19 +56,24 @@ def _candidates(url: Column, deepest: int) -> Column:
     return F.array_distinct(F.concat(hosts, paths))
 
 
+_ADDED = ("host", "n_active", "entry", "since", "blocked")
+
+
 def filter_captures(captures: DataFrame, events: DataFrame) -> DataFrame:
     """Captures with ``host``, the entry in force and whether they are blocked.
 
     ``captures`` has ``url`` and ``fetched`` (a date) beside other columns.
     Adds ``n_active`` (entries in force that match), ``entry`` and ``since`` of
     the most specific, and ``blocked``: longer paths go before longer hosts. A
-    null url or fetch date matches nothing.
+    null url or fetch date matches nothing. Columns of captures with the name of
+    an added one are replaced by it; all others stay as they are. An empty list
+    blocks nothing, and repeated rows get the same result each.
 
     Equal captures are looked up once. The list is broadcast while it is small;
     beyond that it is joined by pattern, and a pattern that many captures share
     is split by the join.
     """
-    held = intervals(events)
+    held = stage(intervals(events), "intervals")
     depth = F.max(F.size(F.split("pattern", "/")) - 1)
     deepest = held.agg(depth).first()[0] or 0
     if few_rows(held, FEW_INTERVALS):
@@ -81,15 +87,19 @@ def filter_captures(captures: DataFrame, events: DataFrame) -> DataFrame:
         F.size(F.split("pattern", "/")).alias("path"), F.size(F.split("pattern", r"\.")).alias("labels"), "pattern", "blocks", "since"
     )
     decided = found.groupBy("url", "fetched").agg(F.count(F.lit(1)).alias("n_active"), F.max(specific).alias("top"))
-    joined = captures.join(decided, ["url", "fetched"], "left")
-    kept = [c for c in captures.columns]
+    # The capture travels as one struct, so that none of its names can clash.
+    carried = captures.select(F.col("url").alias("u"), F.col("fetched").alias("f"), F.struct(*[f"`{c}`" for c in captures.columns]).alias("capture"))
+    decided = decided.select(F.col("url").alias("u"), F.col("fetched").alias("f"), F.struct("n_active", "top").alias("decided"))
+    joined = carried.join(decided, ["u", "f"], "left")
+    kept = [F.col(f"capture.`{c}`").alias(c) for c in captures.columns if c.lower() not in _ADDED]
+    top = F.col("decided.top")
     return joined.select(
         *kept,
-        F.coalesce(host_of(F.col("url")), F.lit("")).alias("host"),
-        F.coalesce("n_active", F.lit(0)).cast("long").alias("n_active"),
-        F.col("top.pattern").alias("entry"),
-        F.col("top.since").alias("since"),
-        F.coalesce(F.col("top.blocks"), F.lit(False)).alias("blocked"),
+        F.coalesce(host_of(F.col("u")), F.lit("")).alias("host"),
+        F.coalesce("decided.n_active", F.lit(0)).cast("long").alias("n_active"),
+        top["pattern"].alias("entry"),
+        top["since"].alias("since"),
+        F.coalesce(top["blocks"], F.lit(False)).alias("blocked"),
     )
 
 

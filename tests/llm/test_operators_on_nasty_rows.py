@@ -197,6 +197,13 @@ def test_urls(spark):
     want = [(1, "a.b.com/x", False, 2)] * 2 + [(2, "b.com", True, 1)] + [(n, None, False, 0) for n in (3, 4, 5)]
     assert got == sort(want)
     assert urls.filter_captures(pages, events.limit(0)).filter("blocked").count() == 0
+    clashing = pages.selectExpr("*", *[f"'old' as {c}" for c in ("host", "n_active", "Entry", "since", "blocked", "top", "u", "f", "capture", "decided", "pattern", "until")])
+    again = urls.filter_captures(clashing, events)
+    assert again.columns == ["page_id", "url", "fetched", "entry_note", "top", "u", "f", "capture", "decided", "pattern", "until", *urls._ADDED]
+    assert sort((r.page_id, r.entry, r.blocked, r.n_active) for r in again.collect()) == sort(want) and again.first().top == "old"
+    assert urls.filter_captures(clashing.limit(0), events).count() == 0
+    long = pages.limit(1).selectExpr("page_id", "concat('http://b.com/', repeat('x/', 100000), repeat('y', 100000)) as url", "fetched")
+    assert [(r.entry, r.blocked) for r in urls.filter_captures(long, events).collect()] == [("b.com", True)]
 
 
 def test_chat_rows(spark):
