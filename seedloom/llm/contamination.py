@@ -19,7 +19,7 @@ from seedloom.sources.staging import stage
 WINDOW = 13
 # Up to so many different windows their bare hashes (16 MB) are broadcast.
 FEW_WINDOWS = 1_000_000
-# Up to so many contaminated documents their keys (24 MB) are broadcast.
+# Up to so many documents with a hit, or contaminated ones, their keys (24 MB) are broadcast.
 FEW_CONTAMINATED = 1_000_000
 
 # Letters, digits and everything beyond ASCII; capitals too, lowered afterwards.
@@ -78,7 +78,7 @@ def hits(documents: DataFrame, keys: list[str], benchmark: DataFrame, window: in
 
     The scan joins nothing but hashes: to a broadcast set of those of the
     benchmark, or, if they are more than ``few``, by hash, in rows of a key, a
-    place and a number. Only documents with a hit are read again, and their
+    place and a number. Only documents with a hit are looked at again, and their
     hits count if the words are equal. ``keys`` may not be null.
     """
     grams = stage(benchmark_windows(benchmark, window), "windows")
@@ -93,10 +93,14 @@ def hits(documents: DataFrame, keys: list[str], benchmark: DataFrame, window: in
     words = _words(ascii_lower(F.col("text")))
     at = documents.select(*keys, F.inline(_windows(words, lengths)))
     found = at.join(wanted, ["n", "hash"]).groupBy(*keys).agg(F.collect_set(F.struct("n", "i", "hash")).alias("__found"))
-    # A document's hits are no more than its windows. Spark broadcasts few of them by itself.
+    # A document's hits are no more than its windows.
     found = stage(found, "window-hits")
+    hit = found.select(*keys)
+    # While they are few, only the texts of documents with a hit are shuffled.
+    if few_rows(hit, FEW_CONTAMINATED):
+        hit = F.broadcast(hit)
     # Rows that agree in their keys agree in text.
-    again = documents.join(found, keys).dropDuplicates(keys).select(*keys, words.alias("__w"), "__found")
+    again = documents.join(hit, keys, "left_semi").dropDuplicates(keys).join(found, keys).select(*keys, words.alias("__w"), "__found")
 
     def told(x: Column) -> Column:
         gram = F.concat_ws(" ", F.slice("__w", x["i"] + 1, x["n"]))
