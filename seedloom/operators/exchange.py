@@ -170,13 +170,24 @@ def data_point_requests(
 # --- responses -------------------------------------------------------------
 
 
+def _best(content: Column) -> Column:
+    """Of several contents the largest good one, else the largest error."""
+    return F.max(F.struct((~failed(content)).alias("good"), content.alias("content")))["content"]
+
+
 def best_responses(responses: DataFrame) -> DataFrame:
     """One response per request id: a good one before an error."""
-    content = F.col("content")
-    ranked = responses.groupBy("request_id").agg(
-        F.max(F.struct((~failed(content)).alias("good"), content)).alias("__r")
-    )
-    return ranked.select("request_id", F.col("__r.content").alias("content"))
+    return responses.groupBy("request_id").agg(_best(F.col("content")).alias("content"))
+
+
+def _names_sample() -> Column:
+    """Whether a request id has the form that requests give it."""
+    return F.coalesce(F.col("request_id").rlike(_KEY_OF_ID), F.lit(False))
+
+
+def foreign_responses(responses: DataFrame) -> DataFrame:
+    """Responses whose id is null or names no sample, as they came; no join uses them."""
+    return responses.filter(~_names_sample())
 
 
 def response_status(content: Column) -> Column:
@@ -211,10 +222,11 @@ def judge_responses(
     ``error`` or ``empty`` and the response as it came; ``changed`` tells per
     dynamic column whether the cell differs from the one it was asked for.
 
-    Responses are grouped by the sample their id names and joined once with
-    the samples, which compute the ids they expect: two shuffles, and neither
-    samples nor cells are taken apart. Outdated and repeated responses of a
-    sample are weighed in its row, so they have to fit into one.
+    Of repeated responses the best is kept before anything is grouped, and
+    those whose id names no sample are left to ``foreign_responses``. The others
+    are grouped by the sample their id names and joined once with the samples,
+    which compute the ids they expect; neither samples nor cells are taken
+    apart. A row holds one answer per cell and version of its prompts.
     """
     prompts, generated = prompts or PromptSet(), generated or {}
     cells = _cells(samples, roles, prompts, kind, generated)
@@ -227,10 +239,11 @@ def judge_responses(
     if copies is not None:
         asked = amplify(asked, copies)
     asked = asked.withColumn("__key", _sample_key())
-    content = F.col("content")
-    answer = F.struct("request_id", (~failed(content)).alias("good"), content.alias("content"))
-    key = F.regexp_extract("request_id", _KEY_OF_ID, 1).alias("__key")
-    answers = responses.groupBy(key).agg(F.collect_list(answer).alias("__answers"))
+    key = F.regexp_extract("request_id", _KEY_OF_ID, 1)
+    # Dealt out by sample, both aggregates need no further shuffle.
+    dealt = responses.filter(_names_sample()).select(key.alias("__key"), "request_id", "content").repartition("__key")
+    best = dealt.groupBy("__key", "request_id").agg(_best(F.col("content")).alias("content"))
+    answers = best.groupBy("__key").agg(F.collect_list(F.struct("request_id", "content")).alias("__answers"))
     joined = asked.join(answers, "__key", "left")
 
     def judged(n: int, column: str) -> Column:
@@ -239,8 +252,7 @@ def judge_responses(
         question = F.coalesce(cell["question"], F.lit(False))
 
         def mine(request_id: Column) -> Column:
-            own = F.filter("__answers", lambda a: a["request_id"] == request_id)
-            best = F.array_max(F.transform(own, lambda a: F.struct(a["good"], a["content"])))["content"]
+            best = F.get(F.filter("__answers", lambda a: a["request_id"] == request_id), F.lit(0))["content"]
 
             def judge(content: Column) -> Column:
                 def state(done: Column) -> Column:

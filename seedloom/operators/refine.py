@@ -35,13 +35,8 @@ def exact_dedup(df: DataFrame, columns: Sequence[str], *, row_id: str = "row_id"
     return df.join(first.select(row_id), row_id, "left_semi")
 
 
-def refine(df: DataFrame, columns: Sequence[str], *, row_id: str = "row_id") -> Exchange:
-    """Rows fit for training, and the others with a reason.
-
-    Reasons, the first that holds: ``empty`` cell, unfilled ``placeholder``,
-    stray cell ``mark``, ``duplicate`` of a row with a smaller id that has none
-    of the former.
-    """
+def row_fault(columns: Sequence[str]) -> Column:
+    """What one row alone shows: ``empty`` cell, unfilled ``placeholder``, stray cell ``mark``, or null."""
 
     def some(test: Callable[[Column], Column]) -> Column:
         found = F.lit(False)
@@ -54,8 +49,16 @@ def refine(df: DataFrame, columns: Sequence[str], *, row_id: str = "row_id") ->
         empty = empty | (F.coalesce(py_strip(F.col(c).cast("string")), F.lit("")) == "")
     leftover = some(lambda v: v.contains(PLACEHOLDERS[0]) | v.contains(PLACEHOLDERS[1]))
     marked = some(lambda v: v.contains(CELL_MARKS[0]) | v.contains(CELL_MARKS[1]))
-    fault = F.when(empty, "empty").when(leftover, "placeholder").when(marked, "mark")
-    judged = df.select(row_id, fault.alias("reason"), _print(columns).alias("__print"))
+    return F.when(empty, "empty").when(leftover, "placeholder").when(marked, "mark")
+
+
+def refine(df: DataFrame, columns: Sequence[str], *, row_id: str = "row_id") -> Exchange:
+    """Rows fit for training, and the others with a reason.
+
+    Reasons, the first that holds: those of ``row_fault``, or ``duplicate`` of
+    a row with a smaller id that has none of them.
+    """
+    judged = df.select(row_id, row_fault(columns).alias("reason"), _print(columns).alias("__print"))
     good = judged.filter("reason IS NULL")
     first = good.groupBy("__print").agg(F.min(row_id).alias("__first"))
     again = good.join(first, "__print").filter(F.col(row_id) > F.col("__first"))

@@ -104,7 +104,20 @@ def split_records(
     """
     columns = [f for f in df.schema.fields if f.name not in split]
     record = json_record({f.name: F.col(f.name) for f in columns}, T.StructType(columns))
-    return df.select(F.concat_ws("_", *split).alias(name), *keep, record.alias("record"))
+    return df.select(split_name(split).alias(name), *keep, record.alias("record"))
+
+
+def split_name(split: Sequence[str]) -> Column:
+    """Parts joined by ``_``, different for different parts.
+
+    A ``%`` becomes ``%25``, a ``_`` before the last part ``%5F``, and a null ``%00``.
+    """
+    parts = []
+    for n, c in enumerate(split, 1):
+        shown = F.replace(F.col(c).cast("string"), F.lit("%"), F.lit("%25"))
+        shown = shown if n == len(split) else F.replace(shown, F.lit("_"), F.lit("%5F"))
+        parts.append(F.coalesce(shown, F.lit("%00")))
+    return F.concat_ws("_", *parts)
 
 
 def write_splits(

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 _chosen: list[str] = []
 
@@ -41,3 +41,12 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     path = new_staging_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def stage_counted(df: DataFrame, label: str, **counts: Column) -> tuple[DataFrame, dict[str, int]]:
+    """``stage``, with aggregates that the write itself collects: no further scan.
+
+    """
+    seen = Observation(label)
+    kept = stage(df.observe(seen, *[c.alias(n) for n, c in counts.items()]), label)
+    return kept, {n: seen.get[n] or 0 for n in counts}

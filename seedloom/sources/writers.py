@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from seedloom.functions.text import marked_cell
+from seedloom.operators.numbering import with_row_id
 
 EXPORT_FORMATS = ("csv", "jsonl")
 
@@ -41,6 +42,29 @@ def write_json_lines(df: DataFrame, path: str, *, mode: str = "error") -> None:
     df.write.mode(mode).json(path, ignoreNullFields=False)
 
 
+def write_json_array(df: DataFrame, path: str, *, order_by: Sequence[str], columns: Sequence[str] | None = None, mode: str = "error") -> None:
+    """One JSON array in ordered parts: joined by name, the part files are the array.
+
+    Rows are numbered in order; the first opens the array, the last closes it,
+    the others end in a comma, one record to a line. NULL cells are written
+    out. No task holds more than its own rows. An empty table is an empty array.
+    """
+    columns = columns or [c for c in df.columns if c not in order_by]
+    record = F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}).alias("record")
+    numbered = with_row_id(df.select(*order_by, record), order_by, name="__n")
+    # One number.
+    last = numbered.agg((F.max("__n")).alias("__last"))
+    framed = numbered.crossJoin(F.broadcast(last)).select(
+        "__n",
+        F.concat(
+            F.when(F.col("__n") == 0, "[").otherwise(""), "record", F.when(F.col("__n") == F.col("__last"), "]").otherwise(",")
+        ).alias("value"),
+    )
+    nothing = last.filter("__last is null").select(F.lit(0).cast("long").alias("__n"), F.lit("[]").alias("value"))
+    ranged = framed.unionByName(nothing).repartitionByRange("__n").sortWithinPartitions("__n")
+    ranged.select("value").write.mode(mode).text(path)
+
+
 def export(
     df: DataFrame, stem: str, formats: Sequence[str] = EXPORT_FORMATS, *, mode: str = "error"
 ) -> list[str]:

@@ -237,3 +237,33 @@ def test_no_expanded_request_is_shuffled(spark, seeds):
     before = exchange.generate(exchange.build_requests(samples, ROLES))._jdf.queryExecution().executedPlan().toString()
     plan = done._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") - before.count("Exchange") <= 2
+
+
+def test_foreign_and_repeated_responses_stay_out_of_rows(spark, seeds):
+    """Ids of other jobs, broken and null ids never meet in one row."""
+    asked = exchange.build_requests(seeds, ROLES, copies=2)
+    good = exchange.generate(asked)
+    many = spark.range(20_000)
+    foreign = many.selectExpr("concat('job-b-', id) as request_id", "repeat('x', 100) as content")
+    foreign = foreign.union(many.selectExpr("cast(null as string)", "'y'")).union(many.selectExpr("''", "'z'"))
+    again = good.select("request_id", F.lit("Error: late").alias("content"))
+    repeated = good
+    for _ in range(5):
+        repeated = repeated.union(again)
+    judged = exchange.judge_responses(seeds, repeated.union(foreign), ROLES, copies=2)
+    done = exchange.split_samples(judged)
+    assert done.rows.count() == 10 and done.rejects.isEmpty()
+    assert exchange.foreign_responses(repeated.union(foreign)).count() == 60_000
+
+
+def test_counts_come_with_the_write(spark, seeds):
+    settings = generation.Generation(variants=3, roles=ROLES)
+    requests = generation.make_requests(seeds, settings)
+    answers = exchange.generate(requests).withColumn(
+        "content", F.when(F.col("request_id").startswith("0:"), "Error: none").otherwise(F.col("content"))
+    )
+    done = generation.finish(seeds, answers, settings)
+    assert done.counts["rows"] == done.rows.count() == 12
+    failed = {r["column"]: r["count"] for r in done.rejects.groupBy("column").count().collect()}
+    assert {c: done.counts[f"{c} failed"] for c in ("input", "output")} == failed
+    assert done.counts["input changed"] == 12 and done.unchanged == []

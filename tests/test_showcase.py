@@ -8,6 +8,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
+import seedloom.showcase_sets  # noqa: F401
 from seedloom.showcase import ORACLES, QUERIES
 
 FOLDER = os.environ.get("SHOWCASE_SF_DIR", "/root/testdata/sf0.001")
