@@ -35,17 +35,22 @@ _BASE = {
 }
 # What a text must contain for a pattern to be worth running.
 _HINT = {"email": "@", "phone": "+"}
+_OCTET = r"(?:25[0-5]|2[0-4][0-9]|[01]?[0-9]{1,2})"
 _LOOSE = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+ ?(?:\[at\]|\(at\)|@) ?[A-Za-z0-9-]{1,63}"
     r"(?: ?(?:\[dot\]|\(dot\)|\.) ?[A-Za-z0-9-]{2,63}){1,4}",
+    # Four numbers that may be an address, entered anywhere, with plain or bracketed dots; or eight groups of hex digits.
+    "ip": rf"(?<![0-9])(?:{_OCTET}(?:(?:\.|\[\.\]|\(\.\)){_OCTET}){{3}}(?![0-9])|(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{{1,4}}:){{7}}[0-9A-Fa-f]{{1,4}}(?![0-9A-Fa-f:]))",
     "card": r"(?<![0-9])(?:[0-9]{13,19}|[0-9]{4}(?:[ .-][0-9]{4}){3})(?![0-9])",
     "phone": r"(?<![0-9.+-])(?:\([0-9]{2,4}\)|[0-9]{2,4})(?:[ .-]{0,2}\(?[0-9]{2,4}\)?){2,4}(?![0-9])",
 }
 _CONTEXT = (
-    r"(?i)tel|phone|call|fax|mobil",
-    r"(?i)card|visa|pay|iban|konto",
-    r"(?i)mail|contact|write",
-    r"(?i)token|key|hash|sha|=|id",
+    r"(?i)\b(?:tel|phone|call|fax|mobil)",
+    r"(?i)\b(?:card|visa|pay|iban|konto)",
+    r"(?i)\b(?:e?-?mail|contact|write)",
+    r"(?i)\b(?:token|key|hash|sha[0-9]*|id)\b|=",
+    r"(?i)\b(?:ip|host|server|addr|address|login|from)\b",
+    r"(?i)\b(?:version|release|section|chapter|v)\b",
 )
 _CHUNK = 256
 
