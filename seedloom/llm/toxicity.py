@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seedloom.llm import boosting
-from seedloom.llm.common import ascii_lower
+from seedloom.llm.common import ascii_lower, few_rows
 from seedloom.sources.staging import stage
 
 # Words known beforehand, for tables with few labels.
@@ -35,11 +35,13 @@ _LEET = str.maketrans("013457@$!|", "oieastasil", "._-~'")
 _TOKEN = re.compile(r"[^\W_]+")
 _DISGUISED = re.compile(r"(?<!\S)\S{0,20}[A-Za-z][0-9@$!|*._~-]{1,3}[A-Za-z]\S{0,20}")
 _NEAR = 5
+# Up to so many labelled texts their keys (24 MB) are broadcast.
+FEW_LABELS = 1_000_000
 N_FEATURES = 12
 
 
 class Settings(NamedTuple):
-    """``sample`` bounds the labelled rows that lexicon, trees and calibration are fitted on.
+    """``sample`` bounds the labelled rows that the trees are fitted on, ``words`` the lexicon they look words up in.
 
     A word is learned if twice the log likelihood ratio of its toxic documents
     is at least ``least_evidence``; chance gives no word that much among some
@@ -47,6 +49,7 @@ class Settings(NamedTuple):
     """
 
     sample: int = 20_000
+    words: int = 20_000
     least_documents: int = 3
     least_log_odds: float = 1.5
     least_evidence: float = 20.0
@@ -124,31 +127,33 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(text.cast("binary")) % 5 == 0
 
 
-def training_rows(documents: DataFrame, labels: DataFrame, settings: Settings = SETTINGS) -> DataFrame:
-    """At most ``settings.sample`` labelled texts that are not held out.
+def training_rows(documents: DataFrame, labels: DataFrame) -> DataFrame:
+    """``doc_id, h, label``: one row for each different labelled text that is not held out.
 
-    Of several labels of a document the highest counts; rows with a null id or
-    label are passed over.
+    Of several labels of a document, or of copies, the highest counts; rows with
+    a null id or label are passed over. ``h`` tells texts of one id apart.
     """
     usable = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col("doc_id")))
     one = usable.groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("label"))
-    chosen = boosting.bounded_sample(one, F.col("doc_id"), settings.sample)
-    # At most ``settings.sample`` rows of two numbers.
-    rows = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-    # Copies count once; of those with different labels the toxic one stays.
-    one = rows.groupBy("text").agg(F.min("doc_id").alias("doc_id"), F.max("label").alias("label"))
-    return one.select("doc_id", "text", "label")
-
-
-def learn_lexicon(rows: DataFrame, settings: Settings = SETTINGS) -> dict[str, float]:
-    """Words with their log odds between toxic and other documents of the sample."""
-    parts = F.split(ascii_lower(F.coalesce("text", F.lit(""))), r"[^\p{L}\p{N}]+")
-    totals = rows.groupBy("label").count().collect()
+    text = F.coalesce("text", F.lit(""))
+    prints = documents.select("doc_id", F.xxhash64(text).alias("h"), F.md5(text).alias("print"))
+    first = F.min(F.struct("doc_id", "h")).alias("k")
+    return prints.join(one, "doc_id").groupBy("print").agg(first, F.max("label").alias("label")).select("k.*", "label")
+
+
+def learn_lexicon(documents: DataFrame, known: DataFrame, settings: Settings = SETTINGS) -> dict[str, float]:
+    """Words with their log odds between toxic and other documents, counted over all labelled texts."""
+    totals = known.groupBy("label").count().collect()
     n = {r.label: r["count"] for r in totals}
     lexicon = dict.fromkeys(INSULTS, 1.0)
     if set(n) != {0, 1}:
         return lexicon
-    seen = rows.select("label", F.explode(F.array_distinct(parts)).alias("word")).filter("word <> ''")
+    if few_rows(known, FEW_LABELS):
+        known = F.broadcast(known)
+    text = F.coalesce("text", F.lit(""))
+    rows = documents.select("doc_id", F.xxhash64(text).alias("h"), text.alias("text")).join(known, ["doc_id", "h"])
+    words = F.array_distinct(F.split(ascii_lower(F.col("text")), r"[^\p{L}\p{N}]+"))
+    seen = rows.select("label", F.explode(words).alias("word")).filter("word <> ''")
     counted = seen.groupBy("word").agg(F.sum("label").alias("bad"), F.count(F.lit(1)).alias("all"))
     bad = (F.col("bad") + 0.5) / (n[1] + 1.0)
     good = (F.col("all") - F.col("bad") + 0.5) / (n[0] + 1.0)
@@ -156,38 +161,53 @@ def learn_lexicon(rows: DataFrame, settings: Settings = SETTINGS) -> dict[str, f
     telling = scored.filter((F.col("bad") >= settings.least_documents) & (F.col("odds") >= settings.least_log_odds))
     share = n[1] / (n[0] + n[1])
     evidence = 2 * F.col("bad") * F.log(F.col("bad") / (F.col("all") * share))
-    strong = telling.filter(evidence >= settings.least_evidence)
-    # Words of at most ``sample`` documents.
+    # The most telling words are the model's; their number is a parameter.
+    strong = telling.filter(evidence >= settings.least_evidence).orderBy(F.desc("odds"), "word").limit(settings.words)
     for r in strong.collect():
         lexicon[r.word] = max(lexicon.get(r.word, 0.0), float(r.odds))
     return lexicon
 
 
+_BINS = 2000
+
+
 def score(documents: DataFrame, labels: DataFrame, settings: Settings = SETTINGS) -> DataFrame:
     """One row per document: ``doc_id, held_out, score, predicted``.
 
-    The score is the calibrated probability, of which two hundredths are the
-    trees' own, so that texts on one calibration step keep their order. Where
-    labels of one kind only are known, the lexicon's density makes the score.
-    Null text counts as empty; repeated rows stay.
+    Word counts and calibration take all labelled texts that are not held out,
+    as counts in Spark; the trees alone a bounded sample. The score is the
+    calibrated probability, of which two hundredths are the trees' own, so that
+    texts on one calibration step keep their order. Where labels of one kind
+    only are known, the lexicon's density makes the score. Null text counts as
+    empty; repeated rows stay.
     """
-    train = stage(training_rows(documents, labels, settings), "labelled")
-    lexicon = learn_lexicon(train, settings)
-    dense = stage(with_features(train, lexicon).select("doc_id", "label", "features"), "dense")
+    known = stage(training_rows(documents, labels), "labelled")
+    lexicon = learn_lexicon(documents, known, settings)
+    text = F.coalesce("text", F.lit(""))
+    rows = documents.select("doc_id", "text", F.xxhash64(text).alias("h"))
+    # Features of every text once, for learning and for scores.
+    dense = stage(with_features(rows, lexicon).drop("text"), "dense")
+    # Repeated rows of one id and text are one text here.
+    learned = stage(dense.join(known, ["doc_id", "h"]).dropDuplicates(["doc_id", "h"]), "learned")
     fold = F.pmod(F.xxhash64("doc_id"), F.lit(4)) == 0
-    boosted = boosting.fit(dense.filter(~fold), rounds=settings.rounds, depth=settings.depth, step=0.2)
-    rows = with_features(documents.select("doc_id", "text"), lexicon).drop("text")
+    sample = boosting.bounded_sample(learned.filter(~fold), F.struct("doc_id", "h"), settings.sample)
+    boosted = boosting.fit(sample, rounds=settings.rounds, depth=settings.depth, step=0.2)
+    rows = dense.drop("h")
     if boosted is None:
         made = rows.withColumn("score", 1 - F.exp(-F.col("features")[0]))
     else:
         raw = boosted.score(F.col("features"))
-        known = dense.filter(fold).select(raw.alias("raw"), F.col("label").cast("double").alias("label"))
+        unseen = learned.join(sample.select("doc_id", "h"), ["doc_id", "h"], "left_anti")
+        binned = unseen.select(F.round(raw * _BINS).alias("bin"), F.col("label").cast("double").alias("label"))
+        # At most so many rows, with the share of toxic texts and their number.
+        bins = binned.groupBy("bin").agg(F.avg("label").alias("label"), F.count(F.lit(1)).cast("double").alias("n"))
+        bins = stage(bins.select((F.col("bin") / _BINS).alias("raw"), "label", "n"), "score-bins")
         made = rows.withColumn("raw", raw)
-        if known.isEmpty():
+        if bins.isEmpty():
             made = made.withColumn("score", F.col("raw"))
         else:
-            steps = IsotonicRegression(featuresCol="raw", labelCol="label", predictionCol="calibrated").fit(known)
-            made = steps.transform(made)
+            isotonic = IsotonicRegression(featuresCol="raw", labelCol="label", weightCol="n", predictionCol="calibrated")
+            made = isotonic.fit(bins).transform(made)
             made = made.withColumn("score", 0.98 * F.col("calibrated") + 0.02 * F.col("raw"))
     sure = F.least(F.greatest(F.col("score"), F.lit(0.0)), F.lit(1.0))
     made = made.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), sure.alias("score"))

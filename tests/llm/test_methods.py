@@ -303,3 +303,58 @@ def test_each_measure_rejects_an_outlier_that_the_base_rule_lets_pass(spark):
     assert not any(r.base_failed for r in got.values())
     assert [k for n, k in enumerate(planted) if got[400 + n].kept] == []
     assert sum(not got[n].kept for n in range(400)) <= 4
+
+
+def test_addresses_that_the_base_pattern_swallows(spark):
+    rng = random.Random(4)
+    part = lambda: str(rng.randint(1, 254))
+    rows = [(n, f"word {fixtures.prose(n, 6)} host {'.'.join(part() for _ in range(4))} done") for n in range(300)]
+    rows += [(1000 + n, "key " + ":".join(f"{rng.randint(0, 65535):x}" for _ in range(8))) for n in range(150)]
+    rows.append((9999, "host 256.10.20.30.40 done"))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r for r in pii.pii_report(df).collect()}
+    assert got[9999].n_ip == 0 and got[9999].spans == "ip:9:20"
+    assert all(got[1000 + n].spans == "" for n in range(150))
+
+
+def test_lexicon_and_calibration_take_all_labels(spark):
+    import math
+    import zlib
+
+    rng = random.Random(6)
+    words = [f"word{n}" for n in range(60)]
+    rows, marks = [], []
+    for n in range(900):
+        toxic = n % 6 == 0
+        text = " ".join(rng.choice(words) for _ in range(12)) + (f" Vile{n // 6 % 2} thing" if toxic else "")
+        rows.append((n, text if n % 50 else rows[-6][1] if n > 6 else text))
+        if n % 3 != 1:
+            marks.append((n, int(toxic)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame(marks, "doc_id long, toxic int")
+    small = toxicity.SETTINGS._replace(sample=40)
+    known = toxicity.training_rows(docs, labels)
+    got = toxicity.learn_lexicon(docs, known, small)
+    texts = dict(rows)
+    seen = {}
+    for i, mark in marks:
+        if zlib.crc32(str(i).encode()) % 5:
+            seen[texts[i]] = max(seen.get(texts[i], 0), mark)
+    bad, every = specs.Counter(), specs.Counter()
+    for text, mark in seen.items():
+        for w in set(text.lower().split()):
+            bad[w] += mark
+            every[w] += 1
+    n1, n0 = sum(seen.values()), len(seen) - sum(seen.values())
+    want = dict.fromkeys(toxicity.INSULTS, 1.0)
+    for w in every:
+        odds = math.log((bad[w] + 0.5) / (n1 + 1.0) / ((every[w] - bad[w] + 0.5) / (n0 + 1.0)))
+        if bad[w] >= small.least_documents and odds >= small.least_log_odds:
+            if 2 * bad[w] * math.log(bad[w] / (every[w] * n1 / (n1 + n0))) >= small.least_evidence:
+                want[w] = odds
+    assert {"vile0", "vile1"} <= set(want) and got.keys() == want.keys()
+    assert all(abs(got[w] - want[w]) < 1e-9 for w in want)
+    scored = {r.doc_id: r for r in toxicity.score(docs, labels, small).collect()}
+    held = [i for i in texts if zlib.crc32(str(i).encode()) % 5 == 0]
+    assert all(scored[i].held_out == (i in set(held)) for i in texts)
+    assert sum(scored[i].predicted == int("Vile" in texts[i]) for i in held) >= 0.98 * len(held)
