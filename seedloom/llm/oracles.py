@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from seedloom.llm.licenses import LEAST_COSINE, TEMPLATES
+from seedloom.llm.licenses import LEAST_COSINE, LEAST_LEAD, SPELLINGS, TEMPLATES, TRIGGER, VARIANT
 from seedloom.llm.quality import RULES
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -184,48 +184,59 @@ def _quality() -> str:
 
 def _licenses() -> str:
     rows = ", ".join(
-        f"('{name}', {n}, '{text}')" for name, texts in TEMPLATES.items() for n, text in enumerate(texts)
+        "('{}', {}, '{}')".format(name, n, text.replace("'", "''")) for name, texts in TEMPLATES.items() for n, text in enumerate(texts)
     )
-    token = r"[a-z0-9]+(?:\.[0-9]+)*"
-    trigger = "(?i)licen[sc]e|spdx|copyright|redistribution|permission is"
+
+    def tokens(x: str) -> str:
+        said = f"lower({x})"
+        for pattern, instead in SPELLINGS:
+            said = "regexp_replace({}, '{}', '{}', 'g')".format(said, pattern, instead.replace("$", "\\"))
+        return f"regexp_extract_all({said}, '[a-z0-9]+(?:\\.[0-9]+)*')"
+
+    def marks(x: str) -> str:
+        return f"array_to_string(list_sort(list_distinct(list_filter({x}, lambda k: regexp_matches(k, '{VARIANT}')))), ' ')"
+
     return rf"""
     WITH paths AS (
         SELECT doc_id, text, 'corpus/' || (doc_id // 100) || '/' || (doc_id // 10) || '/' ||
             CASE WHEN doc_id % 10 = 0 THEN 'LICENSE' ELSE doc_id || '.txt' END AS path,
             'corpus/' || (doc_id // 100) || '/' || (doc_id // 10) AS folder
         FROM documents
-    ), sentences AS (
-        SELECT doc_id, s, generate_subscripts(ss, 1) AS unit FROM (
-            SELECT doc_id, ss, unnest(ss) AS s, FROM (
-                SELECT doc_id, list_filter(string_split(regexp_replace(text, '([.!?])[ \t]+', '\1' || chr(10), 'g'), chr(10)),
-                    lambda s: regexp_matches(s, '{trigger}')) AS ss
-                FROM paths WHERE regexp_matches(text, '{trigger}')))
+    ), parts AS (
+        SELECT doc_id, unnest(string_split(regexp_replace(text, '([.!?])[ \t]+', '\1' || chr(10), 'g'), chr(10))
+            || string_split_regex(text, '\n[ \t]*\n') || [text]) AS s
+        FROM paths WHERE regexp_matches(text, '{TRIGGER}')
+    ), units AS (
+        SELECT doc_id, t, row_number() OVER (PARTITION BY doc_id) AS unit, {marks("t")} AS marks
+        FROM (SELECT DISTINCT doc_id, {tokens("s")} AS t FROM parts WHERE regexp_matches(s, '{TRIGGER}'))
     ), terms AS (
-        SELECT doc_id, unit, token, count(*) AS tf
-        FROM (SELECT doc_id, unit, unnest(regexp_extract_all(lower(s), '{token}')) AS token FROM sentences)
-        GROUP BY ALL
+        SELECT doc_id, unit, marks, token, count(*) AS tf FROM (SELECT doc_id, unit, marks, unnest(t) AS token FROM units) GROUP BY ALL
     ), df AS (SELECT token, count(*) AS df FROM terms GROUP BY token
     ), total AS (SELECT count(*) AS n FROM (SELECT DISTINCT doc_id, unit FROM terms)
     ), templates AS (
-        SELECT license, variant, token, count(*) AS tf FROM (
-            SELECT license, variant, unnest(regexp_extract_all(lower(text), '{token}')) AS token
-            FROM (VALUES {rows}) t(license, variant, text))
+        SELECT license, variant, marks, token, count(*) AS tf FROM (
+            SELECT license, variant, {marks("t")} AS marks, unnest(t) AS token
+            FROM (SELECT license, variant, {tokens("text")} AS t FROM (VALUES {rows}) t(license, variant, text)))
         GROUP BY ALL
     ), weights AS (
-        SELECT doc_id, unit, token, tf * (ln((1.0 + n) / (1.0 + df)) + 1.0) AS w FROM terms JOIN df USING (token), total
+        SELECT doc_id, unit, marks, token, tf * (ln((1.0 + n) / (1.0 + df)) + 1.0) AS w FROM terms JOIN df USING (token), total
     ), asked AS (
-        SELECT license, variant, token, tf * (ln((1.0 + n) / (1.0 + coalesce(df, 0))) + 1.0) AS tw
+        SELECT license, variant, marks, token, tf * (ln((1.0 + n) / (1.0 + coalesce(df, 0))) + 1.0) AS tw
         FROM templates LEFT JOIN df USING (token), total
     ), norms AS (SELECT doc_id, unit, sqrt(sum(w * w)) AS norm FROM weights GROUP BY ALL
     ), sizes AS (SELECT license, variant, sqrt(sum(tw * tw)) AS size FROM asked GROUP BY ALL
     ), scored AS (
-        SELECT doc_id, license, round(dot / (norm * size), 6) AS cosine
-        FROM (SELECT doc_id, unit, license, variant, sum(w * tw) AS dot FROM weights JOIN asked USING (token) GROUP BY ALL)
+        SELECT doc_id, unit, license, max(round(dot / (norm * size), 6)) AS cosine
+        FROM (SELECT doc_id, unit, license, variant, sum(w * tw) AS dot FROM weights JOIN asked USING (token, marks) GROUP BY ALL)
         JOIN norms USING (doc_id, unit) JOIN sizes USING (license, variant)
+        WHERE round(dot / (norm * size), 6) >= {LEAST_COSINE} GROUP BY doc_id, unit, license
     ), own AS (
         SELECT doc_id, license AS own_license, cosine AS own_score FROM (
-            SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY cosine DESC, license) AS r
-            FROM scored WHERE cosine >= {LEAST_COSINE}) WHERE r = 1
+            SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY cosine DESC, license) AS r FROM (
+                SELECT *, row_number() OVER (PARTITION BY doc_id, unit ORDER BY cosine DESC, license) AS place,
+                    lead(cosine) OVER (PARTITION BY doc_id, unit ORDER BY cosine DESC, license) AS second
+                FROM scored)
+            WHERE place = 1 AND (second IS NULL OR cosine - second >= {LEAST_LEAD})) WHERE r = 1
     ), granted AS (
         SELECT folder AS above, min(own_license) AS granted FROM paths JOIN own USING (doc_id)
         WHERE path LIKE '%/LICENSE' GROUP BY folder
