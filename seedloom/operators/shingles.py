@@ -224,9 +224,10 @@ def overlap(
     for, and those alone are joined. Neither side is broadcast by this, copies
     on either side are one text, and what is found is verified on whole sets.
     """
-    asked = stage(texts_once(rows, text, words).select(F.col("text_id").alias("q"), F.col("shingles").alias("sq")), "asked")
+    asked = texts_once(rows, text, words).select(F.col("text_id").alias("q"), F.col("shingles").alias("sq"), F.size("shingles").alias("n"))
+    asked = stage(asked, "asked")
     held = stage(texts_once(against, text, words).select(F.col("text_id").alias("t"), F.col("shingles").alias("st")), "held")
-    each = asked.select("q", F.size("sq").alias("n"), F.explode("sq").alias("h"))
+    each = asked.select("q", "n", F.explode("sq").alias("h"))
     known = held.select(F.explode("st").alias("h"), "t")
     # How many texts hold a shingle, for the shingles that are asked for.
     wanted = each.select("h").distinct()
@@ -240,7 +241,7 @@ def overlap(
     probes = rare.select("q", F.inline(prefix)).select("q", "h")
     pairs = probes.join(known, "h").select("q", "t").distinct()
     common = F.size(F.array_intersect("sq", "st"))
-    tested = pairs.join(asked, "q").join(held, "t").select("q", "t", common.alias("common"), F.size("sq").alias("n"))
+    tested = pairs.join(asked, "q").join(held, "t").select("q", "t", common.alias("common"), "n")
     found = stage(tested.filter(F.col("common") >= F.ceil(F.col("n") * F.lit(least) - 1e-9)), "overlaps")
 
     ids = [stage(with_text_id(df, text, [row_id], words), "ids") for df in (rows, against)]
@@ -248,7 +249,7 @@ def overlap(
     named = found.join(copies.select(F.col("text_id").alias("t"), "copies", "first"), "t")
     best = F.min(F.struct((-F.col("common")).alias("c"), F.col("first").alias("f")))
     per = named.groupBy("q", "n").agg(best.alias("best"), F.sum("copies").alias("matches"))
-    sizes = asked.select(F.col("q").alias("text_id"), F.size("sq").alias("n"))
+    sizes = asked.select(F.col("q").alias("text_id"), "n")
     done = sizes.join(per.select(F.col("q").alias("text_id"), "best", "matches"), "text_id", "left")
     return ids[0].join(done, "text_id", "left").select(
         row_id,
