@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from seedloom.functions.expr import whole_div
 from seedloom.operators.numbering import number_within
 
 
@@ -54,6 +55,20 @@ def render_turns(
     return numbered.select(conversation, "turn_no", piece.alias("piece"))
 
 
+def render_parts(
+    df: DataFrame, conversation: str, turn: str, role: str, text: str, style: ChatStyle = ChatStyle(), *, per_part: int = 256
+) -> DataFrame:
+    """Training text of ``per_part`` turns at a time: (conversation, part, rendered).
+
+    Most conversations are one part. A longer one is its parts in order, so no
+    row holds more than a part of a conversation of any length.
+    """
+    pieces = render_turns(df, conversation, turn, role, text, style)
+    listed = F.sort_array(F.collect_list(F.struct("turn_no", "piece"))).alias("__p")
+    parts = pieces.groupBy(conversation, whole_div(F.col("turn_no"), per_part).alias("part")).agg(listed)
+    return parts.select(conversation, "part", F.array_join(F.col("__p.piece"), "").alias("rendered"))
+
+
 def render_array(turns: Column, style: ChatStyle = ChatStyle()) -> Column:
     """Training text of a conversation held as an array of (role, text). Narrow."""
     count = F.size(turns)

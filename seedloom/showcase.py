@@ -1168,12 +1168,11 @@ def render_chat(spark, folder):
     return rendering.render_turns(turns, "conv_id", "turn", "role", "text")
 
 
-@query(f"WITH {_SQL_CHAT_PIECES} SELECT conv_id, string_agg(piece, '' ORDER BY turn_no) AS rendered FROM pieces GROUP BY conv_id")
+@query(
+    f"WITH {_SQL_CHAT_PIECES} SELECT conv_id, turn_no // 4 AS part, string_agg(piece, '' ORDER BY turn_no) AS rendered FROM pieces GROUP BY ALL"
+)
 def render_chat_rows(spark, folder):
-    turns = table(spark, folder, "conversations")
-    listed = F.transform(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))), lambda t: F.struct(t["role"], t["text"]))
-    rows = turns.groupBy("conv_id").agg(listed.alias("turns"))
-    return rows.select("conv_id", rendering.render_array(F.col("turns")).alias("rendered"))
+    return rendering.render_parts(table(spark, folder, "conversations"), "conv_id", "turn", "role", "text", per_part=4)
 
 
 @query(

@@ -314,3 +314,20 @@ def test_templates(spark, tmp_path):
     assert TemplateRegistry.load(spark, str(tmp_path / "none.json")).names()[0] == "chat"
     assert TemplateRegistry({"x": "solo"}).fields("x") == ["solo"]
     assert again.to_df(spark).count() == 24
+
+
+def test_rendered_parts_are_bounded_and_make_the_whole(spark):
+    from seedloom.operators import rendering
+
+    turns = spark.range(1000).selectExpr("1 as c", "id as t", "if(id % 2 = 0, 'user', 'assistant') as r", "concat('text ', id) as x")
+    parts = sorted(rendering.render_parts(turns, "c", "t", "r", "x", per_part=64).collect())
+    pieces = sorted(rendering.render_turns(turns, "c", "t", "r", "x").collect())
+    assert len(parts) == 16 and "".join(p.rendered for p in parts) == "".join(p.piece for p in pieces)
+
+
+def test_split_names_do_not_collide(spark):
+    from seedloom.operators import rendering
+
+    rows = [("a_b", "c"), ("a", "b_c"), (None, "c"), ("a", None), ("", "c"), ("%5F", "c"), ("_", "c"), ("%00", "c"), ("a%5Fb", "c")]
+    names = [r[0] for r in spark.createDataFrame(rows, "x string, y string").select(rendering.split_name(["x", "y"])).collect()]
+    assert len(set(names)) == len(rows) and names[1] == "a_b_c"
