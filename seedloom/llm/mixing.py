@@ -95,40 +95,6 @@ def earliest_deadlines(blocks: Sequence[int], weights: Sequence[int]) -> Iterato
             heapq.heappush(waiting, (following, i))
 
 
-def edf_period(shares: Mapping[str, int]) -> dict[str, list[int]]:
-    """The slots that each source gets in one period of ``sum(shares)`` slots.
-
-    Among equal deadlines the source that sorts first goes first.
-    """
-    names = sorted(shares)
-    slots: dict[str, list[int]] = {s: [] for s in shares}
-    whole = [shares[s] for s in names]
-    for slot, (i, *_) in enumerate(earliest_deadlines(whole, whole)):
-        slots[names[i]].append(slot)
-    return slots
-
-
-class Stretch(NamedTuple):
-    """A source's blocks ``first`` up to ``last``, which get ``slots`` of the ``period``."""
-
-    first: int
-    last: int
-    base: int
-    share: int
-    period: int
-    slots: list[int]
-
-
-def schedule(blocks: Mapping[str, int], shares: Mapping[str, float]) -> dict[str, list[Stretch]]:
-    """The whole plan of a few sources; every source that has blocks has one stretch."""
-    names = sorted(blocks)
-    slots: dict[str, list[int]] = {s: [] for s in blocks}
-    counts = [blocks[s] for s in names]
-    for slot, (i, *_) in enumerate(earliest_deadlines(counts, whole_weights([shares[s] for s in names]))):
-        slots[names[i]].append(slot)
-    return {s: [Stretch(0, n, 0, n, sum(counts), slots[s])] if n else [] for s, n in blocks.items()}
-
-
 _PLAN = "s string, block bigint, release bigint, deadline bigint, slot bigint"
 
 

@@ -52,36 +52,47 @@ def test_chat_long_text():
 # --- mixing ------------------------------------------------------------------------
 
 
+def slots_of(blocks, weights):
+    slots = [[] for _ in blocks]
+    for slot, (i, k, release, deadline) in enumerate(mixing.earliest_deadlines(blocks, weights)):
+        assert k == len(slots[i]) and release <= slot < deadline
+        slots[i].append(slot)
+    return slots
+
+
+def plain_edf(shares):
+    """Slot by slot: of the blocks released, the one due first; of equal ones that of the first source."""
+    period, taken, order = sum(shares), [0] * len(shares), []
+    for slot in range(period):
+        due = [(-(-(k + 1) * period // w), i) for i, (k, w) in enumerate(zip(taken, shares, strict=True)) if k < w and k * period // w <= slot]
+        i = min(due)[1]
+        taken[i] += 1
+        order.append(i)
+    return order
+
+
 @settings(max_examples=60, deadline=None)
-@given(st.dictionaries(st.text("abcdef", min_size=1, max_size=3), st.integers(1, 40), min_size=1, max_size=8))
+@given(st.lists(st.integers(1, 40), min_size=1, max_size=8))
 def test_no_source_is_a_block_off(shares):
-    period = sum(shares.values())
-    slots = mixing.edf_period(shares)
-    taken = sorted(x for s in slots.values() for x in s)
-    assert taken == list(range(period))
-    for s, mine in slots.items():
-        assert len(mine) == shares[s]
+    period = sum(shares)
+    slots = slots_of(shares, shares)
+    assert sorted(x for s in slots for x in s) == list(range(period))
+    assert [i for x in range(period) for i, s in enumerate(slots) if x in s] == plain_edf(shares)
+    for share, mine in zip(shares, slots, strict=True):
+        assert len(mine) == share
         for k, slot in enumerate(mine):
-            assert k * period // shares[s] <= slot < -(-(k + 1) * period // shares[s])
+            assert k * period // share <= slot < -(-(k + 1) * period // share)
         done = np.cumsum(np.isin(np.arange(period), mine))
-        assert np.all(np.abs(done - np.arange(1, period + 1) * shares[s] / period) < 1)
+        assert np.all(np.abs(done - np.arange(1, period + 1) * share / period) < 1)
 
 
 @settings(max_examples=40, deadline=None)
-@given(st.dictionaries(st.text("abcd", min_size=1, max_size=2), st.tuples(st.integers(0, 300), st.integers(1, 9)), max_size=5))
+@given(st.lists(st.tuples(st.integers(0, 300), st.integers(1, 9)), max_size=5))
 def test_schedule_uses_every_block_once(sources):
-    blocks = {s: n for s, (n, _) in sources.items()}
-    shares = {s: w for s, (_, w) in sources.items()}
-    plan = mixing.schedule(blocks, shares)
-    slots = []
-    for s, stretches in plan.items():
-        at = 0
-        for p in stretches:
-            assert p.first == at
-            at = p.last
-            slots += [p.base + k // p.share * p.period + p.slots[k % p.share] for k in range(p.last - p.first)]
-        assert at == blocks[s]
-    assert sorted(slots) == list(range(sum(blocks.values())))
+    blocks, weights = [n for n, _ in sources], [w for _, w in sources]
+    slots = slots_of(blocks, weights)
+    assert [len(s) for s in slots] == blocks
+    assert sorted(x for s in slots for x in s) == list(range(sum(blocks)))
 
 
 def test_mix_follows_given_weights(spark):
