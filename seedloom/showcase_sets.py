@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from seedloom.operators import catalog, pages, patterns, refine, shingles
-from seedloom.showcase import query, sql_strip, table
-from seedloom.sources import json_arrays, writers
+from seedloom.operators import catalog, exchange, pages, patterns, refine, shingles
+from seedloom.prompts import PromptSet
+from seedloom.showcase import ORACLES, ROLES, query, samples_of, shown_requests, sql_strip, table
+from seedloom.sources import json_arrays, readers, writers, zones
 from seedloom.sources.staging import new_staging_path
 
 # --- near copies and overlap -------------------------------------------------
@@ -250,3 +251,48 @@ def json_array_parts(spark, folder):
     rows = table(spark, folder, "documents").select("doc_id", "text", "lang").join(labels, "doc_id", "left")
     writers.write_json_array(rows.withColumn("place", F.col("doc_id")), target, order_by=["place"])
     return json_arrays.read_json_array(spark, target, "doc_id bigint, text string, lang string, quality int", parts=True)
+
+
+# --- formats and stored settings ---------------------------------------------------
+
+
+@query(ORACLES["tab_separated"])
+def format_fallback(spark, folder):
+    """A dataset asked for as Parquet that only its text sibling holds."""
+    stem = new_staging_path(spark, "fallback")
+    flat = F.regexp_replace("text", r"[\t\r\n]", " ")
+    cells = table(spark, folder, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), "lang", F.concat(flat, F.lit("\x01end")).alias("text"))
+    cells.write.csv(f"{stem}.txt", sep="\t", header=True, quote="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    return readers.read_any(spark, f"{stem}.parquet")
+
+
+@query(ORACLES["build_requests"])
+def stored_prompts(spark, folder):
+    """Requests from a prompt set that was saved by name and read back."""
+    settings = new_staging_path(spark, "prompt-sets")
+    PromptSet().save(spark, settings, "ours")
+    PromptSet("other system", {"input": {"user": "no"}}).save(spark, settings, "theirs")
+    return shown_requests(exchange.build_requests(samples_of(spark, folder), ROLES, PromptSet.load(spark, settings, "ours")))
+
+
+@query(
+    """
+    WITH kept AS (SELECT lang, doc_id, text FROM documents UNION ALL SELECT 'all', item_id, text FROM benchmark)
+    SELECT lang || '_synthetic_7.parquet' AS dataset, count(*) AS rows FROM kept GROUP BY lang
+    """
+)
+def seed_list(spark, folder):
+    """Datasets of a zone under derived names, listed as seeds and counted."""
+    zone = new_staging_path(spark, "zone")
+    documents = table(spark, folder, "documents").select("lang", "doc_id", "text")
+    items = table(spark, folder, "benchmark").select(F.lit("all").alias("lang"), F.col("item_id").alias("doc_id"), "text")
+    kept = documents.unionByName(items)
+    # A handful of languages, each a dataset of its own.
+    for lang in sorted(r.lang for r in kept.select("lang").distinct().collect()):
+        writers.write_parquet(kept.filter(F.col("lang") == lang), f"{zone}/{zones.synthetic_name(lang, 7)}")
+    writers.write_lines(items, f"{zone}/notes.txt", "text", ["doc_id"])
+    names = readers.list_seeds(spark, zone).select("dataset")
+    found = spark.read.option("recursiveFileLookup", True).parquet(*readers.dataset_files(spark, zone, [".parquet"]))
+    source = F.regexp_extract(F.input_file_name(), r"/([^/]+\.parquet)/[^/]+$", 1)
+    counted = found.select(source.alias("dataset")).groupBy("dataset").agg(F.count(F.lit(1)).alias("rows"))
+    return names.join(counted, "dataset")
