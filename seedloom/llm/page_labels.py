@@ -13,7 +13,7 @@ from functools import cache
 from seedloom.llm.page_text import Model, train
 
 # Pages to train on; all are held at once.
-N_PAGES = 400
+N_PAGES = 600
 
 # Words of class and id by kind of region, as sites use them.
 _CLASSES = {
@@ -107,6 +107,8 @@ class _Writer:
             item, who = ("li", "div") if tag in ("ol", "ul") else (r.choice(("div", "article", "p", "blockquote")), "span")
             one = lambda: self.element(item, f"<{who} class='author'>{self.words(1, 2)}</{who}>" + f"<p>{self.prose(3, 60)}</p>" * (item != "p") + self.prose(3, 50) * (item == "p"), "comment reply response kommentar")
             inside = ("" if tag in ("ol", "ul") else f"<h3>{self.words(1, 2)}</h3>") + "".join(one() for _ in range(r.randint(1, 6)))
+            if tag not in ("ol", "ul") and r.random() < 0.35:
+                inside = r.choice(("<ol>{}</ol>", "<ul>{}</ul>", "{}")).format("".join(f"<li><p>{self.prose(3, 60)}</p></li>" for _ in range(r.randint(1, 6))))
         # A semantic element often has no class.
         plain = tag in ("nav", "header", "footer", "aside", "form") and self.rng.random() < 0.9
         return self.element(tag, inside, _CLASSES[kind], "no" if mark else "", 0.5 if plain else 0.03)
@@ -167,10 +169,22 @@ class _Writer:
         return f"<!DOCTYPE html><html><head><title>{self.words(2, 6)}</title></head><body data-content=\"no\">{body}</body></html>"
 
 
+    def plain_page(self) -> str:
+        """A bare article of a heading and paragraphs, often very short, between menu and footer; at times one region inside."""
+        r = self.rng
+        parts = [f"<p>{self.prose(*r.choice(((1, 3), (3, 30), (30, 150), (100, 400))))}</p>" for _ in range(r.choice((1, 1, 2, 3, 6)))]
+        if r.random() < 0.5:
+            parts.insert(r.randint(0, len(parts)), self.noise(r.choice(("ad", "aside", "notice", "comments", "form", "nav", "share"))))
+        article = f'<article data-content="yes"><h1>{self.words(2, 12)}</h1>{"".join(parts)}</article>'
+        around = [self.noise(k) if r.random() < 0.6 else "" for k in ("nav", "ad", "comments", "aside", "footer")]
+        body = "".join(around[:2]) + article + "".join(around[2:])
+        return f"<!DOCTYPE html><html><head><title>{self.words(2, 6)}</title></head><body data-content=\"no\">{body}</body></html>"
+
+
 def labelled_pages(count: int = N_PAGES, seed: int = 11) -> list[str]:
     """``count`` marked pages, the same for the same seed."""
     writer = _Writer(random.Random(seed))
-    return [writer.page() for _ in range(count)]
+    return [writer.plain_page() if n % 4 == 3 else writer.page() for n in range(count)]
 
 
 @cache

@@ -242,7 +242,7 @@ def _bucket(value: np.ndarray) -> np.ndarray:
 
 
 def forest(pages: Sequence[Page], vocabulary: dict[str, int]) -> Forest:
-    """Features are numbered: tags with and without class, buckets of measures, then words of class and id."""
+    """Features are numbered: tags with and without class, buckets of measures, then words of class and id, own ones and those around."""
     first = np.cumsum([0] + [len(p.tag) for p in pages])
     n = int(first[-1])
     parent, depth = np.full(n, -1), np.zeros(n, np.int64)
@@ -251,17 +251,25 @@ def forest(pages: Sequence[Page], vocabulary: dict[str, int]) -> Forest:
     own, linked, stops = np.zeros(n), np.zeros(n), np.zeros(n)
     word_owner, word = [], []
     for base, page in zip(first[:-1].tolist(), pages, strict=True):
+        # The nearest element around with class words; its words tell of what is in it, too.
+        around: list[int] = []
         for i, (up, t, words) in enumerate(zip(page.parent, page.tag, page.words, strict=True)):
             node = base + i
             if up >= 0:
                 parent[node] = base + up
                 depth[node] = depth[base + up] + 1
             tag[node], kind[node], named[node] = known.get(t, len(_TAGS)), _KINDS.get(t, 0), bool(words)
+            around.append(-1 if up < 0 else up if page.words[up] else around[up])
             for w in set(words):
                 k = vocabulary.get(w, vocabulary.get(w.rstrip("s")))
                 if k is not None:
                     word_owner.append(node)
                     word.append(k)
+            for w in set(page.words[around[-1]]) if around[-1] >= 0 else ():
+                k = vocabulary.get(w, vocabulary.get(w.rstrip("s")))
+                if k is not None:
+                    word_owner.append(node)
+                    word.append(len(vocabulary) + k)
         for node, piece, link in zip(page.owner, page.pieces, page.linked, strict=True):
             size = len(piece)
             own[base + node] += size
@@ -377,7 +385,7 @@ def train(pages: Sequence[str], *, rounds: int = 100, rate: float = 0.15, ridge:
     vocabulary = {w: i for i, w in enumerate(words)}
     trees = forest(read, vocabulary)
     label = np.concatenate([_labels(p) for p in read])
-    weights, links = np.zeros(_N_FIXED + len(words)), np.zeros((N_KINDS, 2, 2))
+    weights, links = np.zeros(_N_FIXED + 2 * len(words)), np.zeros((N_KINDS, 2, 2))
     child = np.flatnonzero(trees.parent >= 0)
     seen_links = np.zeros_like(links)
     np.add.at(seen_links, (trees.kind[child], label[trees.parent[child]], label[child]), 1.0)
