@@ -187,3 +187,18 @@ def test_arriving_responses_lose_nothing(spark, tmp_path):
         arrivals.append_to(frame, str(tmp_path / name), str(tmp_path / f"mark-{name}")).awaitTermination()
     got = {n: sorted(r.request_id for r in spark.read.parquet(str(tmp_path / n)).collect()) for n in both._fields}
     assert got == {"rows": ["b"], "rejects": ["a", "c"]}
+
+
+def test_whole_files_of_documents_stay_small(spark, tmp_path):
+    """A file is read as one row, however many documents a task writes."""
+    from pathlib import Path
+
+    from seedloom.showcase import text_documents
+
+    text = F.when(F.col("id") % 9 == 0, "").otherwise(F.concat(F.lit("a\r\nb "), F.col("id")))
+    spark.range(3000).coalesce(1).select(F.col("id").alias("doc_id"), text.alias("text")).write.parquet(f"{tmp_path}/documents.parquet")
+    before = set(Path(staging_folder(spark)).glob("documents-*"))
+    rows = {r.doc_id: r.content for r in text_documents(spark, str(tmp_path)).collect()}
+    assert rows == {i: "" if i % 9 == 0 else f"a\nb {i}" for i in range(3000)}
+    (written,) = set(Path(staging_folder(spark)).glob("documents-*")) - before
+    assert max(p.read_bytes().count(b"\x1e") for p in written.glob("part-*")) <= 250
