@@ -331,3 +331,20 @@ def test_split_names_do_not_collide(spark):
     rows = [("a_b", "c"), ("a", "b_c"), (None, "c"), ("a", None), ("", "c"), ("%5F", "c"), ("_", "c"), ("%00", "c"), ("a%5Fb", "c")]
     names = [r[0] for r in spark.createDataFrame(rows, "x string, y string").select(rendering.split_name(["x", "y"])).collect()]
     assert len(set(names)) == len(rows) and names[1] == "a_b_c"
+
+
+def test_whole_conversations_are_one_row(spark, tmp_path):
+    from seedloom.operators import rendering
+    from seedloom.showcase import render_chat_rows
+
+    turns = spark.range(1000).selectExpr(
+        "id % 2 as conv_id", "cast(id as int) as turn", "if(id % 4 < 2, 'user', 'assistant') as role", "concat('text ', id) as text"
+    )
+    turns.write.parquet(f"{tmp_path}/conversations.parquet")
+    pieces = sorted(rendering.render_turns(turns, "conv_id", "turn", "role", "text").collect())
+    whole = {c: "".join(p.piece for p in pieces if p.conv_id == c) for c in (0, 1)}
+    found = render_chat_rows(spark, str(tmp_path))
+    assert found.columns == ["conv_id", "rendered"]
+    assert sorted(found.collect()) == sorted(whole.items())
+    parted = rendering.render_conversations(turns, "conv_id", "turn", "role", "text", per_part=7)
+    assert sorted(parted.collect()) == sorted(whole.items())
