@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from seedloom.functions.expr import let
 from seedloom.sources.staging import stage
 
 _APART = r"[^\p{L}\p{N}]+"
@@ -15,23 +18,63 @@ def phrase_words(text: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), _APART), lambda w: w != "")
 
 
+def _joined(w: Column, words: int) -> Column:
+    """All runs of ``words`` words, as texts."""
+
+    def step(r: Column, n: int) -> Column:
+        left = F.greatest(F.size(w) - n, F.lit(0))
+        return F.zip_with(F.slice(r, F.lit(1), left), F.slice(w, F.lit(n + 1), left), lambda a, b: F.concat_ws(" ", a, b))
+
+    runs = w
+    for n in range(1, words):
+        runs = step(runs, n)
+    return runs
+
+
+def _run_keys(w: Column, lengths: Sequence[int]) -> Column:
+    """Distinct keys of a text's runs of 1, 2, 4 ... words, of the lengths asked for; a key is made of those of both halves."""
+    longest = max(lengths)
+
+    def from_length(length: int, keys: Column) -> Column:
+        here = [keys] if length in lengths else []
+        if length == longest:
+            return here[0]
+        left = F.greatest(F.size(keys) - length, F.lit(0))
+        pairs = F.zip_with(F.slice(keys, F.lit(1), left), F.slice(keys, F.lit(length + 1), left), lambda a, b: F.xxhash64(a, b))
+        longer = let(pairs, lambda k: from_length(2 * length, k))
+        return F.concat(*here, longer) if here else longer
+
+    return let(F.transform(w, lambda x: F.xxhash64(x)), lambda k: F.array_distinct(from_length(1, k)))
+
+
 def match_phrases(df: DataFrame, text: str, phrases: DataFrame, *, row_id: str = "row_id") -> DataFrame:
     """``row_id, n_phrases, reasons`` of the rows whose words hold a phrase in a row.
 
     ``phrases`` has ``phrase`` and ``reason``, in any number; phrases without a
-    word match nothing. Each phrase is filed under its word that the fewest rows
-    have, rows are asked for those words alone, and what they find is verified
-    in the row. So neither side is broadcast by this, and a word that most rows
-    have is joined only for phrases of such words alone. ``row_id`` is unique.
+    word match nothing. A phrase is looked for by a run of its words, of the
+    largest power of two that fits into it, and of several such runs by the one
+    that the fewest rows have. Rows are asked for those runs alone, and what
+    they find is verified in the row. So neither side is broadcast by this, the
+    work per row grows with its words and not with the phrases that share a
+    word with it, and only long phrases meet rows that do not hold them.
+    ``row_id`` is unique.
     """
-    words = phrase_words(F.col("phrase"))
-    asked = phrases.select(F.array_join(words, " ").alias("phrase"), "reason").filter("phrase <> ''").distinct()
-    asked = stage(asked.withColumn("w", F.explode(F.array_distinct(F.split("phrase", " ")))), "phrases")
-    each = df.select(row_id, F.explode(F.array_distinct(phrase_words(F.col(text)))).alias("w"))
-    # Words of rows that are in a phrase.
+    asked = phrases.select(phrase_words(F.col("phrase")).alias("words"), "reason").filter(F.size("words") > 0)
+    asked = asked.select("words", F.array_join("words", " ").alias("phrase"), "reason").distinct()
+    length = F.pow(F.lit(2), F.floor(F.log2(F.size("words") + 0.5))).cast("int")
+    asked = stage(asked.withColumn("length", length), "phrases")
+    # As many as the longest phrase has doublings.
+    lengths = sorted(r.length for r in asked.select("length").distinct().collect())
+    if not lengths:
+        nothing = df.limit(0)
+        return nothing.select(row_id, F.lit(0).cast("long").alias("n_phrases"), F.array().cast("array<string>").alias("reasons"))
+    own = F.coalesce(*[F.when(F.col("length") == n, _run_keys(F.col("words"), [n])) for n in lengths])
+    asked = stage(asked.select("phrase", "reason", F.explode(own).alias("w")), "phrase-runs")
+    each = df.select(row_id, F.explode(_run_keys(phrase_words(F.col(text)), lengths)).alias("w"))
+    # Runs of rows that are in a phrase.
     known = stage(each.join(asked.select("w").distinct(), "w", "left_semi"), "phrase-words")
     counts = known.groupBy("w").agg(F.count(F.lit(1)).alias("n"))
-    # A phrase with a word that no row has is in no row.
+    # A phrase with a run that no row has is in no row.
     filed = asked.join(counts, "w", "left").groupBy("phrase", "reason").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "w")).alias("f"))
     filed = filed.filter("f.n > 0").select(F.col("f.w").alias("w"), "phrase", "reason")
     found = known.join(filed, "w").groupBy(row_id).agg(F.collect_set(F.struct("phrase", "reason")).alias("__p"))
@@ -53,10 +96,9 @@ def telling_phrases(df: DataFrame, text: str, bad: Column, *, words: int = 2, le
     """
 
     def runs(w: Column) -> Column:
-        at = F.when(F.size(w) >= words, F.sequence(F.lit(0), F.size(w) - words)).otherwise(F.array().cast("array<int>"))
-        return F.array_distinct(F.transform(at, lambda i: F.array_join(F.slice(w, i + 1, words), " ")))
+        return F.array_distinct(_joined(w, words))
 
-    judged = df.select(bad.alias("bad"), F.transform(F.array(phrase_words(F.col(text))), runs)[0].alias("r")).filter("bad is not null")
+    judged = df.select(bad.alias("bad"), let(phrase_words(F.col(text)), runs).alias("r")).filter("bad is not null")
     counted = judged.select("bad", F.explode("r").alias("phrase")).groupBy("phrase").agg(
         F.count_if(F.col("bad")).alias("n_bad"), F.count_if(~F.col("bad")).alias("n_other")
     )

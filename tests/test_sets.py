@@ -121,6 +121,22 @@ def test_phrases(spark):
     assert patterns.match_phrases(df, "text", table.limit(0)).count() == 0 and patterns.match_phrases(df.limit(0), "text", table).count() == 0
 
 
+def test_phrases_of_common_words_meet_only_their_rows(spark):
+    from pathlib import Path
+
+    from seedloom.sources.staging import staging_folder
+
+    n = 40
+    rows = [(i, " ".join([*(f"x{j} y" for j in range(n)), f"z x{i} x{i} x{i}"])) for i in range(n)]
+    phrases = [(f"x{i} x{i}", "two") for i in range(n)] + [(f"Z x{i} x{i}", "three") for i in range(n)] + [(f"y x{i} x0", "none") for i in range(n)]
+    before = set(Path(staging_folder(spark)).glob("phrase-candidates-*"))
+    df, table = spark.createDataFrame(rows, "row_id bigint, text string"), spark.createDataFrame(phrases, "phrase string, reason string")
+    got = {r.row_id: (r.n_phrases, r.reasons) for r in patterns.match_phrases(df, "text", table).collect()}
+    assert got == {i: (2, ["three", "two"]) for i in range(n)}
+    (staged,) = set(Path(staging_folder(spark)).glob("phrase-candidates-*")) - before
+    assert spark.read.parquet(str(staged)).agg(F.sum(F.size("__p"))).first()[0] <= 3 * n
+
+
 def test_telling_phrases(spark):
     rows = [("you fool you", True), ("you fool", True), ("fool you are", False), ("you fool", None), (None, True)]
     df = spark.createDataFrame(rows, "text string, bad boolean")
