@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator, Mapping, Sequence
 from typing import NamedTuple
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -338,6 +339,8 @@ def filled_rows(seeds: DataFrame, points: DataFrame, columns: Sequence[str]) ->
 # --- generating inside the job --------------------------------------------
 
 Generator = Callable[[pd.DataFrame], pd.Series]
+# Requests that a generator gets at a time.
+CALL = 256
 
 
 def restate(requests: pd.DataFrame) -> pd.Series:
@@ -353,7 +356,8 @@ def generate(
 
     ``generator`` gets a pandas batch of requests and returns their contents;
     if it fails, or returns another number of them, each request of the batch
-    gets an error as its content. Requests are spread evenly first: a call
+    gets an error as its content. A batch has ``CALL`` requests at most, so that
+    a task holds as pandas rows no more than these. Requests are spread evenly first: a call
     costs time that their bytes, which AQE goes by, do not show. Without
     ``spread`` they are taken as they lie, as after ``build_requests(tasks=...)``.
     """
@@ -367,13 +371,16 @@ def generate(
             return [f"{ERROR_PREFIX}{len(made)} contents for {len(batch)} requests"] * len(batch)
         return made
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pd.DataFrame({"request_id": batch["request_id"], "content": contents(batch)})
+            for at in range(0, batch.num_rows, CALL):
+                part = batch.slice(at, CALL)
+                made = pa.array(pd.Series(contents(part.to_pandas()), dtype="object"), pa.string(), from_pandas=True)
+                yield pa.RecordBatch.from_arrays([part.column("request_id"), made], ["request_id", "content"])
 
     if spread:
         requests = requests.repartition(tasks or task_count(requests.sparkSession), "request_id")
-    return requests.mapInPandas(run, "request_id string, content string")
+    return requests.mapInArrow(run, "request_id string, content string")
 
 
 def generate_to(

@@ -226,6 +226,14 @@ def test_padded_errors_and_failing_generators(spark, seeds):
     assert all(r["content"].startswith("Error: 1 contents") for r in short.collect())
 
 
+def test_generators_get_small_batches(spark, seeds):
+    asked = exchange.build_requests(seeds, ROLES, copies=300).coalesce(1)
+    sizes = exchange.generate(asked, lambda batch: [str(len(batch))] * len(batch), tasks=1).collect()
+    assert len(sizes) == 5 * 300 * 2 and max(int(r["content"]) for r in sizes) <= exchange.CALL
+    some = exchange.generate(asked, lambda batch: batch["text"].where(batch["column"] == "input"))
+    assert {r["content"] is None for r in some.collect()} == {True, False}
+
+
 def test_no_expanded_request_is_shuffled(spark, seeds):
     many = exchange.build_requests(seeds, ROLES, copies=200, tasks=3)
     made = exchange.generate(many, spread=False)
