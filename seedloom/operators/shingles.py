@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from seedloom.functions.expr import let
 from seedloom.functions.text import py_strip
 from seedloom.sources.staging import stage
 
@@ -24,12 +25,21 @@ def shingle_hashes(text: Column, words: int = WORDS) -> Column:
     """
     split = F.filter(F.split(F.lower(F.coalesce(py_strip(text), F.lit(""))), r"\s+"), lambda w: w != "")
 
+    def keys(of_runs: Column, length: int) -> Column:
+        """A run's key is made of those of the two shorter runs that it is made of."""
+        if length == words:
+            return of_runs
+        step = min(length, words - length)
+        left = F.greatest(F.size(of_runs) - step, F.lit(0))
+        pairs = F.zip_with(F.slice(of_runs, F.lit(1), left), F.slice(of_runs, F.lit(step + 1), left), lambda a, b: F.xxhash64(a, b))
+        return let(pairs, lambda k: keys(k, length + step))
+
     def of(split: Column) -> Column:
-        last = F.greatest(F.size(split) - words, F.lit(0))
-        each = F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(F.slice(split, i + 1, words)))
-        return F.when(F.size(split) > 0, F.array_sort(F.array_distinct(each))).otherwise(F.array().cast("array<bigint>"))
+        each = let(F.transform(split, lambda w: F.xxhash64(w)), lambda k: F.sort_array(F.array_distinct(keys(k, 1))))
+        few = F.when(F.size(split) > 0, F.array(F.xxhash64(split))).otherwise(F.array().cast("array<bigint>"))
+        return F.when(F.size(split) >= words, each).otherwise(few)
 
-    return F.transform(F.array(split), of)[0]
+    return let(split, of)
 
 
 def texts_once(df: DataFrame, text: str, words: int = WORDS) -> DataFrame:
@@ -37,18 +47,22 @@ def texts_once(df: DataFrame, text: str, words: int = WORDS) -> DataFrame:
 
     Copies shrink before the shuffle. Texts without words are left out.
     """
-    found = df.select(shingle_hashes(F.col(text), words).alias("shingles")).filter(F.size("shingles") > 0)
+    # A filter on the shingles would be pushed below them and make them twice.
+    with_words = df.filter(py_strip(F.col(text)) != "")
+    found = with_words.select(shingle_hashes(F.col(text), words).alias("shingles"))
     return found.groupBy(text_id(F.col("shingles")).alias("text_id")).agg(F.any_value("shingles").alias("shingles"))
 
 
 def text_id(shingles: Column) -> Column:
-    return F.md5(F.array_join(F.transform(shingles, lambda h: F.hex(h)), ","))
+    """128 bits of the shingles."""
+    return F.concat_ws("-", F.hex(F.xxhash64(shingles)), F.hex(F.xxhash64(F.lit(1), shingles)))
 
 
 def with_text_id(df: DataFrame, text: str, keep: list[str], words: int = WORDS) -> DataFrame:
     """The columns ``keep`` with ``text_id``, null for a text without words."""
     shingles = shingle_hashes(F.col(text), words)
-    return df.select(*keep, F.when(F.size(shingles) > 0, text_id(shingles)).alias("text_id"))
+    named = let(shingles, lambda s: F.when(F.size(s) > 0, text_id(s)))
+    return df.select(*keep, named.alias("text_id"))
 
 
 # --- near copies -------------------------------------------------------------
@@ -64,6 +78,8 @@ class Bands(NamedTuple):
 
 BANDS = Bands()
 _PRIME = (1 << 61) - 1
+# Orders of texts, from which each band takes one.
+_ORDERS = 4
 
 
 def _with_bands(texts: DataFrame, shape: Bands) -> DataFrame:
@@ -101,30 +117,33 @@ def jaccard(a: Column, b: Column) -> Column:
 def near_links(texts: DataFrame, similarity: float = SIMILARITY, shape: Bands = BANDS, rounds: int = 4) -> DataFrame:
     """Verified links ``a, b`` between different texts, enough to join what is near.
 
-    In each bucket every text is compared with one of it, the smallest, and
+    In each bucket every text is compared with one of it, the first, and
     linked where their exact similarity suffices. Those that are not near that
-    one stay and are compared with the smallest of themselves, round after
-    round; the last two rounds split the bucket by one more number of the
+    one stay and are compared with the first of themselves, round after
+    round. Which is first differs between bands, so that two texts that meet in
+    some are not all the time compared with the same third one. The last two rounds split the bucket by one more number of the
     signature, so that buckets of unlike texts fall apart. A bucket of any size
     gives a row per text and round, never all its pairs.
     """
     signed = stage(_with_bands(texts, shape), "signatures")
     buckets = signed.select("text_id", F.posexplode("bands").alias("band", "key"))
     links = None
+    place = F.xxhash64("text_id", F.col("band") % _ORDERS)
     for n in range(rounds):
         keys = ["band", "key"]
-        lead = buckets.groupBy(*keys).agg(F.min("text_id").alias("a"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+        lead = buckets.groupBy(*keys).agg(F.min_by("text_id", place).alias("a"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
         asked = buckets.join(lead, keys).filter("text_id <> a").select(*keys, "a", F.col("text_id").alias("b"))
         asked = stage(asked, "asked")
         if asked.isEmpty():
             break
         # A pair that meets in many bands is compared once.
-        pairs = asked.select("a", "b").distinct()
+        pairs = asked.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         sides = [signed.select(F.col("text_id").alias(c), F.col("shingles").alias(f"s{c}")) for c in "ab"]
         near = pairs.join(sides[0], "a").join(sides[1], "b").filter(jaccard(F.col("sa"), F.col("sb")) >= similarity)
         near = stage(near.select("a", "b"), "near")
         links = near if links is None else links.unionByName(near)
-        rest = asked.join(near, ["a", "b"], "left_anti").select("b", *keys)
+        found = near.unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        rest = asked.join(found, ["a", "b"], "left_anti").select("b", *keys)
         if n + 2 >= rounds - 1:
             other = signed.select(F.col("text_id").alias("b"), F.col("bands").alias("all"))
             rest = rest.join(other, "b").withColumn("key", F.xxhash64("key", F.get("all", (F.col("band") + n + 1) % shape.bands)))
@@ -229,9 +248,10 @@ def overlap(
     held = stage(texts_once(against, text, words).select(F.col("text_id").alias("t"), F.col("shingles").alias("st")), "held")
     each = asked.select("q", "n", F.explode("sq").alias("h"))
     known = held.select(F.explode("st").alias("h"), "t")
-    # How many texts hold a shingle, for the shingles that are asked for.
+    # The shingles that are asked for, where they are held, and by how many texts.
     wanted = each.select("h").distinct()
-    counts = stage(known.join(wanted, "h", "left_semi").groupBy("h").agg(F.count(F.lit(1)).alias("c")), "counts")
+    known = stage(known.join(wanted, "h", "left_semi"), "known")
+    counts = stage(known.groupBy("h").agg(F.count(F.lit(1)).alias("c")), "counts")
     rare = each.join(counts, "h", "left").groupBy("q", "n").agg(
         # A text's shingles are no more than its words.
         F.sort_array(F.collect_list(F.struct(F.coalesce("c", F.lit(0)).alias("c"), "h"))).alias("r")

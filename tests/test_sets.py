@@ -111,6 +111,37 @@ def test_overlap_is_exact(spark, least):
         assert got[i] == (len(mine), -best[0] if reach else None, len(reach), best[1]), (i, t)
 
 
+def test_shingles_are_made_once_a_row(spark, tmp_path):
+    spark.createDataFrame(near_texts(), "row_id long, text string").write.parquet(f"{tmp_path}/t")
+    df = spark.read.parquet(f"{tmp_path}/t")
+    for made in (shingles.texts_once(df, "text"), shingles.with_text_id(df, "text", ["row_id"])):
+        plan = made._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("split(lower(") == 1
+
+
+@pytest.mark.parametrize("words", [1, 2, 3, 5, 8])
+def test_shingles_differ_where_the_words_do(spark, words):
+    rows = near_texts(seed=words)
+    df = spark.createDataFrame(rows, "row_id long, text string").select("row_id", shingles.shingle_hashes(F.col("text"), words).alias("s"))
+    hashes = {r.row_id: r.s for r in df.collect()}
+    assert {i: len(s) for i, s in hashes.items()} == {i: len(grams(t, words)) for i, t in rows}
+    assert len(set().union(*hashes.values())) == len(set().union(*(grams(t, words) for _, t in rows)))
+    assert all(s == sorted(s) for s in hashes.values())
+
+
+def test_overlap_keeps_only_shingles_asked_for(spark):
+    from pathlib import Path
+
+    from seedloom.sources.staging import staging_folder
+
+    before = set(Path(staging_folder(spark)).glob("known-*"))
+    df = spark.createDataFrame([(0, "a b c d e f g h i j")], "row_id long, text string")
+    other = spark.range(50).selectExpr("id as row_id", "if(id = 7, 'a b c d e f g h i j k', concat_ws(' ', transform(sequence(0, 30), x -> concat(id, '-', x)))) as text")
+    assert [r.match_id for r in shingles.overlap(df, other, "text").collect()] == [7]
+    (staged,) = set(Path(staging_folder(spark)).glob("known-*")) - before
+    assert spark.read.parquet(str(staged)).count() == 6
+
+
 def test_phrases(spark):
     rows = [(1, "You are a Bad, bad person."), (2, "a badly made thing"), (3, None), (4, ""), (5, "BAD person of the year"), (6, "person bad"), (7, "x " * 5000 + "so it ends")]
     phrases = [("bad person", "insult"), ("Bad  Person!", "insult"), ("person", "word"), ("so it ends", "end"), ("", "none"), (None, "none"), ("unknown bad", "none")]
