@@ -3,12 +3,13 @@
 The file is cut at its quotation marks, which Spark's text reader can do from
 any place in it. Whether a piece lies inside a string, how deep it is nested
 and which record it belongs to are running sums; each split of the file gives
-its totals, and the totals before a split are what its own sums start from.
+its totals, and the totals before a split are what its own sums start from. The
+totals are taken from an outline without text.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -16,6 +17,7 @@ from seedloom.sources.staging import stage
 
 _SPLIT = ["file", "block"]
 _TOKEN = r"[\[\]{},]|[^\[\]{},]+"
+_OTHER = r"[^\[\]{},]*[^\[\]{},\n\r\t\x{feff} ][^\[\]{},]*"
 
 
 def _from_before(rows: DataFrame, value: Column, name: str) -> DataFrame:
@@ -47,17 +49,25 @@ def _pieces(spark: SparkSession, path: str, parts: bool) -> DataFrame:
     # One row per file.
     last = found.groupBy("block.path").agg(F.max(F.struct("block.start", "seq")).alias("t"))
     last = last.select(F.col("t.seq").alias("seq"), F.lit(True).alias("last"))
-    marked = found.join(last, "seq", "left")
+    marked = found.join(F.broadcast(last), "seq", "left")
     none = F.coalesce("last", F.lit(False))
     return marked.select(
         *_SPLIT, "seq", "piece", (F.col("even") & ~none).cast("long").alias("real"), F.when(none, "").otherwise('"').alias("mark")
     )
 
 
-def _tokens(pieces: DataFrame) -> DataFrame:
-    """The pieces, those outside strings cut at brackets and commas, with the step each takes in depth."""
+def _outline(pieces: DataFrame) -> DataFrame:
+    """The pieces with an ``x`` for whatever stands between brackets and commas: as many tokens, but no text."""
+    return pieces.withColumn("piece", F.regexp_replace(F.concat("piece", "mark"), _OTHER, "x")).withColumn("mark", F.lit(""))
+
+
+def _tokens(pieces: DataFrame, marks: DataFrame) -> DataFrame:
+    """The pieces, those outside strings cut at brackets and commas, with the step each takes in depth.
+
+    ``marks`` are the marks before each split.
+    """
     sofar = Window.partitionBy(*_SPLIT).orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    quoted = pieces.join(_from_before(pieces, F.col("real"), "marks"), _SPLIT)
+    quoted = pieces.join(F.broadcast(marks), _SPLIT)
     inside = (F.col("marks") + F.coalesce(F.sum("real").over(sofar), F.lit(0))) % 2 == 1
     told = quoted.select(*_SPLIT, "seq", inside.alias("inside"), F.concat("piece", "mark").alias("piece"))
     cut = F.when(F.col("inside"), F.array("piece")).otherwise(F.regexp_extract_all("piece", F.lit(_TOKEN), F.lit(0)))
@@ -66,6 +76,18 @@ def _tokens(pieces: DataFrame) -> DataFrame:
     return tokens.withColumn("step", F.when(opens, 1).when(closes, -1).otherwise(0).cast("long"))
 
 
+def _order() -> WindowSpec:
+    return Window.partitionBy(*_SPLIT).orderBy("seq", "at")
+
+
+def _nested(tokens: DataFrame, before: DataFrame) -> DataFrame:
+    """The tokens with their depth, and 1 for a comma that ends a record; ``before`` is the depth before each split."""
+    depth = F.col("before") + F.sum("step").over(_order().rowsBetween(Window.unboundedPreceding, 0))
+    nested = tokens.join(F.broadcast(before), _SPLIT).withColumn("depth", depth).drop("before")
+    ends = ~F.col("inside") & (F.col("token") == ",") & (F.col("depth") == 1)
+    return nested.withColumn("ends", ends.cast("long"))
+
+
 def _check(pieces: DataFrame, tokens: DataFrame, path: str) -> None:
     """Whether strings and brackets end and every file starts with one; counts alone come to the driver."""
     open_strings = pieces.groupBy("file").agg((F.sum("real") % 2).alias("odd")).filter("odd = 1")
@@ -86,17 +108,16 @@ def read_json_array(spark: SparkSession, path: str, schema: T.StructType | str,
     does not fit. A string or bracket that does not end is an error. A record
     has to fit into memory, a file does not: no task holds more than its split.
     """
-    pieces = stage(_pieces(spark, path, parts), "json-marks")
-    tokens = stage(_tokens(pieces), "json-tokens")
-    _check(pieces, tokens, path)
-    order = Window.partitionBy(*_SPLIT).orderBy("seq", "at")
-    nested = tokens.join(_from_before(tokens, F.col("step"), "before"), _SPLIT)
-    depth = F.col("before") + F.sum("step").over(order.rowsBetween(Window.unboundedPreceding, 0))
-    nested = nested.withColumn("depth", depth)
-    ends = ~F.col("inside") & (F.col("token") == ",") & (F.col("depth") == 1)
-    nested = stage(nested.withColumn("ends", ends.cast("long")).drop("before"), "json-depths")
-    counted = nested.join(_from_before(nested, F.col("ends"), "earlier"), _SPLIT)
-    sofar = F.sum("ends").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    # The text is dealt out by its split once; all totals before a split come from its outline.
+    pieces = _pieces(spark, path, parts)
+    outline = stage(_outline(pieces), "json-outline")
+    marks = stage(_from_before(outline, F.col("real"), "marks"), "json-splits")
+    tokens = stage(_tokens(outline, marks), "json-tokens")
+    _check(outline, tokens, path)
+    before = stage(_from_before(tokens, F.col("step"), "before"), "json-splits")
+    earlier = stage(_from_before(_nested(tokens, before), F.col("ends"), "earlier"), "json-splits")
+    counted = _nested(_tokens(pieces, marks), before).join(F.broadcast(earlier), _SPLIT)
+    sofar = F.sum("ends").over(_order().rowsBetween(Window.unboundedPreceding, -1))
     record = F.col("earlier") + F.coalesce(sofar, F.lit(0))
     # The array's brackets, the commas between records and what is around the array are no part of one.
     opening = (F.col("step") == 1) & (F.col("depth") == 1)

@@ -73,6 +73,24 @@ def test_written_parts_are_one_array(spark, tmp_path, small_splits):
     assert json.loads("".join(p.read_text() for p in (tmp_path / "none.json").glob("part-*"))) == []
 
 
+def test_text_is_written_once(spark, tmp_path, small_splits):
+    from pathlib import Path
+
+    from seedloom.sources.staging import staging_folder
+
+    before = set(Path(staging_folder(spark)).glob("json-*"))
+    rows = [{"id": n, "text": f"marker, {n} [", "tags": []} for n in range(200)]
+    (tmp_path / "x.json").write_text(json.dumps(rows))
+    assert read_json_array(spark, str(tmp_path), SCHEMA).filter("text rlike '^marker'").count() == 200
+    holding = []
+    for path in set(Path(staging_folder(spark)).glob("json-*")) - before:
+        staged = spark.read.parquet(str(path))
+        texts = [c for c, kind in staged.dtypes if kind == "string" and c != "file"]
+        if texts and not staged.filter(F.concat_ws("", *texts).contains("marker")).isEmpty():
+            holding.append(path.name)
+    assert len(holding) == 1
+
+
 @pytest.mark.parametrize("text", ['[{"id": 1}', '[{"id": "x}]', '{"id": 1}', "", '[{"id": 1}]]', '"a"'])
 def test_broken_arrays_are_an_error(spark, tmp_path, text):
     (tmp_path / "x.json").write_text(text or " ")
