@@ -226,6 +226,26 @@ def test_padded_errors_and_failing_generators(spark, seeds):
     assert all(r["content"].startswith("Error: 1 contents") for r in short.collect())
 
 
+def test_judged_samples_are_joined_without_their_texts(spark, seeds):
+    samples = amplify(seeds, 2)
+    responses = exchange.generate_to(exchange.build_requests(samples, ROLES))
+    judged = exchange.judge_responses(samples, responses, ROLES)
+    mode = spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        lines = judged._jdf.queryExecution().explainString(mode).split("\n")
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    dealt = [lines[n + 1] for n, line in enumerate(lines) if ") Exchange" in line]
+    assert any("__cells" in x for x in dealt) and not any("input#" in x for x in dealt)
+    assert {r.changed.input for r in judged.collect()} == {True}
+    same = exchange.build_requests(samples, ROLES).select("request_id", F.when(F.col("column") == "input", F.col("text")).otherwise("x").alias("content"))
+    told = exchange.judge_responses(samples, same, ROLES, kind="similar").collect()
+    asked = {(r.row_id, r.sample_no): r.input for r in samples.collect()}
+    assert all(r.changed.input == (r.input != asked[r.row_id, r.sample_no]) for r in told)
+
+
 def test_generators_get_small_batches(spark, seeds):
     asked = exchange.build_requests(seeds, ROLES, copies=300).coalesce(1)
     sizes = exchange.generate(asked, lambda batch: [str(len(batch))] * len(batch), tasks=1).collect()
