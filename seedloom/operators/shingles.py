@@ -139,7 +139,9 @@ def near_links(texts: DataFrame, similarity: float = SIMILARITY, shape: Bands =
         # A pair that meets in many bands is compared once.
         pairs = asked.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         sides = [signed.select(F.col("text_id").alias(c), F.col("shingles").alias(f"s{c}")) for c in "ab"]
-        near = pairs.join(sides[0], "a").join(sides[1], "b").filter(jaccard(F.col("sa"), F.col("sb")) >= similarity)
+        # Staged, so that few pairs, as in later rounds, are known to be few and all the texts are not shuffled for them.
+        half = stage(stage(pairs, "pairs").join(sides[0], "a"), "half-pairs")
+        near = half.join(sides[1], "b").filter(jaccard(F.col("sa"), F.col("sb")) >= similarity)
         near = stage(near.select("a", "b"), "near")
         links = near if links is None else links.unionByName(near)
         found = near.unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b")))
