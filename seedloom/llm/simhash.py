@@ -123,6 +123,8 @@ def links(prints: DataFrame, distance: int = DISTANCE, hot_from: int = HOT) -> D
     """Pairs ``(a, b)`` of different fingerprints, column ``fp``, at most 3 bits apart.
 
     ``prints`` holds each fingerprint once, so copies never pair with each other.
+    The sides are sorted and merged: Spark takes the exploded keys, some 17 to a
+    half, for as small as the table they come from and would broadcast them.
     """
     if not 0 <= distance <= 3:
         raise ValueError("two halves and a ball of radius 1 find distances up to 3")
@@ -139,7 +141,7 @@ def links(prints: DataFrame, distance: int = DISTANCE, hot_from: int = HOT) -> D
     near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance
     # An equal half is found from both sides, a flipped bit from one.
     once = F.col("flip") | (F.col("a") < F.col("b"))
-    found = left.join(right, ["key", "sub"]).filter(near & once & (F.col("a") != F.col("b")))
+    found = left.hint("merge").join(right.hint("merge"), ["key", "sub"]).filter(near & once & (F.col("a") != F.col("b")))
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
