@@ -369,3 +369,15 @@ def test_lexicon_and_calibration_take_all_labels(spark):
     held = [i for i in texts if zlib.crc32(str(i).encode()) % 5 == 0]
     assert all(scored[i].held_out == (i in set(held)) for i in texts)
     assert sum(scored[i].predicted == int("Vile" in texts[i]) for i in held) >= 0.98 * len(held)
+
+
+def test_exploded_fingerprints_are_not_broadcast(spark, tmp_path):
+    """Spark sizes them by the file they come from, some 36 times too low, once no half is hot."""
+    # Every second fingerprint differs in one bit from the one before.
+    fp = F.xxhash64(F.col("id").bitwiseAND(-2)).bitwiseXOR(F.col("id").bitwiseAND(1))
+    spark.range(20_000).select(fp.alias("fp")).write.parquet(f"{tmp_path}/prints")
+    found = simhash.links(spark.read.parquet(f"{tmp_path}/prints"))
+    assert len(found.collect()) == 10_000
+    lines = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0].splitlines()
+    joined = [line for line in lines if "Join" in line and "bit_count" in line]
+    assert joined and all("SortMergeJoin" in line for line in joined), lines
