@@ -7,7 +7,8 @@ from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seedloom.functions.expr import let
@@ -83,7 +84,10 @@ _ORDERS = 4
 
 
 def _with_bands(texts: DataFrame, shape: Bands) -> DataFrame:
-    """Add ``bands``, one number per band, from the minima of random hash functions."""
+    """Add ``num``, and ``bands``, one number per band, from the minima of random hash functions.
+
+    ``num`` is fixed once the table is staged, not before.
+    """
     rng = np.random.default_rng(shape.seed)
     odd = rng.integers(0, 1 << 63, shape.bands * shape.rows, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
     plus = rng.integers(0, 1 << 63, shape.bands * shape.rows, dtype=np.uint64)
@@ -105,7 +109,7 @@ def _with_bands(texts: DataFrame, shape: Bands) -> DataFrame:
         for batch in batches:
             yield pd.Series([signature(s) for s in batch], dtype="object")
 
-    return texts.select("text_id", "shingles", bands("shingles").alias("bands"))
+    return texts.select(F.monotonically_increasing_id().alias("num"), "text_id", "shingles", bands("shingles").alias("bands"))
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -114,43 +118,179 @@ def jaccard(a: Column, b: Column) -> Column:
     return common / (F.size(a) + F.size(b) - common)
 
 
-def near_links(texts: DataFrame, similarity: float = SIMILARITY, shape: Bands = BANDS, rounds: int = 4) -> DataFrame:
-    """Verified links ``a, b`` between different texts, enough to join what is near.
+# Counts of shingles, by so many bins of their hash; and how many of them are a row.
+_BINS = 1 << 22
+_BIN_BLOCK = 1 << 12
+# Texts of a bucket that are compared as one block.
+_BLOCK = 512
+# Bits of the sieve, 16 MB at most.
+_MOST_BITS = 1 << 27
+
+
+def rarity(texts: DataFrame) -> np.ndarray:
+    """How often the shingles of each bin occur, 65,535 at most: a table of 8 MB, however many texts.
+
+    Shingles that share a bin count as more frequent than they are, which
+    only changes the order in which they are asked for.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(_BINS, np.int64)
+        for batch in batches:
+            hashes = batch.column(0).flatten().to_numpy(zero_copy_only=False)
+            total += np.bincount(hashes & (_BINS - 1), minlength=_BINS)
+        if total.any():
+            parts = np.minimum(total, 65_535).astype(np.uint16).reshape(-1, _BIN_BLOCK)
+            yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array([p.tobytes() for p in parts])], ["block", "counts"])
+
+    def add(block: pd.DataFrame) -> pd.DataFrame:
+        total = np.zeros(_BIN_BLOCK, np.int64)
+        for counts in block["counts"]:
+            total += np.frombuffer(counts, np.uint16)
+        return pd.DataFrame({"block": block["block"][:1], "counts": [np.minimum(total, 65_535).astype(np.uint16).tobytes()]})
+
+    parts = texts.select("shingles").mapInArrow(count, "block int, counts binary")
+    found = np.zeros((_BINS // _BIN_BLOCK, _BIN_BLOCK), np.uint16)
+    for row in parts.groupBy("block").applyInPandas(add, "block int, counts binary").collect():
+        found[row.block] = np.frombuffer(row.counts, np.uint16)
+    return found.reshape(-1)
+
+
+def rarest(texts: DataFrame, seen: np.ndarray, share: float) -> DataFrame:
+    """``h, num, n, i``: of each text's n shingles the rarest, of which one is in any ``share`` of them.
 
-    In each bucket every text is compared with one of it, the first, and
-    linked where their exact similarity suffices. Those that are not near that
-    one stay and are compared with the first of themselves, round after
-    round. Which is first differs between bands, so that two texts that meet in
-    some are not all the time compared with the same third one. The last two rounds split the bucket by one more number of the
-    signature, so that buckets of unlike texts fall apart. A bucket of any size
-    gives a row per text and round, never all its pairs.
+    ``i`` counts them from 0. All texts have one order, by ``seen`` and hash.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                lists = part.column(1)
+                flat, sizes = lists.flatten().to_numpy(zero_copy_only=False), np.diff(lists.offsets.to_numpy())
+                owner = np.repeat(np.arange(len(sizes)), sizes)
+                flat = flat[np.lexsort((flat, seen[flat & (_BINS - 1)], owner))]
+                place = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+                wanted = sizes - np.ceil(sizes * share - 1e-9).astype(np.int64) + 1
+                keep = place < wanted[owner]
+                nums = part.column(0).to_numpy(zero_copy_only=False)
+                columns = [flat[keep], nums[owner[keep]], sizes[owner[keep]].astype(np.int32), place[keep].astype(np.int32)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["h", "num", "n", "i"])
+
+    return texts.select("num", "shingles").mapInArrow(run, "h bigint, num bigint, n int, i int")
+
+
+def sieve(wanted: DataFrame) -> np.ndarray:
+    """A bitmap of the hashes of the one column of ``wanted``, of 16 MB at most; see ``in_sieve``."""
+    bits = min(_MOST_BITS, 1 << max(15, (16 * wanted.count()).bit_length()))
+    place = F.xxhash64(wanted.columns[0]).bitwiseAND(bits - 1)
+    # Bit positions count from 1.
+    at = wanted.select((place + 1).alias("place"))
+    rows = at.groupBy(F.bitmap_bucket_number("place").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("place")).alias("map"))
+    found = np.zeros((bits >> 15, 4096), np.uint8)
+    for row in rows.collect():
+        found[row.bucket - 1] = np.frombuffer(row.map, np.uint8)
+    return found.reshape(-1)
+
+
+def in_sieve(column: Column, held: np.ndarray) -> Column:
+    """True for every value that the sieve was made of, and for some others."""
+
+    @F.pandas_udf("boolean")
+    def test(hashes: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for some in hashes:
+            place = some.to_numpy(np.int64) & (len(held) * 8 - 1)
+            yield pd.Series((held[place >> 3] >> (place & 7).astype(np.uint8)) & 1 > 0)
+
+    return test(F.xxhash64(column))
+
+
+def _near(pairs: DataFrame, signed: DataFrame, similarity: float) -> DataFrame:
+    """The pairs ``a, b`` of numbers whose texts are near; only texts of a pair are shuffled."""
+    pairs = stage(pairs, "pairs")
+    held = sieve(pairs.select(F.explode(F.array("a", "b")).alias("num")).distinct())
+    some = signed.select("num", "shingles").filter(in_sieve(F.col("num"), held))
+    sides = [some.select(F.col("num").alias(c), F.col("shingles").alias(f"s{c}")) for c in "ab"]
+    # Merged: Spark takes a filtered or repeated side for as small as its file.
+    half = pairs.hint("merge").join(sides[0].hint("merge"), "a")
+    both = half.hint("merge").join(sides[1].hint("merge"), "b")
+    return stage(both.filter(jaccard(F.col("sa"), F.col("sb")) >= similarity).select("a", "b"), "near")
+
+
+def _ordered(a: str, b: str) -> list[Column]:
+    return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
+
+
+def _open_pairs(signed: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
+    """``a, b``: every pair that may be near and is of two groups as yet, by ``roots``.
+
+    Two texts of n and m shingles of which ``similarity`` are common share one
+    of the n - ceil(similarity * n) + 1 rarest of the one and of the other, so
+    all that may be near meet under such a shingle. Of these the pairs of one
+    group are left out, as a link of them joins nothing, and those whose sizes
+    or places in the order rule it out. A bucket is cut into blocks and any two
+    blocks are compared by themselves, so that no task has a large bucket.
+    """
+    here = Window.partitionBy("h")
+    met = rarest(signed, rarity(signed), similarity).withColumn("c", F.count(F.lit(1)).over(here))
+    met = stage(met.filter("c > 1").drop("c"), "met")
+    known = roots.select(F.col("text_id").alias("num"), "root")
+    rooted = met.join(known, "num", "left").withColumn("root", F.coalesce("root", "num"))
+    several = [F.min("root").over(here).alias("low"), F.max("root").over(here).alias("high"), F.count(F.lit(1)).over(here).alias("c")]
+    rooted = stage(rooted.select("*", *several).filter("low <> high").drop("low", "high"), "open")
+    blocks = F.ceil(F.col("c") / _BLOCK).cast("int")
+    placed = rooted.withColumn("g", blocks).withColumn("p", F.pmod(F.xxhash64("num"), F.col("g")).cast("int"))
+    sides = []
+    for c, first, last in (("a", F.col("p"), F.col("g") - 1), ("b", F.lit(0), F.col("p"))):
+        other = F.explode(F.sequence(first, last)).alias("other")
+        side = placed.select("h", "p", *[F.col(x).alias(f"{x}{c}") for x in ("num", "n", "i", "root")], other)
+        low, high = ("p", "other") if c == "a" else ("other", "p")
+        sides.append(side.withColumn("low", F.col(low)).withColumn("high", F.col(high)).drop("p", "other"))
+    # The texts left from this one on, in the order of all, are what two can have in common.
+    least = F.ceil((F.col("na") + F.col("nb")) * F.lit(similarity / (1 + similarity)) - 1e-9)
+    reach = F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib")) >= least
+    once = (F.col("low") < F.col("high")) | (F.col("numa") < F.col("numb"))
+    sized = F.least("na", "nb") >= F.greatest("na", "nb") * F.lit(similarity) - 1e-9
+    pairs = sides[0].hint("merge").join(sides[1].hint("merge"), ["h", "low", "high"])
+    return pairs.filter(once & (F.col("roota") != F.col("rootb")) & sized & reach).select(*_ordered("numa", "numb")).distinct()
+
+
+def near_links(texts: DataFrame, similarity: float = SIMILARITY, shape: Bands = BANDS, rounds: int = 2) -> DataFrame:
+    """Verified links ``a, b`` between different texts, that join all that is near over any chain.
+
+    First what bands of signatures show at little cost: in each bucket every
+    text is compared with one of it, the first, and those that are not near it
+    with the first of themselves, for ``rounds`` rounds. Which is first differs between bands, so
+    that two texts that meet in some are not all the time compared with the
+    same third one. A bucket of any size gives a row per text and round.
+
+    Then, exact and without a cap, all pairs that may be near and are not in
+    one group by these links (see ``_open_pairs``). So for any two near
+    texts there is a chain of links, though not always one of their own.
     """
     signed = stage(_with_bands(texts, shape), "signatures")
-    buckets = signed.select("text_id", F.posexplode("bands").alias("band", "key"))
-    links = None
-    place = F.xxhash64("text_id", F.col("band") % _ORDERS)
-    for n in range(rounds):
+    buckets = signed.select("num", F.posexplode("bands").alias("band", "key"))
+    none = signed.select(F.col("num").alias("a"), F.col("num").alias("b")).filter(F.lit(False))
+    links, tried = none, none
+    place = F.xxhash64("num", F.col("band") % _ORDERS)
+    for _ in range(rounds):
         keys = ["band", "key"]
-        lead = buckets.groupBy(*keys).agg(F.min_by("text_id", place).alias("a"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-        asked = buckets.join(lead, keys).filter("text_id <> a").select(*keys, "a", F.col("text_id").alias("b"))
-        asked = stage(asked, "asked")
+        lead = buckets.groupBy(*keys).agg(F.min_by("num", place).alias("a"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+        asked = stage(buckets.join(lead, keys).filter("num <> a").select(*keys, "a", F.col("num").alias("b")), "asked")
         if asked.isEmpty():
             break
         # A pair that meets in many bands is compared once.
-        pairs = asked.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        sides = [signed.select(F.col("text_id").alias(c), F.col("shingles").alias(f"s{c}")) for c in "ab"]
-        # Staged, so that few pairs, as in later rounds, are known to be few and all the texts are not shuffled for them.
-        half = stage(stage(pairs, "pairs").join(sides[0], "a"), "half-pairs")
-        near = half.join(sides[1], "b").filter(jaccard(F.col("sa"), F.col("sb")) >= similarity)
-        near = stage(near.select("a", "b"), "near")
-        links = near if links is None else links.unionByName(near)
-        found = near.unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        rest = asked.join(found, ["a", "b"], "left_anti").select("b", *keys)
-        if n + 2 >= rounds - 1:
-            other = signed.select(F.col("text_id").alias("b"), F.col("bands").alias("all"))
-            rest = rest.join(other, "b").withColumn("key", F.xxhash64("key", F.get("all", (F.col("band") + n + 1) % shape.bands)))
-        buckets = stage(rest.select(F.col("b").alias("text_id"), *keys), "buckets")
-    return links
+        pairs = stage(asked.select(*_ordered("a", "b")).distinct().join(tried, ["a", "b"], "left_anti"), "tried")
+        near = _near(pairs, signed, similarity)
+        links, tried = links.unionByName(near), tried.unionByName(pairs)
+        found = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        rest = asked.join(found, ["a", "b"], "left_anti").select(F.col("b").alias("num"), *keys)
+        buckets = stage(rest, "buckets")
+    rest = _open_pairs(signed, groups(links), similarity).join(tried, ["a", "b"], "left_anti")
+    links = links.unionByName(_near(rest, signed, similarity))
+    for c in "ab":
+        links = links.join(signed.select(F.col("num").alias(c), F.col("text_id").alias(f"text_{c}")), c)
+    return stage(links.select(*_ordered("text_a", "text_b")), "near-links")
 
 
 # --- groups ------------------------------------------------------------------
@@ -192,17 +332,15 @@ def near_groups(
     """``row_id, group_id``: rows whose texts are near, over any chain, share the group of the smallest row id.
 
     Near is a Jaccard similarity of word shingles of at least ``similarity``;
-    every link is verified on whole texts, and a link is missed only if the
-    signatures never meet. Rows without words are near each other and to
+    every link is verified on whole texts, and none that would join two groups
+    is missed. Rows without words are near each other and to
     nothing else. Copies are one text before anything is compared. A null row
     id makes a row, but names no group if there is another.
     """
     rows = stage(with_text_id(df, text, [row_id], words), "text-ids")
     links = near_links(texts_once(df, text, words), similarity, shape)
-    named = rows
-    if links is not None:
-        roots = groups(links)
-        named = rows.join(roots, "text_id", "left").withColumn("text_id", F.coalesce("root", "text_id")).drop("root")
+    roots = groups(links)
+    named = rows.join(roots, "text_id", "left").withColumn("text_id", F.coalesce("root", "text_id")).drop("root")
     named = named.select(row_id, F.coalesce("text_id", F.lit("")).alias("text_id"))
     first = named.groupBy("text_id").agg(F.min(row_id).alias("group_id"))
     return named.join(first, "text_id").select(row_id, "group_id")
@@ -213,7 +351,7 @@ def split_by_group(
 ) -> DataFrame:
     """``row_id`` with the name of a split, the same for all rows of a near group.
 
-    No text has a near copy, over any chain found, in another split.
+    No text has a near copy, over any chain, in another split.
     """
     from seedloom.operators.refine import split_by_seed
 

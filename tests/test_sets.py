@@ -74,6 +74,25 @@ def test_a_large_group_of_near_copies(spark):
     assert {r.group_id for r in shingles.near_groups(df, "text").collect()} == {0}
 
 
+@pytest.mark.parametrize("shape", [shingles.BANDS, shingles.Bands(bands=1, rows=64)])
+def test_near_groups_that_bands_do_not_show(spark, monkeypatch, shape):
+    """Whatever the signatures miss is found by rare shingles, also across blocks of a bucket."""
+    monkeypatch.setattr(shingles, "_BLOCK", 2)
+    rng = random.Random(5)
+    rows = []
+    for _ in range(30):
+        base = [rng.choice(VOCABULARY) for _ in range(60)]
+        for changes in (0, 2, 3, 4, 5):
+            words = list(base)
+            for at in rng.sample(range(60), changes):
+                words[at] = rng.choice(VOCABULARY)
+            rows.append((len(rows), " ".join(words)))
+    df = spark.createDataFrame(rows, "row_id bigint, text string").repartition(3)
+    want, links = plain_groups(rows, 0.5)
+    got = {r.row_id: r.group_id for r in shingles.near_groups(df, "text", similarity=0.5, shape=shape).collect()}
+    assert got == want and links
+
+
 def test_splits_keep_groups_whole(spark):
     rows = near_texts(9)
     df = spark.createDataFrame(rows, "row_id bigint, text string")
