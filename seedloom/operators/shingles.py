@@ -180,12 +180,11 @@ def rarest(texts: DataFrame, seen: np.ndarray, share: float) -> DataFrame:
     return texts.select("num", "shingles").mapInArrow(run, "h bigint, num bigint, n int, i int")
 
 
-def sieve(wanted: DataFrame) -> np.ndarray:
-    """A bitmap of the hashes of the one column of ``wanted``, of 16 MB at most; see ``in_sieve``."""
-    bits = min(_MOST_BITS, 1 << max(15, (16 * wanted.count()).bit_length()))
-    place = F.xxhash64(wanted.columns[0]).bitwiseAND(bits - 1)
+def sieve(hashes: DataFrame, about: int) -> np.ndarray:
+    """A bitmap of the one column of ``hashes``, ``about`` so many numbers, of 16 MB at most; see ``in_sieve``."""
+    bits = min(_MOST_BITS, 1 << max(15, (16 * about).bit_length()))
     # Bit positions count from 1.
-    at = wanted.select((place + 1).alias("place"))
+    at = hashes.select((F.col(hashes.columns[0]).bitwiseAND(bits - 1) + 1).alias("place"))
     rows = at.groupBy(F.bitmap_bucket_number("place").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("place")).alias("map"))
     found = np.zeros((bits >> 15, 4096), np.uint8)
     for row in rows.collect():
@@ -193,23 +192,27 @@ def sieve(wanted: DataFrame) -> np.ndarray:
     return found.reshape(-1)
 
 
-def in_sieve(column: Column, held: np.ndarray) -> Column:
-    """True for every value that the sieve was made of, and for some others."""
+def _passes(hashes: np.ndarray, held: np.ndarray) -> np.ndarray:
+    place = hashes & (len(held) * 8 - 1)
+    return (held[place >> 3] >> (place & 7).astype(np.uint8)) & 1 > 0
+
+
+def in_sieve(hashes: Column, held: np.ndarray) -> Column:
+    """True for every hash that the sieve was made of, and for some others."""
 
     @F.pandas_udf("boolean")
-    def test(hashes: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for some in hashes:
-            place = some.to_numpy(np.int64) & (len(held) * 8 - 1)
-            yield pd.Series((held[place >> 3] >> (place & 7).astype(np.uint8)) & 1 > 0)
+    def test(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            yield pd.Series(_passes(batch.to_numpy(np.int64), held))
 
-    return test(F.xxhash64(column))
+    return test(hashes)
 
 
 def _near(pairs: DataFrame, signed: DataFrame, similarity: float) -> DataFrame:
     """The pairs ``a, b`` of numbers whose texts are near; only texts of a pair are shuffled."""
     pairs = stage(pairs, "pairs")
-    held = sieve(pairs.select(F.explode(F.array("a", "b")).alias("num")).distinct())
-    some = signed.select("num", "shingles").filter(in_sieve(F.col("num"), held))
+    held = sieve(pairs.select(F.explode(F.array(F.xxhash64("a"), F.xxhash64("b")))), 2 * pairs.count())
+    some = signed.select("num", "shingles").filter(in_sieve(F.xxhash64("num"), held))
     sides = [some.select(F.col("num").alias(c), F.col("shingles").alias(f"s{c}")) for c in "ab"]
     # Merged: Spark takes a filtered or repeated side for as small as its file.
     half = pairs.hint("merge").join(sides[0].hint("merge"), "a")
@@ -362,6 +365,45 @@ def split_by_group(
 # --- overlap of two sets -----------------------------------------------------
 
 
+def _told(df: DataFrame, row_id: str, text: str, words: int) -> DataFrame:
+    """Every row with its shingles, their text id and a number that is fixed once the table is staged."""
+    made = let(shingle_hashes(F.col(text), words), lambda s: F.struct(s.alias("shingles"), text_id(s).alias("text_id")))
+    named = df.select(row_id, F.monotonically_increasing_id().alias("__num"), made.alias("__made"))
+    return named.select(row_id, "__num", F.col("__made.shingles").alias("__shingles"), F.col("__made.text_id").alias("__text_id"))
+
+
+def _told_once(told: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``num, shingles`` of one row of each text; and by its ``num`` how many rows have the text.
+
+    The shingles are not shuffled for it. A few more rows pass, which ``num``
+    of the second table leaves out.
+    """
+    row_id = told.columns[0]
+    with_words = told.filter(F.size("__shingles") > 0)
+    counted = with_words.groupBy(F.col("__text_id").alias("text_id")).agg(
+        F.count(F.lit(1)).alias("copies"), F.min(row_id).alias("first"), F.min("__num").alias("num"), F.min(F.size("__shingles")).alias("n")
+    )
+    counted = stage(counted, "copies")
+    firsts = sieve(counted.select(F.xxhash64("num")), counted.count())
+    return with_words.select(F.col("__num").alias("num"), F.col("__shingles").alias("shingles")).filter(in_sieve(F.xxhash64("num"), firsts)), counted
+
+
+def _postings(held: DataFrame, asked: np.ndarray) -> DataFrame:
+    """``h, t`` of the shingles of ``held`` that pass the sieve."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                lists = part.column(1)
+                flat, sizes = lists.flatten().to_numpy(zero_copy_only=False), np.diff(lists.offsets.to_numpy())
+                keep = _passes(flat, asked)
+                owner = np.repeat(part.column(0).to_numpy(zero_copy_only=False), sizes)
+                yield pa.RecordBatch.from_arrays([pa.array(flat[keep]), pa.array(owner[keep])], ["h", "t"])
+
+    return held.select("t", "st").mapInArrow(run, "h bigint, t bigint")
+
+
 def overlap(
     rows: DataFrame,
     against: DataFrame,
@@ -383,14 +425,15 @@ def overlap(
     for, and those alone are joined. Neither side is broadcast by this, copies
     on either side are one text, and what is found is verified on whole sets.
     """
-    asked = texts_once(rows, text, words).select(F.col("text_id").alias("q"), F.col("shingles").alias("sq"), F.size("shingles").alias("n"))
-    asked = stage(asked, "asked")
-    held = stage(texts_once(against, text, words).select(F.col("text_id").alias("t"), F.col("shingles").alias("st")), "held")
+    told = [stage(_told(df, row_id, text, words), "told") for df in (rows, against)]
+    texts, copies = zip(*[_told_once(x) for x in told], strict=True)
+    asked = texts[0].select(F.col("num").alias("q"), F.col("shingles").alias("sq"), F.size("shingles").alias("n"))
+    held = texts[1].select(F.col("num").alias("t"), F.col("shingles").alias("st"))
     each = asked.select("q", "n", F.explode("sq").alias("h"))
-    known = held.select(F.explode("st").alias("h"), "t")
-    # The shingles that are asked for, where they are held, and by how many texts.
-    wanted = each.select("h").distinct()
-    known = stage(known.join(wanted, "h", "left_semi"), "known")
+    # The shingles that are asked for, where they are held, and by how many texts. Most others never leave their task.
+    wanted = stage(each.select("h").distinct(), "wanted")
+    known = _postings(held, sieve(wanted, wanted.count()))
+    known = stage(known.hint("merge").join(wanted.hint("merge"), "h", "left_semi"), "known")
     counts = stage(known.groupBy("h").agg(F.count(F.lit(1)).alias("c")), "counts")
     rare = each.join(counts, "h", "left").groupBy("q", "n").agg(
         # A text's shingles are no more than its words.
@@ -399,19 +442,20 @@ def overlap(
     needed = F.ceil(F.col("n") * F.lit(least) - 1e-9)
     prefix = F.filter(F.slice("r", F.lit(1), (F.col("n") - needed + 1).cast("int")), lambda x: x["c"] > 0)
     probes = rare.select("q", F.inline(prefix)).select("q", "h")
-    pairs = probes.join(known, "h").select("q", "t").distinct()
+    pairs = stage(probes.hint("merge").join(known.hint("merge"), "h").select("q", "t").distinct(), "pairs")
     common = F.size(F.array_intersect("sq", "st"))
-    tested = pairs.join(asked, "q").join(held, "t").select("q", "t", common.alias("common"), "n")
+    # Only texts of a pair are shuffled, each side merged: Spark takes what is filtered for as small as its file.
+    few = [side.filter(in_sieve(F.xxhash64(c), sieve(pairs.select(F.xxhash64(c)), pairs.count()))) for side, c in ((asked, "q"), (held, "t"))]
+    tested = pairs.hint("merge").join(few[0].hint("merge"), "q").hint("merge").join(few[1].hint("merge"), "t")
+    tested = tested.select("q", "t", common.alias("common"), "n")
     found = stage(tested.filter(F.col("common") >= F.ceil(F.col("n") * F.lit(least) - 1e-9)), "overlaps")
 
-    ids = [stage(with_text_id(df, text, [row_id], words), "ids") for df in (rows, against)]
-    copies = ids[1].filter("text_id is not null").groupBy("text_id").agg(F.count(F.lit(1)).alias("copies"), F.min(row_id).alias("first"))
-    named = found.join(copies.select(F.col("text_id").alias("t"), "copies", "first"), "t")
+    named = found.join(copies[1].select(F.col("num").alias("t"), "copies", "first"), "t")
     best = F.min(F.struct((-F.col("common")).alias("c"), F.col("first").alias("f")))
-    per = named.groupBy("q", "n").agg(best.alias("best"), F.sum("copies").alias("matches"))
-    sizes = asked.select(F.col("q").alias("text_id"), "n")
-    done = sizes.join(per.select(F.col("q").alias("text_id"), "best", "matches"), "text_id", "left")
-    return ids[0].join(done, "text_id", "left").select(
+    per = named.groupBy("q").agg(best.alias("best"), F.sum("copies").alias("matches"))
+    done = copies[0].select(F.col("num").alias("q"), "text_id", "n").join(per, "q", "left").drop("q")
+    ids = told[0].select(row_id, F.when(F.size("__shingles") > 0, F.col("__text_id")).alias("text_id"))
+    return ids.join(done, "text_id", "left").select(
         row_id,
         F.coalesce("n", F.lit(0)).cast("long").alias("n_shingles"),
         (-F.col("best.c") / F.col("n")).alias("overlap"),

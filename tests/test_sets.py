@@ -161,6 +161,20 @@ def test_overlap_keeps_only_shingles_asked_for(spark):
     assert spark.read.parquet(str(staged)).count() == 6
 
 
+def test_overlap_shuffles_only_what_may_be_asked_for(spark, tmp_path):
+    """Shingles that are not asked for and further copies of a text stay in their tasks, but for a few."""
+    rows = [(n, " ".join(f"{n % 400}-{k}" for k in range(30))) for n in range(500)]
+    df = spark.createDataFrame([*rows, (500, None), (501, " ")], "row_id long, text string").repartition(5)
+    shingles._told(df, "row_id", "text", 5).write.parquet(f"{tmp_path}/told")
+    texts, copies = shingles._told_once(spark.read.parquet(f"{tmp_path}/told"))
+    assert {r.first: (r.copies, r.n) for r in copies.collect()} == {n: (1 + (n < 100), 26) for n in range(400)}
+    assert {r.num for r in copies.collect()} <= {r.num for r in texts.collect()} and texts.count() < 450
+    asked = df.filter("row_id in (3, 7)").select(F.explode(shingles.shingle_hashes(F.col("text"))).alias("h"))
+    found = shingles._postings(texts.select(F.col("num").alias("t"), F.col("shingles").alias("st")), shingles.sieve(asked, 52))
+    hashes = [r.h for r in found.collect()]
+    assert {r.h for r in asked.collect()} <= set(hashes) and len(hashes) < 26 * 40
+
+
 def test_phrases(spark):
     rows = [(1, "You are a Bad, bad person."), (2, "a badly made thing"), (3, None), (4, ""), (5, "BAD person of the year"), (6, "person bad"), (7, "x " * 5000 + "so it ends")]
     phrases = [("bad person", "insult"), ("Bad  Person!", "insult"), ("person", "word"), ("so it ends", "end"), ("", "none"), (None, "none"), ("unknown bad", "none")]
