@@ -5,6 +5,7 @@ from collections import Counter
 from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 
 sys.path.insert(0, str(Path(__file__).parent))
 sys.path.insert(0, str(Path(__file__).resolve().parents[2]))
@@ -110,6 +111,37 @@ def test_windows_of_any_length(spark, window):
     assert {(r.doc_id, r["__i"], r["__n"]) for r in got.collect()} == want
 
 
+def test_words_of_any_character(spark):
+    texts = ["".join(f"{chr(c)}a{chr(c)}{chr(c)}B" for c in range(k, k + 64) if not 0xD800 <= c < 0xE000) for k in [*range(0, 0x3100, 64), 0xD7C0, 0xFFC0, 0x1F600]]
+    texts += ["", None, " ", "a", "-a-", "\x00a\x7fb"]
+    df = spark.createDataFrame([(n, t) for n, t in enumerate(texts)], "n int, text string")
+    got = {r.n: r.w for r in df.select("n", contamination._words(contamination.ascii_lower(F.col("text"))).alias("w")).collect()}
+    assert got == {n: specs.item_words(t) for n, t in enumerate(texts)}
+    # Ranges in the class are tried one by one at every character.
+    assert "-" not in contamination._WORD
+
+
+@pytest.mark.parametrize("few", [0, contamination.FEW_WINDOWS])
+def test_windows_of_items_and_texts_of_few_words(spark, few):
+    """Null and repeated ids, texts of fewer words than some items or none, items of one to thirteen words."""
+    words = fixtures.prose(5, 30).split()
+    items = [(n, " ".join(words[:n])) for n in (1, 2, 5, 12, 13, 20)] + [(None, " ".join(words[3:9])), (7, None), (8, " -- ")]
+    texts = [" ".join(words), " ".join(words[:4]), words[0], "", None, "-", "x " * 40, " ".join(words[2:]).upper()]
+    rows = [(i, t) for i in (1, 1, None) for t in texts]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    got = contamination.contamination(docs, benchmark, few=few).drop("text_hash")
+    assert sort(rows_of(got)) == sort(specs.contamination(rows, [("" if i is None else i, t) for i, t in items]))
+
+
+def test_windows_are_rows_of_one_list_of_hashes(spark, capsys):
+    docs = fixtures.nasty(spark).select("doc_id", "text")
+    contamination._windows(docs, ["doc_id"], [2, 13]).explain()
+    plan = capsys.readouterr().out
+    # A text is cut and its words are hashed once, whatever the number of lengths.
+    assert plan.count("regexp_extract_all(") == 1 and plan.count("transform(") == 1 and plan.count("Generate explode") == 2
+
+
 @pytest.mark.parametrize("extra", [False, True])
 def test_contamination(spark, extra):
     items = [tuple(r) for r in fixtures.benchmark(spark).collect()]
