@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from seedloom.sources import writers
+from seedloom.sources import json_arrays, writers
 from seedloom.sources.json_arrays import read_json_array
 
 SCHEMA = "id bigint, text string, tags array<string>, inner struct<a: string, n: array<int>>"
@@ -91,6 +91,42 @@ def test_text_is_written_once(spark, tmp_path, small_splits):
     assert len(holding) == 1
 
 
+@pytest.mark.parametrize("parts", [False, True])
+def test_short_stretches_and_many_tasks(spark, tmp_path, small_splits, monkeypatch, parts):
+    """Stretches of two pieces, in splits of many; repeated and empty records, nulls, blank ends of files."""
+    monkeypatch.setattr(json_arrays, "_STRETCH_BITS", 1)
+    monkeypatch.setattr(json_arrays, "_TASK_BYTES", 8000)
+    rows = [*records(20, 3), *records(10, 3), {}, {"id": None, "text": None}]
+    if parts:
+        lines = [f"{json.dumps(r, ensure_ascii=False)},\n" for r in rows]
+        lines = ["[" + lines[0], *lines[1:-1], lines[-1].replace(",\n", "]\n")]
+        for n in range(4):
+            (tmp_path / f"part-{n:05}").write_text("".join(lines[n * len(rows) // 4 : (n + 1) * len(rows) // 4]), encoding="utf-8")
+    else:
+        for n in range(3):
+            (tmp_path / f"{n}.json").write_text(json.dumps(rows[n::3], indent=n) + " \n" * n, encoding="utf-8")
+        (tmp_path / "none.json").write_text(" [\n] ")
+    got = [r.asDict(True) for r in read_json_array(spark, str(tmp_path), SCHEMA, parts=parts).collect()]
+    assert plain(got) == plain(rows)
+
+
+def test_tasks_hold_stretches_without_paths(spark, tmp_path, monkeypatch, capsys):
+    rows = [{"id": n, "text": f"{n:2000}", "tags": []} for n in range(100)]
+    (tmp_path / "x.json").write_text(json.dumps(rows))
+    pieces, tasks = json_arrays._pieces(spark, str(tmp_path), False)
+    # Neither the path of a file nor that of its split is repeated with each piece.
+    assert [c for c, kind in pieces.dtypes if kind not in ("bigint", "int")] == ["piece", "mark"]
+    assert tasks == 1
+    monkeypatch.setattr(json_arrays, "_TASK_BYTES", 50_000)
+    assert json_arrays._pieces(spark, str(tmp_path), False)[1] > 4
+    read_json_array(spark, str(tmp_path), SCHEMA).explain()
+    plan = capsys.readouterr().out
+    windows = [line for line in plan.splitlines() if "Window [" in line]
+    assert windows and all("[file#" in line and "stretch#" in line for line in windows)
+    # The tasks for text are as many as its size asks for, and lists are made where a record is whole.
+    assert plan.count("REPARTITION_BY_NUM") == 2 and plan.count("collect_list") == plan.count("ObjectHashAggregate") == 2
+
+
 @pytest.mark.parametrize("text", ['[{"id": 1}', '[{"id": "x}]', '{"id": 1}', "", '[{"id": 1}]]', '"a"'])
 def test_broken_arrays_are_an_error(spark, tmp_path, text):
     (tmp_path / "x.json").write_text(text or " ")
